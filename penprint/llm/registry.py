@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_mix, op2_counts, op3_sentences
+from . import op1_mix, op2_counts, op3_sentences, op7_bpe
 
-MODULES = [op1_mix, op2_counts, op3_sentences]
+MODULES = [op1_mix, op2_counts, op3_sentences, op7_bpe]
 
 
 def queries() -> dict:
