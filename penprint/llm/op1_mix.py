@@ -17,6 +17,9 @@ EPOCHS = 4.0
 BUDGET = 1.0
 SEED = 17
 
+#: Sources up to which their passes are sent to every executor: some 5 MB.
+BROADCAST_ROWS = 100_000
+
 
 def water_fill(sizes: dict[str, float], weights: dict[str, float], budget: float, epochs: float) -> dict[str, float]:
     """Passes over each source: shares of the budget by weight, none over `epochs` passes.
@@ -66,7 +69,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, epochs=EPOCHS,
     table = spark.createDataFrame(sorted((s, float(p)) for s, p in passes.items() if p > 0), kind)
     u = F.coalesce(draw(F.col("doc_id"), seed), F.lit(0.0))
     copies = (F.floor("__p") + (u < F.col("__p") - F.floor("__p")).cast("long")).cast("int")
-    # The table of passes is small by construction (a row a source); Spark picks the join by its size.
+    if len(passes) <= BROADCAST_ROWS:  # else a shuffle join
+        table = F.broadcast(table)
     return (
         docs.join(table, source == F.col("__s"))
         .withColumn("__n", copies)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_mix, op2_counts, op3_sentences, op7_bpe
+from . import op1_mix, op2_counts, op3_sentences, op7_bpe, op10_langid
 
-MODULES = [op1_mix, op2_counts, op3_sentences, op7_bpe]
+MODULES = [op1_mix, op2_counts, op3_sentences, op7_bpe, op10_langid]
 
 
 def queries() -> dict:
