@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_mix, op2_counts, op3_sentences, op4_quality, op7_bpe, op8_ordermin, op9_suffix, op10_langid
+from . import op1_mix, op2_counts, op3_sentences, op4_quality, op5_neighbours, op6_media, op7_bpe, op8_ordermin, op9_suffix, op10_langid
 
-MODULES = [op1_mix, op2_counts, op3_sentences, op4_quality, op7_bpe, op8_ordermin, op9_suffix, op10_langid]
+MODULES = [op1_mix, op2_counts, op3_sentences, op4_quality, op5_neighbours, op6_media, op7_bpe, op8_ordermin, op9_suffix, op10_langid]
 
 
 def queries() -> dict:
