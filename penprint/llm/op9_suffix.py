@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, documents, mix, read, windows
+from .common import Scratch, Words, chunks, mix, read, windows
 
 #: Words from which on a repeat is cut, and words in a fingerprint of the test that sets passages aside.
 LENGTH = 50
-GRAM = 8
+GRAM = 25
 
 #: Suffixes that one task orders, and letters that one batch of rows is made of.
 ROWS = 400_000
@@ -155,88 +155,180 @@ def slices(batches: Iterator, column: int) -> Iterator:
             at = to
 
 
-def triples(strings: DataFrame, every: bool) -> DataFrame:
-    """(t0, t1, t2, id, at): triples at all places, or at those of the cover; these belong to child strings 2 id and 2 id + 1."""
+def packed(columns: list) -> bytes:
+    """Integer columns as bytes, byte plane by byte plane, so that compression finds the empty ones."""
+    import numpy as np
+
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
+    return b"".join(planes)
+
+
+def unpacked(blocks: list[bytes], kinds: list) -> list:
+    """The columns of several blocks, each one after another."""
+    import numpy as np
+
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    found = [[] for _ in kinds]
+    for block in blocks:
+        n, at = len(block) // width, 0
+        for out, kind in zip(found, kinds):
+            size = np.dtype(kind).itemsize
+            planes = np.frombuffer(block, np.uint8, n * size, at).reshape(size, n)
+            out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+            at += n * size
+    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, kinds)]
+
+
+def to_parts(part, columns: list):
+    """One row (part, block) for each part that occurs."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    columns = [np.ascontiguousarray(c)[order] for c in columns]
+    ends = [*first[1:], len(part)] if len(part) else []
+    blocks = [packed([c[x:y] for c in columns]) for x, y in zip(first, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32) if len(part) else [], pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+
+BLOCKS = "part int, block binary"
+
+
+def by_part(blocks: DataFrame, parts: int, work, kinds: list, schema: str) -> DataFrame:
+    """work(part, columns) for each part with all its rows together; it yields record batches.
+
+    Rows travel as blocks of packed columns, so the shuffle moves few rows; a part has about ROWS of them.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        part, held = None, []
+        for batch in batches:
+            for p, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part and held:
+                    yield from work(part, unpacked(held, kinds))
+                    held = []
+                part = p
+                held.append(block)
+        if held:
+            yield from work(part, unpacked(held, kinds))
+
+    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def split_points(strings: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """Triples that divide all triples into about `parts` ranges, from a sample of some 64 a range."""
+    total = strings.agg(F.sum(F.size("letters"))).first()[0] or 0
+    step = max(1, total // (64 * parts))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        for batch in slices(batches, 1):
+            s = Strings(batch.column(0), batch.column(1))
+            pick = np.flatnonzero(mix(s.id * 1_000_003 + s.place) % np.uint64(step) == 0)
+            columns = [s.value, s.ahead(s.value, 1), s.ahead(s.value, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in columns], ["t0", "t1", "t2"])
+
+    sample = sorted(tuple(r) for r in strings.select("id", "letters").mapInArrow(run, "t0 long, t1 long, t2 long").collect())
+    return sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
+
+
+def range_of(points: list, t0, t1, t2):
+    """How many of the points are at most each triple."""
+    import numpy as np
+
+    if not points:
+        return np.zeros(len(t0), np.int64)
+    known = [np.array(c, np.int64) for c in zip(*points)]
+    out = np.searchsorted(known[0], t0, side="right")
+    unsure = np.flatnonzero(out != np.searchsorted(known[0], t0))
+
+    def text(x, y, z):
+        both = np.stack([x, y, z], 1) + (1 << 62)  # order of bytes is order of numbers
+        return np.ascontiguousarray(both.astype(">u8")).view("S24").ravel()
+
+    if len(unsure):
+        out[unsure] = np.searchsorted(text(*known), text(t0[unsure], t1[unsure], t2[unsure]), side="right")
+    return out
+
+
+def triples(strings: DataFrame, every: bool, points: list) -> DataFrame:
+    """Blocks (t0, t1, t2, id, at) by range: triples at all places, or at those of the cover; these belong to child strings
+    2 id and 2 id + 1."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
         for batch in slices(batches, 1):
             s = Strings(batch.column(0), batch.column(1))
             keep = slice(None) if every else np.flatnonzero(s.place % 3)
             ids = s.id if every else s.id * 2 + s.place % 3 - 1
             at = s.place if every else s.place // 3
-            columns = [s.value, s.ahead(s.value, 1), s.ahead(s.value, 2), ids]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), pa.array(at[keep].astype(np.int32))], ["t0", "t1", "t2", "id", "at"])
+            t = [c[keep] for c in (s.value, s.ahead(s.value, 1), s.ahead(s.value, 2))]
+            yield to_parts(range_of(points, *t), [*t, ids[keep], at[keep].astype(np.int32)])
 
-    return strings.select("id", "letters").mapInArrow(run, "t0 long, t1 long, t2 long, id long, at int")
+    return strings.select("id", "letters").mapInArrow(run, BLOCKS)
 
 
 def named(rows: DataFrame, parts: int) -> DataFrame:
-    """(id, at, name): names of triples, ordered like them; a name is its partition's number and a count in it."""
+    """Blocks (id, at, name) by hash of id: names of triples, ordered like them; a name is its range's number and a count in it."""
 
-    def run(batches: Iterator) -> Iterator:
+    def work(part, c) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
 
-        base, last, count = TaskContext.get().partitionId() << 40, None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = [batch.column(k).to_numpy() for k in range(3)]
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]) | (t[2][1:] != t[2][:-1])
-            new[0] = last != (t[0][0], t[1][0], t[2][0])
-            name = count + np.cumsum(new)
-            count, last = int(name[-1]), (t[0][-1], t[1][-1], t[2][-1])
-            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), pa.array(base + name)], ["id", "at", "name"])
+        order = np.lexsort((c[2], c[1], c[0]))
+        t = [x[order] for x in c[:3]]
+        new = np.ones(len(order), bool)
+        new[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]) | (t[2][1:] != t[2][:-1])
+        yield from to_strings(c[3][order], c[4][order], (part << 40) + np.cumsum(new), parts)
 
-    ordered = rows.repartitionByRange(parts, "t0", "t1", "t2").sortWithinPartitions("t0", "t1", "t2")
-    return ordered.mapInArrow(run, "id long, at int, name long")
+    return by_part(rows, parts, work, ["i8", "i8", "i8", "i8", "i4"], BLOCKS)
+
+
+def to_strings(ids, at, name, parts: int) -> Iterator:
+    import numpy as np
+
+    yield to_parts((mix(ids) % np.uint64(parts)).astype(np.int64), [ids, at, name])
 
 
 def assembled(rows: DataFrame, parts: int) -> DataFrame:
-    """(id, letters): strings put together from (id, at, name)."""
+    """(id, letters): strings put together from blocks (id, at, name)."""
 
-    def run(batches: Iterator) -> Iterator:
+    def work(part, c) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        ids, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.lexsort((c[1], c[0]))
+        ids, names = c[0][order], c[2][order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(names))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), lists], ["id", "letters"])
 
-        def strings(to: int):
-            first = np.flatnonzero(np.concatenate([[True], ids[1:to] != ids[: to - 1]]))
-            offsets = np.append(first, to).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(names[:to]))], ["id", "letters"])
+    return by_part(rows, parts, work, ["i8", "i4", "i8"], "id long, letters array<long>")
+
+
+def ranked_strings(strings: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(id, letters, one, two): strings with the ranks at places 1 and 2 modulo 3."""
+    one = ranks.where("id % 2 = 0").select(F.expr("id div 2").alias("id"), F.col("letters").alias("one"))
+    two = ranks.where("id % 2 = 1").select(F.expr("id div 2").alias("id"), F.col("letters").alias("two"))
+    return strings.select("id", "letters").join(one, "id", "left").join(two, "id", "left").select("id", "letters", "one", "two")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.concatenate([ids, batch.column(0).to_numpy()])
-            names = np.concatenate([names, batch.column(2).to_numpy()])
-            whole = int(np.searchsorted(ids, ids[-1]))  # ids come sorted; the last string may go on
-            if whole:
-                yield strings(whole)
-                ids, names = ids[whole:], names[whole:]
-        if len(ids):
-            yield strings(len(ids))
 
-    return rows.repartition(parts, "id").sortWithinPartitions("id", "at").mapInArrow(run, "id long, letters array<long>")
+#: Columns of a suffix: two letters, the ranks that the merge compares, its string and place, and a hash of its beginning.
+SUFFIX = ["i8", "i8", "i8", "i8", "i8", "i8", "i4", "i8"]
 
 
-def suffixes(strings: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
-    """Every suffix with its first letters, the ranks that the merge compares, and a hash of its first `length` letters.
+def suffixes(strings: DataFrame, points: list, length: int) -> DataFrame:
+    """Blocks of every suffix, by range of its triple, from ranked strings.
 
-    length 0: no hash and all suffixes; otherwise only suffixes of `length` letters or more.
+    length 0: no hash and all suffixes; otherwise a hash of the first `length` letters, and only suffixes that have so many.
     """
-    one = ranks.where("id % 2 = 0").select(F.expr("id div 2").alias("id"), F.col("letters").alias("one"))
-    two = ranks.where("id % 2 = 1").select(F.expr("id div 2").alias("id"), F.col("letters").alias("two"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         for batch in slices(batches, 1):
@@ -251,15 +343,14 @@ def suffixes(strings: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
                 w = windows(s.value, length).view(np.int64)
                 prefix[: len(w)] = w
                 keep = np.flatnonzero(s.left >= length)
-            columns = [s.value, s.ahead(s.value, 1), s.ahead(s.value, 2), rank, r1, r2, s.id, prefix]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), pa.array(s.place[keep].astype(np.int32))], ["t0", "t1", "t2", "r", "r1", "r2", "id", "prefix", "at"])
+            t = [c[keep] for c in (s.value, s.ahead(s.value, 1), s.ahead(s.value, 2))]
+            yield to_parts(range_of(points, *t), [*t[:2], *(c[keep] for c in (rank, r1, r2, s.id)), s.place[keep].astype(np.int32), prefix[keep]])
 
-    both = strings.join(one, "id", "left").join(two, "id", "left").select("id", "letters", "one", "two")
-    return both.mapInArrow(run, "t0 long, t1 long, t2 long, r long, r1 long, r2 long, id long, prefix long, at int")
+    return strings.mapInArrow(run, BLOCKS)
 
 
 def merge_order(t0, t1, r, r1, r2, at):
-    """Order of suffixes that begin with the same or any triples: places 1 and 2 modulo 3 by rank, place 0 merged in.
+    """Order of suffixes: those at places 1 and 2 modulo 3 by rank, those at place 0 merged in.
 
     Place 0 meets place 1 by (letter, rank of the rest), place 2 by (two letters, rank of the rest).
     """
@@ -288,43 +379,26 @@ def merge_order(t0, t1, r, r1, r2, at):
 
 
 def merged(rows: DataFrame, parts: int) -> DataFrame:
-    """(id, at, name): the rank of every suffix."""
+    """Blocks (id, at, name) by hash of id: the rank of every suffix."""
 
-    def run(batches: Iterator) -> Iterator:
+    def work(part, c) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        c = _columns(batches)
-        order = merge_order(*(c[k] for k in (0, 1, 3, 4, 5, 8)))
-        base = TaskContext.get().partitionId() << 40
-        for a in range(0, len(order), LETTERS):
-            o = order[a : a + LETTERS]
-            yield pa.RecordBatch.from_arrays([pa.array(c[6][o]), pa.array(c[8][o]), pa.array(base + np.arange(a, a + len(o)))], ["id", "at", "name"])
 
-    return rows.repartitionByRange(parts, "t0", "t1", "t2").mapInArrow(run, "id long, at int, name long")
+        order = merge_order(*c[:5], c[6])
+        yield from to_strings(c[5][order], c[6][order], (part << 40) + np.arange(len(order)), parts)
 
-
-def _columns(batches: Iterator) -> list:
-    """All of a partition's rows, by column."""
-    import numpy as np
-
-    found = [[c.to_numpy() for c in batch.columns] for batch in batches]
-    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 9
+    return by_part(rows, parts, work, SUFFIX, BLOCKS)
 
 
 def later_copies(rows: DataFrame, parts: int) -> DataFrame:
-    """(id, at): suffixes whose first `length` letters also begin an earlier suffix, by order of id and place."""
+    """(id, at): suffixes whose beginning is also that of an earlier suffix, by order of id and place."""
 
-    def run(batches: Iterator) -> Iterator:
+    def work(part, c) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        c = _columns(batches)
-        if not len(c[0]):
-            return
-        order = merge_order(*(c[k] for k in (0, 1, 3, 4, 5, 8)))
-        prefix, ids, at = c[7][order], c[6][order], c[8][order]
+        order = merge_order(*c[:5], c[6])
+        ids, at, prefix = c[5][order], c[6][order], c[7][order]
         start = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))  # neighbours that differ
         rank = np.empty(len(order), np.int64)
         rank[np.lexsort((at, ids))] = np.arange(len(order))
@@ -332,26 +406,28 @@ def later_copies(rows: DataFrame, parts: int) -> DataFrame:
         later = rank != np.repeat(least, np.diff(np.append(start, len(order))))
         yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(at[later])], ["id", "at"])
 
-    return rows.repartitionByRange(parts, "t0", "t1", "t2").mapInArrow(run, "id long, at int")
+    return by_part(rows, parts, work, SUFFIX, "id long, at int")
 
 
 def suffix_ranks(scratch: Scratch, strings: DataFrame, need: int, level: int = 0) -> DataFrame:
-    """(id, letters): for every place of every string a rank by which suffixes stand in order.
+    """(id, letters): for every place of the cover in every string (level 0), or every place (deeper), a rank by which
+    suffixes stand in order.
 
     Suffixes whose first `need` letters differ stand in the order of these; others may stand in any. strings: (id, letters),
     written already, letters 0 or more, id 0 or more.
     """
     parts = parts_for(strings)
+    points = split_points(strings, parts)
     if need <= 3:
-        return scratch.write(assembled(named(triples(strings, True), parts), parts), f"ranks{level}")
-    child = scratch.write(assembled(named(triples(strings, False), parts), parts), f"strings{level + 1}")
+        return scratch.write(assembled(named(triples(strings, True, points), parts), parts), f"ranks{level}")
+    child = scratch.write(assembled(named(triples(strings, False, points), parts), parts), f"strings{level + 1}")
     ranks = suffix_ranks(scratch, child, -(-need // 3), level + 1)
     scratch.drop(f"strings{level + 1}")
     if not level:
         return ranks
-    rows = scratch.write(suffixes(strings, ranks, 0), f"suffixes{level}")
-    out = scratch.write(assembled(merged(rows, parts), parts), f"ranks{level}")
-    scratch.drop(f"ranks{level + 1}", f"suffixes{level}")
+    both = scratch.write(ranked_strings(strings, ranks), f"ranked{level}")
+    out = scratch.write(assembled(merged(suffixes(both, points, 0), parts), parts), f"ranks{level}")
+    scratch.drop(f"ranks{level + 1}", f"ranked{level}")
     return out
 
 
@@ -363,6 +439,8 @@ def parts_for(strings: DataFrame) -> int:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, row, start, n): word ranges to cut, from docs (doc_id, row, text). Ranges of one row may overlap."""
     spark = docs.sparkSession
+    if length <= 3:
+        raise ValueError("length must be more than 3 words")
     scratch = Scratch(spark, "suffix")
     gram = min(gram, length)
     fps = scratch.write(fingerprints(docs, length, gram), "fps")
@@ -384,28 +462,29 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     scratch.drop("passages")
     strings = heads.select("id", "letters")
     parts = parts_for(strings)
-    if length <= 3:
-        raise ValueError("length must be more than 3 words")
     ranks = suffix_ranks(scratch, strings, length)
-    rows = scratch.write(suffixes(strings, ranks, length), "suffixes0")
+    rows = suffixes(ranked_strings(strings, ranks), split_points(strings, parts), length)
     later = scratch.write(later_copies(rows, parts), "later")
-    scratch.drop("suffixes0", "ranks1")
+    scratch.drop("ranks1")
     ranges = later.join(heads.select("id", "doc_id", "row", "start"), "id")
     ranges = ranges.select("doc_id", "row", (F.col("start") + F.col("at")).alias("start"), F.lit(length).alias("n"))
     return ranges.unionByName(copies)
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, words, removed): each row's text without every run of `length` or more words that occurred before.
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, words, removed) and the columns named in carry: each row's text without every run of `length` or more words that occurred before.
 
     A run's first occurrence, by order of doc_id and then place, stays; what its later ones cover, in any document or further
     on in the same one, goes, each word with the white space before it. Words are what white space separates; case and stops
     count. A text that loses nothing comes back unchanged; one that loses all its words keeps the white space at its end.
     Null texts stay null with 0 words; texts under `length` words lose nothing. Rows whose doc_id is null are left out.
     Repeated rows (same doc_id and text) count as one document; other rows of one doc_id are told apart by their text. Other
-    columns are ignored. The ranges are found when this is called, not when its result is read.
+    columns are left out. The ranges are found when this is called, not when its result is read.
     """
-    docs = documents(docs).withColumn("row", F.xxhash64("text"))
+    carry = carry or []
+    wide = docs.select("doc_id", "text", *(F.col(c).alias(f"__{c}") for c in carry))
+    wide = wide.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).where("doc_id is not null").withColumn("row", F.xxhash64("text"))
+    docs = wide.select("doc_id", "row", "text")
     cuts = repeats(docs, length, gram).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
 
     def run(batches: Iterator) -> Iterator:
@@ -436,9 +515,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     pieces = [words.bytes[x:y].tobytes() for x, y in zip(starts[keep], ends[keep])]
                     out.append((b"".join(pieces) + words.bytes[ends[-1] : b].tobytes()).decode())
                     gone_n.append(int(n - keep.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(words_n, pa.int32()), pa.array(gone_n, pa.int32())], ["doc_id", "text", "words", "removed"])
+            new = [pa.array(out, pa.string()), pa.array(words_n, pa.int32()), pa.array(gone_n, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[3:]], ["doc_id", "text", "words", "removed", *carry])
 
-    return docs.join(cuts, ["doc_id", "row"], "left").select("doc_id", "text", "cuts").mapInArrow(run, "doc_id long, text string, words int, removed int")
+    schema = ", ".join(["doc_id long, text string, words int, removed int", *(f"`{c}` {wide.schema[f'__{c}'].dataType.simpleString()}" for c in carry)])
+    joined = wide.join(cuts, ["doc_id", "row"], "left").select("doc_id", "text", "cuts", *(f"__{c}" for c in carry))
+    return joined.mapInArrow(run, schema)
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
