@@ -1,16 +1,67 @@
-"""The corpus pipeline: documents in, token ids out."""
+"""The corpus pipeline: documents in, token ids out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() applies them in turn, writing what each stage returns to
+the shared folder before the next reads it. All stages but the last return the columns of documents; n_chars follows the
+text. Rows without doc_id are dropped by the near-copy stage. An empty table goes through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from penprint.llm import op1_mix, op7_bpe, op8_ordermin, op9_suffix, op10_langid
+from penprint.llm.common import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that read like one of the table's languages; others (and null texts) go."""
+    return op10_langid.identify(docs.select(COLUMNS), op10_langid.profiles(docs)).where("accepted").select(COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document, by doc_id, of each group of near copies."""
+    kept = op8_ordermin.near_groups(docs).where("kept").select("doc_id", "row").distinct()
+    docs = docs.select(COLUMNS).withColumn("row", F.xxhash64(F.col("text").cast("string")))
+    return docs.join(kept, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]).select(COLUMNS)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; those of which nothing remains go."""
+    cut = op9_suffix.dedup_substrings(docs, carry=["lang", "source"])
+    return cut.where("words > removed or words = 0").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix of sources takes."""
+    return op1_mix.mix_sources(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each copy."""
+    return op7_bpe.encode(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "tokens", F.size("tokens").alias("n_tokens"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("near copies", one_of_each),
+    ("repeated passages", no_repeats),
+    ("mix", mixed),
+    ("tokens", encoded),
+]
 
-STAGES: list = []
+#: SQL has no way to a byte-level BPE vocabulary or to order MinHash; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn over the documents table."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
     return docs
