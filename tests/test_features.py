@@ -221,3 +221,19 @@ def test_random_vocabulary_against_python(spark):
         assert got[i].total_tokens == len(w) and got[i].unique_types == len(f)
         assert got[i].yules_k == pytest.approx(1e4 * (sum(x * x for x in f) - len(w)) / len(w) ** 2, abs=0.01)
     assert statistics.mean(r.total_tokens for r in got.values()) > 1
+
+
+def test_prompt_and_report(spark):
+    from penprint.cli import flat_profile
+    from penprint.plans.prompt import build_prompt
+    from penprint.plans.report import bars, chart_series, html_report, text_report
+
+    d = texts(spark, "One two three. Four five six seven! " * 5)
+    bands = diff.style_bands(flat_profile(d)).first().asDict()
+    p = build_prompt(bands, ["MORE_DASHES"], ["a < b"])
+    assert "very short" in p and "more dashes" in p and "a &lt; b" in p and "<changes>" not in build_prompt(bands)
+    profile = analyze(d, ["sentences", "punctuation", "function_words", "readability"])
+    s = bars(chart_series(profile)).collect()
+    assert max(r.bar for r in s if r.series == "sentence_length") == 40
+    row = profile.first().asDict(True)
+    assert "mean_length" in text_report(row) and html_report(row).startswith("<!DOCTYPE")
