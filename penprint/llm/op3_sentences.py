@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, read
+from .common import WORD_RE, documents, read
 
-#: Sentences in a run.
-SPAN = 3
+#: Sentences in a run, and words that it must have: runs of a few short words recur by chance and in every text.
+SPAN = 2
+LEAST_WORDS = 10
 
 #: A sentence ends after its stops where white space follows, or at a line break; it keeps the white space after it.
 END = r"([.!?]+[ \t\r\f\x0b]+|[.!?]*\n[ \t\n\r\f\x0b]*)"
@@ -32,32 +33,34 @@ def norm(sentence):
     return F.regexp_replace(sentence, r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$", "")
 
 
-def repeated_runs(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def repeated_runs(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, at): first sentence of each run that has occurred before, by order of doc_id and then place.
 
     Rows of one doc_id count as one document per distinct row, ordered by their text.
     """
-    cut = docs.select("doc_id", "row", F.transform(sentences(F.col("text")), lambda s: F.xxhash64(norm(s))).alias("h"))
+    bare = docs.select("doc_id", "row", F.transform(sentences(F.col("text")), norm).alias("s"))
+    count = F.transform("s", lambda x: F.regexp_count(x, F.lit(WORD_RE)))
+    cut = bare.select("doc_id", "row", F.transform("s", lambda x: F.xxhash64(x)).alias("h"), count.alias("n"))
     starts = F.expr(f"if(size(h) < {span}, array(), sequence(0, size(h) - {span}))")
-    runs = cut.select(
-        "doc_id", "row", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("h", i + 1, F.lit(span))))).alias("at", "run")
-    )
+    long_ = lambda i: F.aggregate(F.slice("n", i + 1, F.lit(span)), F.lit(0), lambda a, x: a + x) >= least
+    run = F.transform(starts, lambda i: F.when(long_(i), F.xxhash64(F.slice("h", i + 1, F.lit(span)))))
+    runs = cut.select("doc_id", "row", F.posexplode(run).alias("at", "run")).where("run is not null")
     # Partial aggregation shrinks a run's thousands of copies before they meet; only kinds seen twice come back to the join.
     kinds = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).where("n > 1")
     again = runs.join(kinds.select("run", "first"), "run").where(F.struct("doc_id", "row", "at") != F.col("first"))
     return again.select("doc_id", "row", "at")
 
 
-def dedup_sentences(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def dedup_sentences(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text, sentences, removed): each row's text without the sentences that a non-first repeated run covers.
 
     Of equal runs the one with the least doc_id, then the least place, stays. A text that loses nothing comes back
     unchanged; one that loses all is empty. Null texts stay null with 0 sentences; texts of fewer than `span` sentences have
-    no run. Rows whose doc_id is null are left out. Repeated rows (same doc_id and text) count as one document and come back
+    no run, and runs of fewer than `least` words aren't compared. Rows whose doc_id is null are left out. Repeated rows (same doc_id and text) count as one document and come back
     alike; other rows of one doc_id are told apart by their text. Other columns are ignored.
     """
     docs = documents(docs).withColumn("row", F.xxhash64("text"))
-    again = repeated_runs(docs, span).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    again = repeated_runs(docs, span, least).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("at"))
     out = docs.join(again, ["doc_id", "row"], "left").withColumn("s", sentences(F.col("text")))
     size = F.coalesce(F.size("s"), F.lit(0))
     size = F.when(F.col("text").isNull(), 0).otherwise(size)
@@ -83,7 +86,8 @@ WITH cut AS (
   FROM documents WHERE doc_id IS NOT NULL),
 plain AS (SELECT doc_id, list_transform(s, lambda x: regexp_replace(regexp_replace(x, '^[ \t\n\r\f\x0b]+', ''), '[ \t\n\r\f\x0b]+$', '')) AS s FROM cut),
 runs AS (SELECT doc_id, unnest(range(len(s) - {SPAN - 1})) AS i, s FROM plain WHERE len(s) >= {SPAN}),
-keyed AS (SELECT doc_id, i, array_to_string(s[i + 1 : i + {SPAN}], chr(1)) AS run FROM runs),
+keyed AS (SELECT doc_id, i, array_to_string(s[i + 1 : i + {SPAN}], chr(1)) AS run FROM runs
+  WHERE list_sum(list_transform(s[i + 1 : i + {SPAN}], lambda x: len(regexp_extract_all(x, '{WORD_RE}')))) >= {LEAST_WORDS}),
 placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM keyed),
 covered AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + {SPAN})))) AS gone FROM placed WHERE k > 1 GROUP BY doc_id)
 SELECT doc_id, CASE WHEN gone IS NULL THEN text

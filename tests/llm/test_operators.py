@@ -87,14 +87,15 @@ def test_counts(spark, odd, nothing):
 def test_sentence_spans(spark, odd, nothing):
     a, b = "One two. Three four! Five six? ", "Seven eight. "
     d = docs(spark, a + b, b + a + "End.", "Five six? Seven eight.")
-    got = {r.doc_id: (r.text, r.removed) for r in op3_sentences.dedup_sentences(d).collect()}
+    got = {r.doc_id: (r.text, r.removed) for r in op3_sentences.dedup_sentences(d, 3, 0).collect()}
     assert got == {0: (a + b, 0), 1: (b + "End.", 3), 2: ("Five six? Seven eight.", 0)}
     rows = op3_sentences.dedup_sentences(odd)
     assert rows.columns == ["doc_id", "text", "sentences", "removed"]
     out = sorted(((r.doc_id, r.text, r.removed) for r in rows.collect()), key=repr)
     assert len(out) == 14 and [r for r in out if r[0] == 1] == [(1, None, 0)]
     assert [r[1] for r in out if r[0] == 6] == [""] and [r[1] for r in out if r[0] == 5] == [passage(5, 80)] * 2
-    assert [r[2] for r in out if r[0] == 13] == [3]
+    assert [r[2] for r in out if r[0] == 13] == [0]
+    assert {r.doc_id: r.removed for r in op3_sentences.dedup_sentences(odd, 3, 0).collect()}[13] == 3
     assert op3_sentences.dedup_sentences(nothing).count() == 0
 
 
