@@ -56,6 +56,32 @@ def cached(key, make):
     return store[key]
 
 
+def latest(kind: str, key, make):
+    """Like cached, but a worker holds one of a kind: another key frees the last before it makes its own."""
+    slot = cached(("latest", kind), dict)
+    if slot.get("key") != key:
+        slot.clear()
+        release()
+        slot.update(key=key, value=make())
+        release()
+    return slot["value"]
+
+
+def release() -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+
 #: Bytes of text that are hashed at one time.
 CHUNK = 1 << 20
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, cached, chunks, mix, read
+from .common import Scratch, Words, chunks, latest, mix, read
 
 #: Trusted rows of each language that the model is trained on, at most; and the share of a language's documents that stays.
 TRAIN_ROWS = 2000
@@ -51,10 +51,26 @@ def lang_hash(langs):
     return np.array([xxhash.xxh64_intdigest(x or "") for x in langs.to_pylist()], np.uint64).view(np.int64)
 
 
-def pair_key(a, b):
+def spark_hash(*columns):
+    """Spark's xxhash64 of long columns, in numpy."""
     import numpy as np
 
-    return mix(a.view(np.uint64) * np.uint64(3) ^ mix(b.view(np.uint64) + np.uint64(7))).view(np.int64)
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x, n):
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for c in columns:
+        h = h + p5 + np.uint64(8)
+        h ^= turn(c.view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
 
 
 def trusted(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -102,41 +118,44 @@ def discount(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def train(sample: DataFrame, scratch: Scratch) -> None:
-    """Writes the model: gram (kind, key, value) with kind 3: discounted p(w | u v), 2: p(w | v), 1: whole p(w), 5: weight
-    left to lower order after u v, 4: after v; and 0: p of an unknown word, with the language as key."""
+    """Writes the model, a table for each kind, (kind, key, value): 3: discounted p(w | u v), 2: p(w | v), 1: whole p(w), 5: what
+    u v leaves to lower order, 4: what v leaves, 0: p of an unknown word, by language. Keys are hashes of the words.
+
+    One order at a time, so that the shuffles of one are gone when the next begins.
+    """
     spark = sample.sparkSession
     tri = scratch.write(counted(sample), "tri")
+    shares(scratch, tri, ["lang", "u", "v"], ["u", "v", "w"], 3, 5)
     bi = scratch.write(tri.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("c")), "bi")
+    scratch.drop("tri")
+    shares(scratch, bi, ["lang", "v"], ["v", "w"], 2, 4)
     uni = scratch.write(bi.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")), "uni")
+    scratch.drop("bi")
+    own = discounted(uni)
+    whole = own.groupBy("lang").agg(F.sum("c").alias("total"), F.sum("d").alias("off"), F.count(F.lit(1)).alias("n"))
+    whole = whole.select("lang", "total", (F.col("off") / F.col("total") / (F.col("n") + 1)).alias("base"))
+    own = own.join(F.broadcast(whole), "lang")  # a row a language
+    scratch.write(own.select(F.lit(1).alias("kind"), F.xxhash64("w").alias("key"), ((F.col("c") - F.col("d")) / F.col("total") + F.col("base")).alias("value")), "model/1")
+    scratch.write(whole.select(F.lit(0).alias("kind"), F.xxhash64("lang").alias("key"), F.col("base").alias("value")), "model/0")
+    scratch.drop("uni")
+
+
+def discounted(counts: DataFrame) -> DataFrame:
+    """Counts (lang, ..., c) with d, the discount of each."""
+    rows = [(k, *x) for k, x in discounts(counts, "c").items()]
+    table = counts.sparkSession.createDataFrame(rows, "lang long, d1 double, d2 double, d3 double")
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return counts.join(F.broadcast(table), "lang").withColumn("d", d)  # a row a language
 
-    def rows(d):
-        return spark.createDataFrame([(k, *x) for k, x in d.items()], "lang long, d1 double, d2 double, d3 double")
 
-    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    given = [(t, F.broadcast(rows(discounts(t, "c")))) for t in (tri, bi, uni)]  # a row a language
-    discounted = [t.join(x, "lang").withColumn("d", d) for t, x in given]
-
-    def split(t, by):
-        """Each n-gram's own share, and what its context leaves."""
-        left = t.groupBy(*by).agg(F.sum("c").alias("total"), F.sum("d").alias("off"))
-        return t.join(left, by).withColumn("own", (F.col("c") - F.col("d")) / F.col("total")), left.withColumn("rest", F.col("off") / F.col("total"))
-
-    own3, rest3 = split(discounted[0], ["lang", "u", "v"])
-    own2, rest2 = split(discounted[1], ["lang", "v"])
-    own1, rest1 = split(discounted[2], ["lang"])
-    size = uni.groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("size"))
-    base = rest1.join(size, "lang").select("lang", (F.col("rest") / F.col("size")).alias("base"))
-    own1 = own1.join(base, "lang").select("w", (F.col("own") + F.col("base")).alias("own"))
-    none = F.lit(0).cast("long")
-    parts = [
-        own3.select(F.lit(3).alias("kind"), "u", "v", "w", F.col("own").alias("value")), own2.select(F.lit(2), none, "v", "w", "own"),
-        own1.select(F.lit(1), none, none, "w", "own"), rest3.select(F.lit(5), "u", "v", none, "rest"), rest2.select(F.lit(4), none, "v", none, "rest"),
-        base.select(F.lit(0), none, none, "lang", "base"),
-    ]
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.union(p)
-    scratch.write(table, "model")
+def shares(scratch: Scratch, counts: DataFrame, context: list[str], gram: list[str], own: int, rest: int) -> None:
+    """Writes each n-gram's own share and, once a context, what the context leaves: one shuffle, by context."""
+    by = Window.partitionBy(*context)
+    rows = discounted(counts).withColumns({"total": F.sum("c").over(by), "off": F.sum("d").over(by), "k": F.row_number().over(by.orderBy(gram[-1]))})
+    first = F.struct(F.lit(own).alias("kind"), F.xxhash64(*gram).alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
+    second = F.struct(F.lit(rest).alias("kind"), F.xxhash64(*gram[:-1]).alias("key"), (F.col("off") / F.col("total")).alias("value"))
+    both = rows.select(F.explode(F.when(F.col("k") == 1, F.array(first, second)).otherwise(F.array(first))).alias("e")).select("e.*")
+    scratch.write(both, f"model/{own}")
 
 
 class Model:
@@ -144,18 +163,26 @@ class Model:
 
     def __init__(self, uri: str):
         import numpy as np
+        import pyarrow as pa
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-        table = ds.dataset(path, filesystem=system, format="parquet").to_table()
-        kind, u, v, w, value = (table.column(c).to_numpy() for c in ("kind", "u", "v", "w", "value"))
         self.tables = {}
-        for k in range(6):
-            i = np.flatnonzero(kind == k)
-            key = {0: lambda: w[i], 1: lambda: w[i], 4: lambda: v[i], 2: lambda: pair_key(v[i], w[i]), 5: lambda: pair_key(u[i], v[i]), 3: lambda: pair_key(pair_key(u[i], v[i]), w[i])}[k]()
-            order = np.argsort(key)
-            self.tables[k] = key[order], value[i][order]
+        for own, kinds in ((0, (0,)), (1, (1,)), (2, (2, 4)), (3, (3, 5))):
+            shards = ds.dataset(f"{path}/{own}", filesystem=system, format="parquet")
+            for k in kinds:  # one kind at a time, batch by batch, into arrays of the size they keep
+                only = ds.field("kind") == k
+                n, at = shards.count_rows(filter=only), 0
+                keys, values = np.empty(n, np.int64), np.empty(n, np.float32)
+                for batch in shards.to_batches(["key", "value"], filter=only, batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False):
+                    here = slice(at, at + batch.num_rows)
+                    keys[here], values[here] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    at = here.stop
+                order = np.argsort(keys)
+                self.tables[k] = keys[order], values[order]
+                del keys, values, order
+        pa.default_memory_pool().release_unused()
 
     def get(self, kind: int, keys, default: float):
         import numpy as np
@@ -174,17 +201,16 @@ class Model:
         """Natural logarithm of p(w | u v) at each place; unknown: p of an unknown word there, 0 if the language is unknown."""
         import numpy as np
 
-        p = self.get(1, w, -1.0)
+        p = self.get(1, spark_hash(w), -1.0)
         p = np.where(p < 0, unknown, p)
-        rest = self.get(4, v, -1.0)
+        rest = self.get(4, spark_hash(v), -1.0)
         seen = np.flatnonzero(rest >= 0)
-        own = self.get(2, pair_key(v[seen], w[seen]), 0.0)
+        own = self.get(2, spark_hash(v[seen], w[seen]), 0.0)
         p[seen] = own + rest[seen] * p[seen]
-        uv = pair_key(u[seen], v[seen])
-        rest = self.get(5, uv, -1.0)
+        rest = self.get(5, spark_hash(u[seen], v[seen]), -1.0)
         at = np.flatnonzero(rest >= 0)
-        seen, uv, rest = seen[at], uv[at], rest[at]
-        p[seen] = self.get(3, pair_key(uv, w[seen]), 0.0) + rest * p[seen]
+        seen, rest = seen[at], rest[at]
+        p[seen] = self.get(3, spark_hash(u[seen], v[seen], w[seen]), 0.0) + rest * p[seen]
         with np.errstate(divide="ignore"):
             return np.log(p)
 
@@ -201,16 +227,15 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: floa
     scratch = Scratch(docs.sparkSession, "quality")
     train(trusted(docs, labels, rows), scratch)
     model = f"{scratch.root}/model"
-    scratch.drop("tri", "bi", "uni")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        m = cached(("model", model), lambda: Model(model))
+        m = latest("model", model, lambda: Model(model))
         for batch in batches:
             langs = lang_hash(batch.column(1))
-            unknown = m.get(0, langs, 0.0)
+            unknown = m.get(0, spark_hash(langs), 0.0)
             n_all, out = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
             for at, some in chunks(batch.column(2)):
                 words = Words(some)
