@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_files import PATTERN, RANKS, load_ranks
-from .common import cached, read
+from .common import latest, read, release
 
-#: Words that one recursive query contracts, and token rows that one decoding query orders; they bound memory.
+#: Words that one recursive query contracts, words of texts that are put together at a time, and token rows that one
+#: decoding query orders; they bound memory.
 WORDS_AT_ONCE = 20_000
+WORDS_OUT = 200_000
 TOKENS_AT_ONCE = 2_000_000
 
 #: Rows of a word's tokens, each with the token after it. A round finds each word's leftmost pair of least rank, makes it one
@@ -51,7 +54,7 @@ class Merger:
         self.ranks = ranks = load_ranks(path)
         rows = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         m = np.array(rows, np.int64).reshape(-1, 3)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         merges = pa.table({"pair": m[:, 0] * 4294967296 + m[:, 1], "merged": m[:, 2].astype(np.int32)})  # noqa: F841
         vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
@@ -123,10 +126,10 @@ def encode(docs: DataFrame, ranks: str = RANKS, out: str = "tokens") -> DataFram
         import numpy as np
         import pyarrow as pa
 
-        merger = cached(("merger", ranks), lambda: Merger(ranks))
+        release()
+        merger = latest("merger", ranks, lambda: Merger(ranks))
         known: dict = {}  # the partition's words so far
-        values: list = []  # their tokens, flat, in pieces
-        starts, sizes, total = [], [], 0
+        values, starts, sizes = array("i"), array("q"), array("i")  # and their tokens, flat
         for batch in batches:
             words = batch.column(batch.num_columns - 1)
             coded = words.flatten().dictionary_encode()
@@ -134,22 +137,26 @@ def encode(docs: DataFrame, ranks: str = RANKS, out: str = "tokens") -> DataFram
             new = [w for w in distinct if w not in known]
             for w, toks in zip(new, merger.words(new)):
                 known[w] = len(starts)
-                starts.append(total)
+                starts.append(len(values))
                 sizes.append(len(toks))
                 values.extend(toks)
-                total += len(toks)
             place = np.array([known[w] for w in distinct], np.int64)
             codes = coded.indices.to_numpy(zero_copy_only=False)
-            which = place[codes] if len(codes) else np.zeros(0, np.int64)
-            size, start = np.array(sizes, np.int64), np.array(starts, np.int64)
-            n = size[which] if len(which) else which
-            ends = np.concatenate([[0], np.cumsum(n)])
-            take = np.arange(ends[-1]) + np.repeat((start[which] if len(which) else which) - ends[:-1], n)
-            flat = np.array(values, np.int32)[take] if len(take) else np.zeros(0, np.int32)
+            flat, start, size = np.array(values, np.int32), np.array(starts, np.int64), np.array(sizes, np.int64)
             rows = words.offsets.to_numpy()
-            offsets = ends[rows - rows[0]].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=words.is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], out])
+            rows = rows - rows[0]
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(rows, rows[at] + WORDS_OUT, side="right")) - 1)
+                which = place[codes[rows[at] : rows[to]]]
+                n = size[which]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                take = np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], n)
+                offsets = ends[rows[at : to + 1] - rows[at]].astype(np.int32)
+                some = batch.slice(at, to - at)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[take]), mask=some.column(batch.num_columns - 1).is_null())
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], [*batch.schema.names[:-1], out])
+                at = to
 
     return cut.mapInArrow(run, schema)
 
@@ -170,7 +177,7 @@ def decode(tokens: DataFrame, ranks: str = RANKS, column: str = "tokens", out: s
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        merger = cached(("merger", ranks), lambda: Merger(ranks))
+        merger = latest("merger", ranks, lambda: Merger(ranks))
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
