@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, mix, read, windows
+from .common import Scratch, Words, chunks, mix, read, release, windows
 
 #: Words from which on a repeat is cut, and words in a fingerprint of the test that sets passages aside.
 LENGTH = 50
@@ -203,16 +203,18 @@ def by_part(blocks: DataFrame, parts: int, work, kinds: list, schema: str) -> Da
     """
 
     def run(batches: Iterator) -> Iterator:
+        release()
         part, held = None, []
         for batch in batches:
             for p, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if p != part and held:
-                    yield from work(part, unpacked(held, kinds))
-                    held = []
+                    columns, held = unpacked(held, kinds), []  # only one copy of a part's rows is held
+                    yield from work(part, columns)
                 part = p
                 held.append(block)
         if held:
-            yield from work(part, unpacked(held, kinds))
+            columns, held = unpacked(held, kinds), []
+            yield from work(part, columns)
 
     return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
@@ -475,7 +477,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ca
     """(doc_id, text, words, removed) and the columns named in carry: each row's text without every run of `length` or more words that occurred before.
 
     A run's first occurrence, by order of doc_id and then place, stays; what its later ones cover, in any document or further
-    on in the same one, goes, each word with the white space before it. Words are what white space separates; case and stops
+    on in the same one, goes, each word with the white space before it; a repeat that overlaps its first occurrence (one word
+    over and over) takes the words that they share, so at least the first word stays. Words are what white space separates; case and stops
     count. A text that loses nothing comes back unchanged; one that loses all its words keeps the white space at its end.
     Null texts stay null with 0 words; texts under `length` words lose nothing. Rows whose doc_id is null are left out.
     Repeated rows (same doc_id and text) count as one document; other rows of one doc_id are told apart by their text. Other
