@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe_files import RANKS, fast_encoding
-from .common import cached, read
+from .common import Scratch, cached, read
 
 #: Lengths in one block of the two-level suffix sums; no window holds more rows than this or than there are blocks.
 BLOCK = 4096
@@ -74,7 +74,8 @@ def length_quantile(table: DataFrame, q: float) -> DataFrame:
 
 
 def op2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_table(length_histogram(read(spark, sf_dir, "documents")))
+    histogram = Scratch(spark, "counts").write(length_histogram(read(spark, sf_dir, "documents")), "histogram")  # texts are encoded once
+    return context_table(histogram)
 
 
 QUERIES = {"op2_counts": op2_counts}
