@@ -2,7 +2,8 @@
 
 Each of TABLES tables hashes a vector by HASHES random projections cut into cells. A query visits its own bucket and
 neighbouring ones in the order of their estimated chance of holding a neighbour, until the chances add up to SUCCESS; what
-the tables find is ranked by exact distance. Every row is a query.
+the tables find is ranked by exact distance. Every row is a query. Rows with fewer than k neighbours, or whose farthest lies beyond
+the radius that the cells were made for, look again in rounds of wider cells; the last few are compared with all rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, read
+from .common import Scratch, mix, read
 
 #: Neighbours of a query, tables, projections of a table, a cell's width in distances of the farthest neighbour wanted, and
 #: the estimated chance, table by table, at which probing stops.
@@ -29,12 +30,16 @@ RADIUS_ROWS = 256
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
 
+#: Rows that are compared with all rows at one time, without another round once no more are left, and rounds at most before that.
+EXACT_ROWS = 1024
+ROUNDS = 8
 
-def radius(vectors: DataFrame, dim: int, k: int) -> float:
-    """The distance within which 9 of 10 rows have their k nearest: of RADIUS_ROWS rows, each against all vectors."""
+
+def radius(vectors: DataFrame, dim: int, k: int, queries: DataFrame | None = None) -> float:
+    """The distance within which 9 of 10 queries (all rows unless given) have their k nearest: of RADIUS_ROWS, each against all vectors."""
     import numpy as np
 
-    some = vectors.orderBy(F.md5(F.col("id").cast("string")), "id").limit(RADIUS_ROWS).collect()
+    some = (vectors if queries is None else queries).orderBy(F.md5(F.col("id").cast("string")), "id").limit(RADIUS_ROWS).collect()
     ids, q = np.array([r["id"] for r in some]), np.array([r["v"] for r in some], np.float32)
 
     def run(batches: Iterator) -> Iterator:
@@ -110,12 +115,8 @@ def neighbours(
     Rows whose id or vector is null, that hold a null or NaN, or whose length isn't that of most vectors (the greater of
     equally frequent ones) are neither queries nor neighbours. Repeated ids with equal vectors count once; of an id with several
     vectors the greatest counts. Equal vectors of different ids are neighbours at distance 0. Other columns are ignored. An
-    empty table gives no rows. The radius is measured when this is called.
+    empty table gives no rows. The rounds run when this is called.
     """
-    import itertools
-
-    import numpy as np
-
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
@@ -124,11 +125,70 @@ def neighbours(
         return spark.createDataFrame([], f"{id_col} long, neighbour long, distance double, rank int")
     dim, total = sizes["n"], sizes["count"]
     clean = clean.where(F.size("v") == dim).groupBy("id").agg(F.max("v").alias("v"))
-    r = radius(clean, dim, k)
+    scratch = Scratch(spark, "neighbours")
+    clean = scratch.write(clean, "vectors")
+    total = clean.count()
+    rest, left, r, rounds = clean, total, radius(clean, dim, k), []
+    while left and (not rounds or left > EXACT_ROWS and len(rounds) < ROUNDS):
+        shards = max(1, -(-total // shard_rows))
+        best = nearest(search(clean, rest, dim, r, k, tables, hashes, width, success, seed, shards), k)
+        rounds.append(scratch.write(best, f"round{len(rounds)}"))
+        answered = rounds[-1].groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).where((F.col("n") >= min(k, total - 1)) & (F.col("d") <= r * r))
+        rest = scratch.write(rest.join(answered.select("id"), "id", "left_anti"), f"rest{len(rounds)}")
+        left = rest.count()
+        if left > EXACT_ROWS:
+            r = max(2 * r, radius(clean, dim, k, rest))
+    if left:
+        rounds += exact(clean, rest, dim, k, scratch)
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.unionByName(more)
+    return nearest(found, k).select(F.col("id").alias(id_col), "neighbour", F.sqrt("d").alias("distance"), "rank")
+
+
+def nearest(found: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, d, rank): the k nearest of each query among what was found, each neighbour once."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbour"))
+    best = found.groupBy("id", "neighbour").agg(F.min("d").alias("d")).withColumn("rank", place)
+    return best.where(F.col("rank") <= k)
+
+
+def exact(vectors: DataFrame, queries: DataFrame, dim: int, k: int, scratch: Scratch) -> list[DataFrame]:
+    """(id, neighbour, d, rank) of each query against all vectors, a table for EXACT_ROWS queries."""
+    import itertools
+
+    import numpy as np
+
+    out, rows = [], queries.select("id", "v").toLocalIterator()
+    while some := list(itertools.islice(rows, EXACT_ROWS)):
+        ids, q = np.array([x["id"] for x in some]), np.array([x["v"] for x in some], np.float32)
+
+        def run(batches: Iterator, ids=ids, q=q) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            for whole in batches:
+                for at in range(0, whole.num_rows, BLOCK_ROWS):
+                    batch = whole.slice(at, BLOCK_ROWS)
+                    known, y = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, dim).astype(np.float32)
+                    table = np.zeros(1, np.uint64), np.array([0, len(known)]), known, y, (y**2).sum(1)
+                    got = visited(ids, q, np.arange(len(ids)), np.zeros(len(ids), np.uint64), table, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["id", "neighbour", "d"])
+
+        best = nearest(vectors.select("id", "v").mapInArrow(run, "id long, neighbour long, d double"), k)
+        out.append(scratch.write(best, f"exact{len(out)}"))
+    return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, dim: int, r: float, k: int, tables: int, hashes: int, width: float, success: float, seed: int, shards: int) -> DataFrame:
+    """(id, neighbour, d): what each query finds among the vectors in cells of `width` times r; d: squared distance."""
+    import itertools
+
+    import numpy as np
+
     w = width * r
     a, b = projections(dim, tables, hashes, w, seed)
     steps = np.array(list(itertools.product((-1, 0, 1), repeat=hashes)))
-    shards = max(1, -(-total // shard_rows))
 
     def send(batches: Iterator) -> Iterator:
         """Blocks (part, kind, ids, vectors, probes): kind 0 to be found, kind 1 to look; probes: row and bucket."""
@@ -138,15 +198,15 @@ def neighbours(
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(at, BLOCK_ROWS)
-                ids = batch.column(0).to_numpy()
+                ids, asks = batch.column(0).to_numpy(), np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
                 x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
                 x32, rows = x.astype(np.float32), []
                 for t in range(tables):
                     p = (x @ a[t] + b[t]) / w
                     cells = np.floor(p).astype(np.int64)
                     own = bucket_of(cells, t)
-                    order, n = probes(p - cells, w, r, success, steps)
-                    who = np.repeat(np.arange(len(ids)), n)
+                    order, n = probes((p - cells)[asks], w, r, success, steps)
+                    who = np.repeat(asks, n)
                     which = order[np.arange(order.shape[1]) < n[:, None]]
                     visit = bucket_of(cells[who] + steps[which], t)
                     for kind, row, bucket in ((0, np.arange(len(ids)), own), (1, who, visit)):
@@ -189,11 +249,10 @@ def neighbours(
                 q, other, d = visited(ids, x, row, bucket, table, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(other), pa.array(d)], ["id", "neighbour", "d"])
 
-    sent = clean.mapInArrow(send, "part int, kind int, ids binary, vectors binary, row binary, bucket binary")
-    found = sent.repartition(tables * shards, "part").sortWithinPartitions("part", "kind").mapInArrow(find, "id long, neighbour long, d double")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbour"))
-    ranked = found.groupBy("id", "neighbour").agg(F.min("d").alias("d")).withColumn("rank", place).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias(id_col), "neighbour", F.sqrt("d").alias("distance"), "rank")
+    asking = queries.select("id", F.lit(True).alias("asks"))
+    marked = vectors.join(asking, "id", "left").select("id", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
+    sent = marked.mapInArrow(send, "part int, kind int, ids binary, vectors binary, row binary, bucket binary")
+    return sent.repartition(tables * shards, "part").sortWithinPartitions("part", "kind").mapInArrow(find, "id long, neighbour long, d double")
 
 
 def visited(ids, x, row, bucket, table, k: int):

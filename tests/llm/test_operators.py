@@ -196,6 +196,25 @@ def test_odd_vectors(spark):
     assert op5_neighbours.neighbours(v.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("at_once,rounds", [(1024, 8), (16, 8), (16, 1)])  # exact at once, wider rounds first, several exact passes
+def test_sparse_rows_among_tight_groups_are_answered(spark, monkeypatch, at_once, rounds):
+    monkeypatch.setattr(op5_neighbours, "EXACT_ROWS", at_once)
+    monkeypatch.setattr(op5_neighbours, "ROUNDS", rounds)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((50, 32))
+    x = np.concatenate([centres[np.arange(1365) % 50] + 0.01 * rng.standard_normal((1365, 32)), rng.standard_normal((135, 32))])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, 1)[:, :10]
+    got = collections.defaultdict(set)
+    for r in op5_neighbours.neighbours(v).collect():
+        got[r.vec_id].add(r.neighbour)
+    assert all(len(got[i]) == 10 for i in range(1500))
+    recall = [len(got[i] & set(want[i])) / 10 for i in range(1500)]
+    assert np.mean(recall[1365:]) >= 0.9 and np.mean(recall) >= 0.9
+
+
 # 6
 
 
