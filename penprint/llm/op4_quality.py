@@ -1,8 +1,8 @@
 """Operator 4: quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counting and the joins that make probabilities of counts run as shuffles, sharded by n-gram. The model is bounded by its
-training sample, so scoring brings its shards to the documents and not the corpus's n-grams to the shards: each Python worker
-reads the shards once from the shared folder and joins them by binary search.
+All trusted text counts. Counting and the joins that make probabilities of counts run as shuffles, sharded by n-gram. Scoring deals
+the documents' trigrams to the shards by the hash of their middle word, which every n-gram but the unigrams shares; words whose
+bigram is unknown go on to the unigrams by a join. It runs in SLICES passes over the documents, each for a share of the shards.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, latest, mix, read
+from .common import WORD_RE, Scratch, Words, chunks, mix, read
 
-#: Trusted rows of each language that the model is trained on, at most; and the share of a language's documents that stays.
-TRAIN_ROWS = 2000
+#: The share of a language's documents that stays.
 KEEP = 0.9
 
+#: Passes over the documents, each of which shuffles its share of their trigrams; and rows of the model that a shard holds.
+SLICES = 4
+SHARD_ROWS = 1 << 19
+
 #: Hash that stands for what is before a text.
 START = 1
 
@@ -73,15 +76,12 @@ def spark_hash(*columns):
     return h.view(np.int64)
 
 
-def trusted(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(lang, text) of at most `rows` documents of each language labelled good and not toxic, those of least MD5 of doc_id."""
+def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(lang, text) of every document labelled good and not toxic."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    ids = docs.select("doc_id", lang.alias("lang")).join(good, "doc_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    ids = ids.withColumn("k", place).where(F.col("k") <= rows).select("doc_id").distinct()
-    # At most `rows` ids a language: bounded whatever the size of the table.
-    return docs.select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    return every.join(good, "doc_id", "left_semi").select("lang", "text")
 
 
 def counted(sample: DataFrame) -> DataFrame:
@@ -117,27 +117,26 @@ def discount(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.01), k) for d, k in ((d1, 1.0), (d2, 2.0), (d3, 3.0)))
 
 
-def train(sample: DataFrame, scratch: Scratch) -> None:
-    """Writes the model, a table for each kind, (kind, key, value): 3: discounted p(w | u v), 2: p(w | v), 1: whole p(w), 5: what
-    u v leaves to lower order, 4: what v leaves, 0: p of an unknown word, by language. Keys are hashes of the words.
-
-    One order at a time, so that the shuffles of one are gone when the next begins.
+def train(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict[int, float]]:
+    """The model: (v, kind, key, value), 3: discounted p(w | u v), 2: whole p(w | v), 5: what u v leaves to lower order, 4: what v
+    leaves; (w, p), whole p(w); and p of an unknown word by language. Keys are hashes of the words.
     """
-    spark = sample.sparkSession
     tri = scratch.write(counted(sample), "tri")
-    shares(scratch, tri, ["lang", "u", "v"], ["u", "v", "w"], 3, 5)
     bi = scratch.write(tri.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("c")), "bi")
-    scratch.drop("tri")
-    shares(scratch, bi, ["lang", "v"], ["v", "w"], 2, 4)
     uni = scratch.write(bi.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")), "uni")
-    scratch.drop("bi")
     own = discounted(uni)
     whole = own.groupBy("lang").agg(F.sum("c").alias("total"), F.sum("d").alias("off"), F.count(F.lit(1)).alias("n"))
     whole = whole.select("lang", "total", (F.col("off") / F.col("total") / (F.col("n") + 1)).alias("base"))
     own = own.join(F.broadcast(whole), "lang")  # a row a language
-    scratch.write(own.select(F.lit(1).alias("kind"), F.xxhash64("w").alias("key"), ((F.col("c") - F.col("d")) / F.col("total") + F.col("base")).alias("value")), "model/1")
-    scratch.write(whole.select(F.lit(0).alias("kind"), F.xxhash64("lang").alias("key"), F.col("base").alias("value")), "model/0")
+    words = scratch.write(own.select("w", ((F.col("c") - F.col("d")) / F.col("total") + F.col("base")).alias("p")), "words")
+    base = {r["lang"]: r["base"] for r in whole.collect()}
     scratch.drop("uni")
+    two = shares(bi, ["lang", "v"], "w").join(words, "w").withColumn("own", F.col("own") + F.col("rest") * F.col("p"))
+    two = scratch.write(grams(two, ["v", "w"], 2, 4), "model2")
+    scratch.drop("bi")
+    three = scratch.write(grams(shares(tri, ["lang", "u", "v"], "w"), ["u", "v", "w"], 3, 5), "model3")
+    scratch.drop("tri")
+    return two.unionByName(three), words, base
 
 
 def discounted(counts: DataFrame) -> DataFrame:
@@ -148,74 +147,128 @@ def discounted(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(table), "lang").withColumn("d", d)  # a row a language
 
 
-def shares(scratch: Scratch, counts: DataFrame, context: list[str], gram: list[str], own: int, rest: int) -> None:
-    """Writes each n-gram's own share and, once a context, what the context leaves: one shuffle, by context."""
+def shares(counts: DataFrame, context: list[str], last: str) -> DataFrame:
+    """Counts with each n-gram's own share, what its context leaves, and k = 1 once a context: one shuffle, by context."""
     by = Window.partitionBy(*context)
-    rows = discounted(counts).withColumns({"total": F.sum("c").over(by), "off": F.sum("d").over(by), "k": F.row_number().over(by.orderBy(gram[-1]))})
-    first = F.struct(F.lit(own).alias("kind"), F.xxhash64(*gram).alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
-    second = F.struct(F.lit(rest).alias("kind"), F.xxhash64(*gram[:-1]).alias("key"), (F.col("off") / F.col("total")).alias("value"))
-    both = rows.select(F.explode(F.when(F.col("k") == 1, F.array(first, second)).otherwise(F.array(first))).alias("e")).select("e.*")
-    scratch.write(both, f"model/{own}")
+    rows = discounted(counts).withColumns({"total": F.sum("c").over(by), "off": F.sum("d").over(by), "k": F.row_number().over(by.orderBy(last))})
+    return rows.withColumns({"own": (F.col("c") - F.col("d")) / F.col("total"), "rest": F.col("off") / F.col("total")})
+
+
+def grams(rows: DataFrame, gram: list[str], own: int, rest: int) -> DataFrame:
+    """(v, kind, key, value) of each n-gram and, once a context, of the context."""
+    first = F.struct(F.lit(own).alias("kind"), F.xxhash64(*gram).alias("key"), F.col("own").cast("float").alias("value"))
+    second = F.struct(F.lit(rest).alias("kind"), F.xxhash64(*gram[:-1]).alias("key"), F.col("rest").cast("float").alias("value"))
+    return rows.select("v", F.explode(F.when(F.col("k") == 1, F.array(first, second)).otherwise(F.array(first))).alias("e")).select("v", "e.*")
+
+
+def shard_of(v, shards: int):
+    """The shard of each middle word, in the order of its hash as an unsigned number."""
+    import numpy as np
+
+    return ((v.view(np.uint64) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def found(known, keys, default: float):
+    """Values of keys among the sorted (keys, values); default where there is none."""
+    import numpy as np
+
+    names, values = known
+    if not len(names):
+        return np.full(len(keys), default)
+    order = np.argsort(keys)  # searching in order stays in the cache
+    at = np.searchsorted(names, keys[order])
+    at[at == len(names)] = 0
+    out = np.empty(len(keys))
+    out[order] = np.where(names[at] == keys[order], values[at], default)
+    return out
+
+
+BLOCK = "part int, kind int, a binary, b binary, c binary, d binary, e binary"
+TOKENS = 9
+
 
+def blocks(rows):
+    import pyarrow as pa
 
-class Model:
-    """Sorted keys and values of each kind, read from the shards in the shared folder."""
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["part", "kind", *"abcde"])
 
-    def __init__(self, uri: str):
+
+def dealt(texts: DataFrame, model: DataFrame, shards: int, at: int) -> DataFrame:
+    """(t, w, lp, n): sums of logarithms and numbers of words of the texts (t, lang, text) in every SLICES-th shard from `at` on.
+
+    Where w isn't null, its bigram is unknown, and p(w) is still to be added.
+    """
+
+    def send_model(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-        self.tables = {}
-        for own, kinds in ((0, (0,)), (1, (1,)), (2, (2, 4)), (3, (3, 5))):
-            shards = ds.dataset(f"{path}/{own}", filesystem=system, format="parquet")
-            for k in kinds:  # one kind at a time, batch by batch, into arrays of the size they keep
-                only = ds.field("kind") == k
-                n, at = shards.count_rows(filter=only), 0
-                keys, values = np.empty(n, np.int64), np.empty(n, np.float32)
-                for batch in shards.to_batches(["key", "value"], filter=only, batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False):
-                    here = slice(at, at + batch.num_rows)
-                    keys[here], values[here] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                    at = here.stop
-                order = np.argsort(keys)
-                self.tables[k] = keys[order], values[order]
-                del keys, values, order
-        pa.default_memory_pool().release_unused()
-
-    def get(self, kind: int, keys, default: float):
+
+        for batch in batches:
+            v, kind, key, value = (c.to_numpy() for c in batch.columns)
+            part = shard_of(v, shards)
+            mine = np.flatnonzero(part % SLICES == at)
+            mine = mine[np.lexsort((kind[mine], part[mine]))]
+            edge = np.flatnonzero(np.diff(part[mine] * 16 + kind[mine])) + 1
+            groups = [i for i in np.split(mine, edge) if len(i)]
+            yield blocks([(int(part[i[0]]), int(kind[i[0]]), key[i].tobytes(), value[i].tobytes(), None, None, None) for i in groups])
+
+    def send_texts(batches: Iterator) -> Iterator:
         import numpy as np
 
-        known, values = self.tables[kind]
-        if not len(known):
-            return np.full(len(keys), default)
-        order = np.argsort(keys)  # searching in order stays in the cache
-        at = np.searchsorted(known, keys[order])
-        at[at == len(known)] = 0
-        out = np.empty(len(keys))
-        out[order] = np.where(known[at] == keys[order], values[at], default)
-        return out
-
-    def log_p(self, u, v, w, unknown):
-        """Natural logarithm of p(w | u v) at each place; unknown: p of an unknown word there, 0 if the language is unknown."""
+        for batch in batches:
+            names, langs = batch.column(0).to_numpy(), lang_hash(batch.column(1))
+            for first, some in chunks(batch.column(2)):
+                words = Words(some)
+                here = slice(first, first + len(some))
+                u, v, w = trigrams(words, langs[here])
+                owner = np.repeat(np.arange(len(some), dtype=np.int32), np.diff(words.offsets))
+                part = shard_of(v, shards)
+                mine = np.flatnonzero(part % SLICES == at)
+                mine = mine[np.argsort(v[mine].view(np.uint64))]
+                groups = [i for i in np.split(mine, np.flatnonzero(np.diff(part[mine])) + 1) if len(i)]
+                rows = []
+                for i in groups:
+                    who, place = np.unique(owner[i], return_inverse=True)
+                    rows.append((int(part[i[0]]), TOKENS, u[i].tobytes(), v[i].tobytes(), w[i].tobytes(), place.astype(np.int32).tobytes(), names[here][who].tobytes()))
+                yield blocks(rows)
+
+    def look(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
 
-        p = self.get(1, spark_hash(w), -1.0)
-        p = np.where(p < 0, unknown, p)
-        rest = self.get(4, spark_hash(v), -1.0)
-        seen = np.flatnonzero(rest >= 0)
-        own = self.get(2, spark_hash(v[seen], w[seen]), 0.0)
-        p[seen] = own + rest[seen] * p[seen]
-        rest = self.get(5, spark_hash(u[seen], v[seen]), -1.0)
-        at = np.flatnonzero(rest >= 0)
-        seen, rest = seen[at], rest[at]
-        p[seen] = self.get(3, spark_hash(u[seen], v[seen], w[seen]), 0.0) + rest * p[seen]
-        with np.errstate(divide="ignore"):
-            return np.log(p)
-
-
-def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
+        part, held, tables = None, None, None
+        for batch in batches:
+            for p, kind, *data in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part:
+                    part, held, tables = p, {k: ([], []) for k in (2, 3, 4, 5)}, None
+                if kind != TOKENS:
+                    held[kind][0].append(np.frombuffer(data[0], np.int64))
+                    held[kind][1].append(np.frombuffer(data[1], np.float32))
+                    continue
+                if tables is None:
+                    tables = {}
+                    for k in (2, 3, 4, 5):
+                        keys, values = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.float32), held.pop(k)))
+                        order = np.argsort(keys)
+                        tables[k] = keys[order], values[order]
+                u, v, w, t = *(np.frombuffer(x, np.int64) for x in data[:3]), np.frombuffer(data[4], np.int64)
+                place = np.frombuffer(data[3], np.int32)
+                rest = found(tables[5], spark_hash(u, v), 1.0)
+                two = found(tables[2], spark_hash(v, w), -1.0)
+                seen, new = two >= 0, np.flatnonzero(two < 0)
+                prob = rest * found(tables[4], spark_hash(v), 1.0)
+                prob[seen] = found(tables[3], spark_hash(u[seen], v[seen], w[seen]), 0.0) + rest[seen] * two[seen]
+                sums, n = np.bincount(place, np.log(prob), len(t)), np.bincount(place, minlength=len(t))
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.nulls(len(t), pa.int64()), pa.array(sums), pa.array(n)], ["t", "w", "lp", "n"])
+                if len(new):
+                    k = len(new)
+                    yield pa.RecordBatch.from_arrays([pa.array(t[place[new]]), pa.array(w[new]), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int64))], ["t", "w", "lp", "n"])
+
+    sent = model.select("v", "kind", "key", "value").mapInArrow(send_model, BLOCK).unionByName(texts.mapInArrow(send_texts, BLOCK))
+    return sent.repartition(-(-shards // SLICES), "part").sortWithinPartitions("part", "kind").mapInArrow(look, "t long, w long, lp double, n long")
+
+
+def score(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """(doc_id, lang, tokens, perplexity, threshold, kept) for every row of docs.
 
     perplexity: of the whole text under its language's model; null for null texts, texts without words and languages without
@@ -224,34 +277,36 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: floa
     decides nothing. Null and empty languages are one. Repeated rows and rows without doc_id are scored like others. Labels:
     doc_id, quality, toxic (null counts as 0); several labels for one document count once. Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    train(trusted(docs, labels, rows), scratch)
-    model = f"{scratch.root}/model"
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        m = latest("model", model, lambda: Model(model))
-        for batch in batches:
-            langs = lang_hash(batch.column(1))
-            unknown = m.get(0, spark_hash(langs), 0.0)
-            n_all, out = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
-            for at, some in chunks(batch.column(2)):
-                words = Words(some)
-                here = slice(at, at + len(some))
-                n = np.diff(words.offsets)
-                n_all[here] = n
-                lp = m.log_p(*trigrams(words, langs[here]), np.repeat(unknown[here], n))
-                owner = np.repeat(np.arange(len(some)), n)
-                sums = np.bincount(owner, lp, len(some))
-                ok = (n > 0) & (unknown[here] > 0)
-                out[here][ok] = np.exp(-sums[ok] / n[ok])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_all), pa.array(out, mask=np.isnan(out))], ["doc_id", "lang", "tokens", "perplexity"])
-
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, tokens_text(F.col("text").cast("string")).alias("t"))
-    scored = scratch.write(rows_in.mapInArrow(run, "doc_id long, lang string, tokens long, perplexity double"), "scored")
+    import numpy as np
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
+    model, words, base = train(trusted(docs, labels), scratch)
+    shards = max(8 * SLICES, -(-model.count() // SHARD_ROWS))
+    lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("")), F.col("text").cast("string")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64(lang, text).alias("t"), tokens_text(text).alias("text"))
+    sums = []
+    for at in range(SLICES):  # equal texts add up to the same mean
+        part = scratch.write(dealt(every.select("t", "lang", "text"), model, shards, at).groupBy("t", "w").agg(F.sum("lp").alias("lp"), F.sum("n").alias("n"), F.count("w").alias("times")), f"slice{at}")
+        known = part.where("w is not null").join(words, "w", "left")
+        known = known.select("t", F.coalesce(F.log("p") * F.col("times"), F.lit(0.0)).alias("lp"), F.lit(0).cast("long").alias("n"), F.when(F.col("p").isNull(), F.col("times")).otherwise(0).alias("unknown"))
+        both = part.where("w is null").select("t", "lp", "n", F.lit(0).cast("long").alias("unknown")).unionByName(known)
+        sums.append(scratch.write(both.groupBy("t").agg(*(F.sum(c).alias(c) for c in ("lp", "n", "unknown"))), f"sums{at}"))
+        scratch.drop(f"slice{at}")
+    scratch.drop("model2", "model3", "words")
+    whole = sums[0]
+    for more in sums[1:]:
+        whole = whole.unionByName(more)
+    whole = whole.groupBy("t").agg(*(F.sum(c).alias(c) for c in ("lp", "n", "unknown")))
+    names = [r["lang"] for r in every.select("lang").distinct().collect()]
+    rows = [(x, float(np.log(base[int(h)]))) for x, h in zip(names, lang_hash(pa.array(names, pa.string()))) if int(h) in base]
+    bases = spark.createDataFrame(rows, "lang string, base double")
+    counts = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+    out = every.select("doc_id", "lang", "t", counts.alias("tokens")).join(whole, "t", "left").join(F.broadcast(bases), "lang", "left")  # a row a language
+    perplexity = F.exp(-(F.col("lp") + F.col("unknown") * F.col("base")) / F.col("n"))
+    scored = scratch.write(out.select("doc_id", "lang", "tokens", perplexity.alias("perplexity")), "scored")
+    scratch.drop(*(f"sums{at}" for at in range(SLICES)))
     limits = scored.groupBy("lang").agg(F.percentile_approx("perplexity", keep, 100_000).alias("threshold"))  # a row a language
     return scored.join(limits, "lang", "left").select("doc_id", "lang", "tokens", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))
 

@@ -158,6 +158,13 @@ def test_quality_against_brute_force(spark):
     assert got[0].threshold == known[15] and got[31].perplexity is None and got[32].kept is None
 
 
+def test_quality_counts_all_trusted_text(spark):
+    """The last of 2500 trusted documents counts as much as the first: each has a word of its own."""
+    d = docs(spark, *(f"aa bb own{i}" for i in range(2500)))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2500)], "doc_id long, quality int, toxic int")
+    assert len({round(r.perplexity, 6) for r in op4_quality.score(d, labels).collect()}) == 1
+
+
 def test_quality_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     rows = op4_quality.score(odd, labels).collect()
