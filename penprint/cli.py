@@ -30,6 +30,13 @@ def flat_profile(docs, lang: str = "en"):
     return p.select("doc_id", *(from_(g, f).alias(name) for name, (g, f) in fields.items()))
 
 
+def show_all(rows) -> None:
+    """Prints every row, however many."""
+    rows = rows.cache()
+    rows.show(rows.count(), False)
+    rows.unpersist()
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("penprint")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -51,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
         analyze(docs, [x for x in a.analyzers.split(",") if x] or None, a.lang).write.json(a.output)
     elif a.command == "compare":
         unknown = read_files(spark, a.unknown).select(F.col("path").alias("unknown_id"), "text")
-        delta.burrows_delta(docs.where("text is not null"), unknown, a.n).orderBy("unknown_id", "rank").show(100, False)
+        show_all(delta.burrows_delta(docs.where("text is not null"), unknown, a.n).orderBy("unknown_id", "rank"))
     elif a.command == "report":
         row = analyze(docs, None, a.lang).first()
         print(row.asDict(True) if a.format == "json" else (html_report if a.format == "html" else text_report)(row.asDict(True)))
@@ -64,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
         Store(spark, a.store).upsert(to_rows(docs.withColumn("author", F.lit(a.author)), None, a.lang))
     elif a.command == "search-style":
         rows = to_rows(docs, None, a.lang).select(F.xxhash64("document_id").alias("query"), "vector")
-        Store(spark, a.store).search(rows, a.n).orderBy("query", "rank").show(100, False)
+        show_all(Store(spark, a.store).search(rows, a.n).orderBy("query", "rank"))
     return 0
 
 
