@@ -1,8 +1,8 @@
 """Operator 8: near duplicates by order MinHash, verified by banded alignment.
 
-Each of SKETCHES hash functions picks the PICKED least of a text's k-mers, each labelled with how often it has occurred
-before, and keeps them in the order of the text. Texts that agree in a whole sketch are likely to be within a small edit
-distance; a banded alignment of their words decides.
+Each of a text's sketches picks, by a hash function of its own, the PICKED least of the text's k-mers, each labelled with how often it
+has occurred before, and keeps them in the order of the text. Texts that agree in a whole sketch are likely to be within a small edit
+distance. What their words alone rule out goes; a banded alignment decides the rest.
 """
 
 from __future__ import annotations
@@ -12,63 +12,104 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, documents, mix, read, windows
+from .common import Scratch, Words, chunks, mix, read, windows
 
 #: Words in a k-mer, k-mers in a sketch, sketches of a text, and the edit similarity from which texts are near duplicates.
 K = 3
-PICKED = 2
-SKETCHES = 24
+PICKED = 3
+SKETCHES = 72
 SIMILARITY = 0.8
 
+#: One changed word breaks K k-mers, most of those that a short text has. Texts up to SHORT words get SHORT_SKETCHES more, of single words.
+SHORT = 31
+SHORT_SKETCHES = 24
+
+#: Counters of a bag: words by hash, up to 255 each. Texts that one task compares with each other, and pairs that it looks at together.
+BAG = 128
+BLOCK = 256
+PAIRS = 100_000
+
+#: Id of rows without doc_id: they come last.
+LAST = (1 << 63) - 1
+
 
 def sketches(words: Words, k: int = K, picked: int = PICKED, count: int = SKETCHES):
-    """(texts, count) hashes; texts without words get none (the second result tells which have some).
+    """(owner, hash): the sketches of each text, by text. Texts without words have none.
 
-    A text of fewer than k + picked - 1 words is sketched by all its words.
+    A text of fewer than `picked` words has one, of all its words; one of at most SHORT words has SHORT_SKETCHES of single words; one
+    with `picked` k-mers or more has `count` of k-mers.
     """
     import numpy as np
 
-    texts = len(words)
-    out = np.zeros((texts, count), np.int64)
     length = np.diff(words.offsets)
-    some = length > 0
-    short = some & (length < k + picked - 1)
-    for i in np.flatnonzero(short):
+    owners, found = [], []
+    for i in np.flatnonzero((length > 0) & (length < picked)):
         h = words.hash[words.text(i)]
-        out[i] = mix(windows(h, len(h)) + np.arange(1, count + 1, dtype=np.uint64)).view(np.int64)
-    long_ = np.flatnonzero(some & ~short)
-    if not len(long_):
-        return out, some
-    grams = windows(words.hash, k)
-    n = length[long_] - k + 1
+        owners.append([i])
+        found.append(mix(windows(h, len(h))).view(np.int64))
+    for k_, count_, which in ((1, SHORT_SKETCHES, (length >= picked) & (length <= max(SHORT, k + picked - 2))), (k, count, length - k + 1 >= picked)):
+        which = np.flatnonzero(which)
+        if len(which) and count_:
+            owners.append(np.repeat(which, count_))
+            found.append(_picked(words, length, which, k_, picked, count_).ravel())
+    owner, found = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (owners, found))
+    order = np.argsort(owner, kind="stable")
+    return owner[order], found[order]
+
+
+def _picked(words: Words, length, which, k: int, picked: int, count: int):
+    """(texts, count) hashes of the chosen texts, each of `picked` k-mers or more."""
+    import numpy as np
+
+    n = length[which] - k + 1
     starts = np.cumsum(n) - n
-    owner = np.repeat(np.arange(len(long_)), n)
-    place = np.arange(n.sum()) - starts[owner]
-    g = grams[words.offsets[long_][owner] + place]
+    owner = np.repeat(np.arange(len(which)), n)
+    at = np.arange(n.sum())
+    g = windows(words.hash, k)[words.offsets[which][owner] + at - starts[owner]]
     # occurrence labels: how often the k-mer came before in its text
     order = np.lexsort((g, owner))
     so, sg = owner[order], g[order]
     run = np.concatenate([[True], (so[1:] != so[:-1]) | (sg[1:] != sg[:-1])])
-    at = np.arange(len(order))
     label = np.empty(len(order), np.uint64)
     label[order] = at - np.maximum.accumulate(np.where(run, at, 0))
     g = mix(g + label * np.uint64(0x9E3779B97F4A7C15))
-    seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    for s in range(count):
-        h = mix(g ^ seeds[s])
-        found = []
-        for _ in range(picked):
-            least = np.minimum.reduceat(h, starts)
-            where = np.flatnonzero(h == least[owner])
-            first = where[np.concatenate([[True], owner[where][1:] != owner[where][:-1]])]
-            found.append(first)
-            h[first] = np.iinfo(np.uint64).max
-        picks = np.sort(np.stack(found, 1), 1)  # in the order of the text
-        x = np.full(len(long_), seeds[s])
+    half, at = (g >> np.uint64(32)).astype(np.uint32), at.astype(np.uint64)
+    seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(k))
+    out = np.empty((len(which), count), np.int64)
+    picks = np.empty((picked, len(which)), np.int64)
+    for s, seed in enumerate(seeds):
+        h = (half ^ np.uint32(seed >> np.uint64(32))) * np.uint32(seed | np.uint64(1))
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x846CA68B)
+        key = h.astype(np.uint64)  # the hash above, the place below: the least has both
+        key <<= np.uint64(32)
+        key |= at
         for j in range(picked):
-            x = mix(x * np.uint64(0x100000001B3) ^ g[picks[:, j]])
-        out[long_, s] = x.view(np.int64)
-    return out, some
+            picks[j] = np.minimum.reduceat(key, starts) & np.uint64(0xFFFFFFFF)
+            key[picks[j]] = np.iinfo(np.uint64).max
+        x = np.full(len(which), seed)
+        for j in np.sort(picks, 0):  # in the order of the text
+            x = mix(x * np.uint64(0x100000001B3) ^ g[j])
+        out[:, s] = x.view(np.int64)
+    return out
+
+
+def bags(words: Words):
+    """(texts, BAG) counters of each text's words, 255 at most."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(words)), np.diff(words.offsets))
+    slot = (words.hash.view(np.uint64) >> np.uint64(57)).astype(np.int64)
+    return np.minimum(np.bincount(owner * BAG + slot, minlength=len(words) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
+
+
+def may_be_near(a, b, n, m, similarity: float):
+    """Whether bags a and b (rows) of n and m words allow so few edits: an edit takes one word away, or adds one, or both."""
+    import numpy as np
+
+    d = a.astype(np.int16) - b
+    least = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1))
+    return np.maximum(least, np.abs(n - m)) <= allowed(np.maximum(n, m), similarity)
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -116,49 +157,238 @@ def banded_distance(a: list, b: list, most: int) -> int:
     return score if score <= limit else limit + 1
 
 
-def allowed(words: int, similarity: float) -> int:
-    """Edits that two texts may be apart, the longer of them having so many words."""
-    return int(words * (1 - similarity) + 1e-9)
+def allowed(words, similarity: float):
+    """Edits that two texts may be apart, the longer of them having so many words (a number or an array)."""
+    most = words * (1 - similarity) + 1e-9
+    return int(most) if isinstance(words, int) else most.astype(int)
+
+
+def bounds(x, y, most: int) -> tuple[int, int]:
+    """What the edit distance of two arrays is at least, by their words alone, and at most, by one alignment.
+
+    The alignment goes through words that occur once in either array, at most `most` places apart.
+    """
+    import numpy as np
+
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    front = n if same.all() else int(same.argmin())
+    x, y, n = x[front:], y[front:], n - front
+    if n:
+        same = x[-n:][::-1] == y[-n:][::-1]
+        back = n if same.all() else int(same.argmin())
+        x, y = x[: len(x) - back], y[: len(y) - back]
+    if not len(x) or not len(y):
+        return (max(len(x), len(y)),) * 2
+    both = np.concatenate([x, y])
+    order = np.argsort(both, kind="stable")  # x's before y's
+    new = np.concatenate([[True], both[order][1:] != both[order][:-1]])
+    first, kind = np.flatnonzero(new), np.cumsum(new) - 1
+    of_y = np.bincount(kind[order >= len(x)], minlength=len(first))
+    of_x = np.diff(np.append(first, len(both))) - of_y
+    least = max(len(x), len(y)) - int(np.minimum(of_x, of_y).sum())
+    if least > most:
+        return least, len(both)
+    once = first[(of_x == 1) & (of_y == 1)]
+    i, j = order[once], order[np.minimum(once + 1, len(both) - 1)] - len(x)
+    by = np.argsort(i)
+    i, j = i[by], j[by]
+    keep = np.abs(i - j) <= most
+    i, j = i[keep], j[keep]
+    d = j - i
+    keep = np.zeros(len(d), bool)  # one that shares its diagonal with neither neighbour may bar the way
+    keep[1:] |= d[1:] == d[:-1]
+    keep[:-1] |= d[1:] == d[:-1]
+    i, j = i[keep], j[keep]
+    keep = j > np.concatenate([[-1], np.maximum.accumulate(j)[:-1]]) if len(j) else keep[:0]
+    i, j = np.concatenate([[-1], i[keep], [len(x)]]), np.concatenate([[-1], j[keep], [len(y)]])
+    wide, high = np.diff(i) - 1, np.diff(j) - 1
+    level = np.flatnonzero((wide == high) & (wide > 0))
+    at = np.repeat(i[level] + 1 - (np.cumsum(wide[level]) - wide[level]), wide[level]) + np.arange(wide[level].sum())
+    cost = np.maximum(wide, high)
+    return least, int(cost.sum() - cost[level].sum() + (x[at] != y[at + np.repeat(j[level] - i[level], wide[level])]).sum())
+
+
+def within(x, y, most: int) -> bool:
+    """Whether the edit distance of two arrays is at most `most`."""
+    if abs(len(x) - len(y)) > most:
+        return False
+    least, at_most = bounds(x, y, most)
+    if least > most or at_most <= most:
+        return at_most <= most
+    return banded_distance(x.tolist(), y.tolist(), most) <= most
 
 
 def alike(a: str, b: str, similarity: float) -> bool:
-    x, y = a.split(), b.split()
-    most = allowed(max(len(x), len(y)), similarity)
-    return banded_distance(x, y, most) <= most
+    import pyarrow as pa
+
+    x, y = word_lists(pa.array([a, b]))
+    return within(x, y, allowed(max(len(x), len(y)), similarity))
 
 
 def sketched(docs: DataFrame, k: int, picked: int, count: int) -> DataFrame:
-    """(doc_id, node, words, sketches) of docs (doc_id, node, text); sketches is null for texts without words."""
+    """(node, words, bag, sketches) of docs (node, text) that have words."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for at, some in chunks(batch.column(2)):
+            for at, some in chunks(batch.column(1)):
                 words = Words(some)
-                found, has = sketches(words, k, picked, count)
-                offsets = pa.array(np.arange(0, (len(some) + 1) * count, count, dtype=np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(found.ravel()), mask=pa.array(~has))
-                n = pa.array(np.diff(words.offsets).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), n, lists], ["doc_id", "node", "words", "sketches"])
+                owner, found = sketches(words, k, picked, count)
+                offsets = np.searchsorted(owner, np.arange(len(some) + 1)).astype(np.int32)
+                n = np.diff(words.offsets)
+                columns = [batch.column(0).slice(at, len(some)), pa.array(n.astype(np.int32)), pa.array([b.tobytes() for b in bags(words)], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "words", "bag", "sketches"]).filter(pa.array(n > 0))
 
-    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, words int, sketches array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, words int, bag binary, sketches array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are within the edit similarity."""
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the bags of their texts don't rule out."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            n, x, m, y = (batch.column(i) for i in range(2, 6))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BAG) for c in (x, y))
+            ok = may_be_near(x, y, n.to_numpy().astype(int), m.to_numpy().astype(int), similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], ["a", "b"])
+
+    of = lambda c, n, x: nodes.select(F.col("node").alias(c), F.col("words").alias(n), F.col("bag").alias(x))
+    both = pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b")
+    return both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
+
+
+def in_tasks(rows: DataFrame, work, schema: str, names: list[str]) -> DataFrame:
+    """work(columns) over the rows of each task, in order of side: rows (task, side, node, ...); it yields lists of arrays.
+
+    A task's rows are few enough for one worker's memory.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        held, task = [], None
         for batch in batches:
-            ok = [alike(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            tasks = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], tasks[1:] != tasks[:-1]])) if len(tasks) else []
+            for a, b in zip(edge, [*edge[1:], len(tasks)]):
+                if tasks[a] != task and held:
+                    yield from map(done, work(pa.Table.from_batches(held)))
+                    held = []
+                task = tasks[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from map(done, work(pa.Table.from_batches(held)))
+
+    def done(columns):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return rows.repartition("task").sortWithinPartitions("task", "side").mapInArrow(run, schema)
+
+
+def across(side):
+    """(i, j) of each pair to compare among rows in order of side, about PAIRS at a time: every two rows of side 0, or each of
+    side 1 with each of side 2."""
+    import numpy as np
+
+    n, first = len(side), int(np.searchsorted(side, 2))
+    begin = np.where(np.arange(n) < first, first, n) if side[0] else np.arange(1, n + 1)
+    size = n - begin
+    at, ends = 0, np.cumsum(size)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS)))
+        i = np.repeat(np.arange(at, to), size[at:to])
+        yield i, np.repeat(begin[at:to] - (np.cumsum(size[at:to]) - size[at:to]), size[at:to]) + np.arange(len(i))
+        at = to
+
+
+def in_blocks(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(task, side, columns): tasks in which each two rows of equal `by` meet once, with no more than some 2 * BLOCK rows each.
+
+    n of them fall into n / BLOCK blocks by node; each block meets each.
+    """
+    sizes = rows.groupBy(by).agg((F.count(F.lit(1)) / BLOCK).cast("int").alias("more")).where("more > 0")
+    rows = rows.join(sizes, by, "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    rows = rows.withColumn("i", F.expr("pmod(xxhash64(node, 7), more + 1)")).withColumn("j", F.explode(F.expr("sequence(0L, cast(more as bigint))")))
+    return rows.select(F.xxhash64(by, F.least("i", "j"), F.greatest("i", "j")).alias("task"), F.expr("case when i = j then 0 when i < j then 1 else 2 end").alias("side"), *columns)
+
+
+def apart(members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), a < b, of members (bucket, node, words, bag, g) of one bucket and two groups that their bags don't rule out."""
+
+    def work(rows) -> Iterator:
+        import numpy as np
+
+        side, node, n, g = (rows.column(i).to_numpy() for i in (1, 2, 3, 5))
+        bag = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, BAG)
+        for i, j in across(side):
+            other = g[i] != g[j]
+            i, j = i[other], j[other]
+            ok = may_be_near(bag[i], bag[j], n[i].astype(int), n[j].astype(int), similarity)
+            a, b = node[i[ok]], node[j[ok]]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+    blocks = in_blocks(members, "bucket", ["node", "words", "bag", "g"])
+    return in_tasks(blocks, work, "a long, b long", ["a", "b"]).distinct()
+
+
+def word_lists(texts):
+    """The word hashes of each text of an Arrow array."""
+    out = []
+    for _, some in chunks(texts):
+        words = Words(some)
+        out += [words.hash[words.text(i)] for i in range(len(some))]
+    return out
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are within the edit similarity. A task has one text a and up to some 2 * BLOCK texts b."""
+
+    def work(rows) -> Iterator:
+        import numpy as np
+
+        node, lists = rows.column(2).to_numpy(), word_lists(rows.column(3))
+        ok = [within(lists[0], x, allowed(max(len(lists[0]), len(x)), similarity)) for x in lists[1:]]
+        b = node[1:][np.array(ok, bool)]
+        yield np.full(len(b), node[0]), b
+
+    many = pairs.groupBy("a").agg((F.count(F.lit(1)) / BLOCK).cast("int").alias("more"))
+    dealt = pairs.join(many, "a").select("a", "b", F.expr("xxhash64(a, pmod(xxhash64(b), more + 1))").alias("task"))
+    rows = dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("node")).distinct().unionByName(dealt.select("task", F.lit(1).alias("side"), F.col("b").alias("node")))
+    return in_tasks(rows.join(texts, "node").select("task", "side", "node", "text"), work, "a long, b long", ["a", "b"])
+
+
+def counted_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, links): how many other texts of its group each text of members (group, node) is near.
+
+    Each task measures its texts' distances from one of them; what these leave open for two others is aligned.
+    """
+
+    def work(rows) -> Iterator:
+        import numpy as np
+
+        side, node, lists = rows.column(1).to_numpy(), rows.column(2).to_numpy(), word_lists(rows.column(3))
+        n = np.array([len(x) for x in lists])
+        far = np.array([0] + [bounds(lists[0], x, len(x))[1] for x in lists[1:]])
+        links = np.zeros(len(node), np.int64)
+        for i, j in across(side):
+            most = allowed(np.maximum(n[i], n[j]), similarity)
+            near = far[i] + far[j] <= most  # by way of the first
+            for p in np.flatnonzero(~near):
+                near[p] = within(lists[i[p]], lists[j[p]], int(most[p]))
+            links += np.bincount(i[near], minlength=len(node)) + np.bincount(j[near], minlength=len(node))
+        yield node, links
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    rows = in_blocks(members, "group", ["node"]).join(texts, "node").select("task", "side", "node", "text")
+    return in_tasks(rows, work, "node long, links long", ["node", "links"]).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -183,50 +413,83 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         scratch.drop(f"{name}{step - 1}")
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, picked: int = PICKED, count: int = SKETCHES) -> DataFrame:
-    """(doc_id, row, group, kept) for every row of docs with a doc_id; row is a hash of its text.
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, picked: int = PICKED, count: int = SKETCHES, links: bool = False) -> DataFrame:
+    """(doc_id, row, group, kept) for every row of docs; row is a hash of its text. With `links`, also their number.
 
     group: the least doc_id of the row's group, which joins all texts connected by verified pairs; kept: whether the row is
     the one that stays, the first by doc_id and row. Texts count as near copies if the edit distance of their words is at
-    most 1 - similarity of the longer one's words, and are found if they share a whole sketch; equal texts always are. Within
-    a bucket every text is aligned with the bucket's first; pairs that this leaves in different groups are then all aligned
-    too, so the groups are those that aligning every pair of every bucket would give, whatever the bucket's size. Null texts are
-    alone in their groups and stay; texts without words are copies only of equal texts. Repeated rows (same doc_id and text) come
-    back alike; a caller that keeps rows drops the repeats. Other columns are ignored. The groups are found when this is called, not when the result is read.
+    most 1 - similarity of the longer one's words, and are found if they share a whole sketch; equal texts always are. Words are what
+    the six white space characters of ASCII separate; others, such as U+00A0, belong to words. Within
+    a bucket every text is aligned with the bucket's first; pairs that this leaves in different groups are then all compared
+    too, so the groups are those that aligning every pair of every bucket would give, whatever the bucket's size. links: how many
+    other texts of the group are near the row's, shared sketch or not; equal texts are one text and no link, and have as many links
+    each. Their count compares each two texts of a group, in blocks.
+
+    Null texts are alone in their groups and stay; texts without words are copies only of equal texts. Rows without doc_id come after
+    all others; where a group has no others its `group` is null. Repeated rows (same doc_id and text) come
+    back alike; a caller that keeps rows drops the repeats. Texts are equal if 128 bits of hashes are; one that shares 64 of
+    them with another alone stays, in a group of its own. Other columns are ignored. The groups are found when this is called, not when the result is read.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    docs = documents(docs).withColumn("node", F.xxhash64("text"))
-    known = scratch.write(sketched(docs.where("text is not null"), k, picked, count), "sketches")
-    nodes = known.where("sketches is not null").dropDuplicates(["node"])
-    slots = scratch.write(nodes.select("node", "words", F.explode("sketches").alias("bucket")), "slots")
-    first = slots.groupBy("bucket").agg(F.min_by(F.struct("node", "words"), "node").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = F.least("words", "w") >= F.lit(similarity - 1e-9) * F.greatest("words", "w")  # others are too different in length
-    stars = slots.join(first.select("bucket", F.col("f.node").alias("a"), F.col("f.words").alias("w")), "bucket").where(F.col("node") != F.col("a"))
-    stars = scratch.write(stars.select("bucket", "a", F.col("node").alias("b"), near.alias("near")), "stars")
-    pairs = stars.where("near").select("a", "b").distinct()
-    used = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    texts = scratch.write(docs.where("text is not null").join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
+    whole = docs.where("text is not null")
+    known = scratch.write(sketched(whole, k, picked, count), "sketches")
+    nodes = scratch.write(known.dropDuplicates(["node"]), "nodes")
+    scratch.drop("sketches")
+    slots = nodes.select("node", F.explode("sketches").alias("bucket"))
+    first = slots.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
+    stars = scratch.write(slots.join(first, "bucket").where("node <> a").select("bucket", "a", F.col("node").alias("b")), "stars")
+    nodes = scratch.write(nodes.select("node", "words", "bag"), "bags")
+    scratch.drop("nodes")
+    pairs = scratch.write(possible(stars.select("a", "b").distinct(), nodes, similarity), "pairs")
+    texts = texts_of(scratch, whole, pairs, "texts")
     edges = scratch.write(verified(pairs, texts, similarity), "edges")
     groups = components(scratch, edges, "first")
-    # What the stars left apart: every pair of one bucket and two groups.
+    # What the stars left apart: pairs of one bucket and two groups.
     group_of = lambda c: groups.select(F.col("node").alias(c), F.col("group").alias(f"g{c}"))
     g = lambda c: F.coalesce(F.col(f"g{c}"), F.col(c))
-    apart = stars.join(group_of("a"), "a", "left").join(group_of("b"), "b", "left").where(g("a") != g("b")).select("bucket").distinct()
-    left = slots.join(apart, "bucket", "left_semi").join(group_of("node"), "node", "left").select("bucket", "node", "words", g("node").alias("g"))
-    other = left.select("bucket", F.col("node").alias("b"), F.col("words").alias("w"), F.col("g").alias("h"))
-    rest = left.join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("g") != F.col("h")) & near).select(F.col("node").alias("a"), "b").distinct()
-    more = scratch.write(verified(rest.join(pairs, ["a", "b"], "left_anti"), texts, similarity), "more")
-    scratch.drop("texts", "slots", "stars")
+    split = scratch.write(stars.join(group_of("a"), "a", "left").join(group_of("b"), "b", "left").select("bucket", "a", "b", g("a").alias("ga"), g("b").alias("gb")), "split")
+    scratch.drop("stars")
+    open_ = split.where("ga <> gb").select("bucket").distinct()
+    others = split.join(open_, "bucket", "left_semi")
+    heads = others.select("bucket", F.col("a").alias("node"), F.col("ga").alias("g")).distinct()
+    members = heads.unionByName(others.select("bucket", F.col("b").alias("node"), F.col("gb").alias("g")))
+    left = scratch.write(apart(members.join(nodes, "node").select("bucket", "node", "words", "bag", "g"), similarity), "left")
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = scratch.write(left.join(done, ["a", "b"], "left_anti"), "rest")
+    scratch.drop("texts", "split", "left", "pairs", "bags")
+    texts = texts_of(scratch, whole, rest, "more texts")
+    more = scratch.write(verified(rest, texts, similarity), "more")
+    scratch.drop("more texts", "rest")
     groups = components(scratch, edges.unionByName(more), "all")
-    found = known.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", F.coalesce("group", "node").alias("g"))
-    heads = found.groupBy("g").agg(F.min("doc_id").alias("group"), F.min(F.struct("doc_id", "node")).alias("head"))
-    out = found.join(heads, "g").select("doc_id", F.col("node").alias("row"), "group", (F.struct("doc_id", "node") == F.col("head")).alias("kept"))
-    nulls = docs.where("text is null").select("doc_id", F.col("node").alias("row"), F.col("doc_id").alias("group"), F.lit(True).alias("kept"))
-    return out.unionByName(nulls)
+    id_ = F.coalesce("doc_id", F.lit(LAST))
+    rows = whole.select("doc_id", "node", F.xxhash64("text", F.lit(1)).alias("check"))
+    real = rows.groupBy("node").agg(F.min("check").alias("check"))
+    found = rows.join(groups, "node", "left").join(real.select("node", F.col("check").alias("real")), "node")
+    found = scratch.write(found.select("doc_id", "node", (F.col("check") == F.col("real")).alias("same"), F.coalesce("group", "node").alias("g")), "found")
+    place = F.struct(id_.alias("id"), "node")
+    heads = found.where("same").groupBy("g").agg(F.min(place).alias("head"))
+    label = F.when(F.col("head.id") < LAST, F.col("head.id"))
+    out = found.where("same").join(heads, "g").select("doc_id", F.col("node").alias("row"), label.alias("group"), (place == F.col("head")).alias("kept"))
+    alone = found.where("not same").select("doc_id", F.col("node").alias("row")).unionByName(docs.where("text is null").select("doc_id", F.col("node").alias("row")))
+    out = out.unionByName(alone.select("doc_id", "row", F.col("doc_id").alias("group"), F.lit(True).alias("kept")))
+    if not links:
+        return out
+    texts = texts_of(scratch, whole, groups.select(F.col("node").alias("a"), F.col("group").alias("b")), "grouped")
+    members = groups.unionByName(groups.select(F.col("group").alias("node"), "group").distinct())
+    n = scratch.write(counted_links(members, texts, similarity), "links")
+    scratch.drop("grouped")
+    return out.join(n.select(F.col("node").alias("row"), "links"), "row", "left").select("doc_id", "row", "group", F.coalesce("links", F.lit(0)).alias("links"), "kept")
+
+
+def texts_of(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """(node, text) of each text in the pairs (a, b), written."""
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return scratch.write(docs.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), name)
 
 
 def op8_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents")).select("doc_id", "group", "kept")
+    return near_groups(read(spark, sf_dir, "documents"), links=True).drop("row")
 
 
 QUERIES = {"op8_ordermin": op8_ordermin}

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -304,12 +305,24 @@ def test_banded_distance(a, b, most):
     assert op8_ordermin.banded_distance(a, b, most) == min(edit_distance(a, b), most + 1)
 
 
+@given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30), st.integers(0, 12))
+@settings(max_examples=500, deadline=None)
+def test_bounds(a, b, most):
+    x, y, d = np.array(a, np.int64), np.array(b, np.int64), edit_distance(a, b)
+    least, at_most = op8_ordermin.bounds(x, y, most)
+    assert least <= d <= at_most and op8_ordermin.within(x, y, most) == (d <= most)
+
+
+def ascii_words(text):
+    return [w for w in re.split(r"[ \t\n\r\f\x0b]+", text) if w]
+
+
 def near_pairs(texts: dict, similarity=0.8):
     ids = sorted(texts)
     out = []
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            x, y = texts[a].split(), texts[b].split()
+            x, y = ascii_words(texts[a]), ascii_words(texts[b])
             if texts[a] == texts[b] or (x and y and edit_distance(x, y) <= op8_ordermin.allowed(max(len(x), len(y)), similarity)):
                 out.append((a, b))
     return out
@@ -340,6 +353,31 @@ def test_near_groups(spark):
     assert got == joined(texts, near_pairs(texts)) and got[5000] == 5000
 
 
+@pytest.mark.parametrize("block", [256, 3])  # one task a group, many
+def test_links_and_groups(spark, monkeypatch, block):
+    """Production parameters; each text's links are those that aligning it with every other finds."""
+    monkeypatch.setattr(op8_ordermin, "BLOCK", block)
+    rng = random.Random(9)
+    texts = {}
+    for k in range(4):
+        for c in range(9):
+            copy = passage(k, 100).split()
+            for _ in range(rng.randint(0, 12)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts[k * 10 + c] = " ".join(copy)
+    texts[99] = texts[0]
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs = near_pairs(texts)
+    near = collections.defaultdict(set)
+    for a, b in pairs:
+        near[a].add(texts[b])
+        near[b].add(texts[a])
+    links = {i: len(near[i] - {texts[i]}) for i in texts}
+    got = {r.doc_id: r for r in op8_ordermin.near_groups(d, links=True).collect()}
+    assert {i: r.links for i, r in got.items()} == {i: links[i] for i in texts}
+    assert {i: r.group for i, r in got.items()} == joined(texts, pairs)
+
+
 def test_chains_and_hot_buckets(spark):
     base = passage(1, 40).split()
     texts, now = {}, list(base)
@@ -347,15 +385,41 @@ def test_chains_and_hot_buckets(spark):
         texts[i] = " ".join(now)
         now[i] = f"new{i}"
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.group for r in op8_ordermin.near_groups(d, count=64).collect()} == {0}
+    assert {r.group for r in op8_ordermin.near_groups(d).collect()} == {0}
+
+
+def test_short_texts_at_the_threshold(spark):
+    """Pairs of 5 to 40 words with as many changed words as are allowed: nearly all are found."""
+    rng = random.Random(3)
+    rows, k = [], 0
+    for n in (5, 6, 7, 8, 10, 12, 15, 20, 25, 30, 40):
+        for _ in range(20):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            other = list(words)
+            for i in rng.sample(range(n), op8_ordermin.allowed(n, 0.8)):
+                other[i] = f"v{rng.randrange(10**9)}"
+            rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+            k += 2
+    group = {r.doc_id: r.group for r in op8_ordermin.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([group[i] == group[i + 1] for i in range(0, k, 2)]) >= 0.95
+
+
+def test_words_end_at_ascii_white_space_alone(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = {1: " ".join(words), 2: "\u00a0".join(words), 3: "\u3000".join(words), 4: "\n".join(words), 5: " ".join(words[:20]) + "\u00a0" + " ".join(words[20:])}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.group for r in op8_ordermin.near_groups(d).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 1} == joined(texts, near_pairs(texts))
 
 
 def test_near_groups_of_odd_rows(spark, odd, nothing):
-    rows = op8_ordermin.near_groups(odd).collect()
+    rows = op8_ordermin.near_groups(odd, links=True).collect()
     group = {r.doc_id: r.group for r in rows}
-    assert len(rows) == 14 and group[6] == 5 and group[1] == 1 and group[14] == 14 and group[2] == 2 and group[3] == 3
-    assert {r.doc_id for r in rows if not r.kept} == {6}
-    assert op8_ordermin.near_groups(nothing).count() == 0
+    assert len(rows) == 16 and group[6] == 5 and group[1] == 1 and group[14] == 14 and group[2] == 2 and group[3] == 3
+    assert {r.doc_id for r in rows if not r.kept} == {6} and {r.links for r in rows} == {0}
+    assert [(r.group, r.kept) for r in rows if r.doc_id is None] == [(None, True)] * 2
+    again = odd.where("doc_id is not null or text is null").unionByName(odd.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    assert [(r.group, r.kept) for r in op8_ordermin.near_groups(again).collect() if r.doc_id is None] in ([(7, False), (None, True)], [(None, True), (7, False)])
+    assert op8_ordermin.near_groups(nothing, links=True).count() == 0
 
 
 # 9
