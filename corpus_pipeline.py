@@ -22,10 +22,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by doc_id, of each group of near copies."""
-    kept = op8_ordermin.near_groups(docs).where("kept").select("doc_id", "row").distinct()
+    """The first document, by doc_id and then by a hash of its text, of each group of near copies.
+
+    Null texts stay, each on its own. Rows without doc_id stay unless they are near copies of others; they come last. Rows that repeat
+    doc_id and text become one, with the least (lang, source, n_chars) of theirs, nulls first.
+    """
+    kept = op8_ordermin.near_groups(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("row").alias("same")).distinct()
     docs = docs.select(COLUMNS).withColumn("row", F.xxhash64(F.col("text").cast("string")))
-    return docs.join(kept, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]).select(COLUMNS)
+    docs = docs.join(kept, (F.col("row") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return docs.groupBy("doc_id", "row").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("d")).select("doc_id", "d.*").select(COLUMNS)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
