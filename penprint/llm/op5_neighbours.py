@@ -2,7 +2,7 @@
 
 Each of TABLES tables hashes a vector by HASHES random projections cut into cells. A query visits its own bucket and
 neighbouring ones in the order of their estimated chance of holding a neighbour, until the chances add up to SUCCESS; what
-the tables find is ranked by exact distance. Every row is a query. Rows with fewer than k neighbours, or whose farthest lies beyond
+the tables find is ranked by exact distance. Queries with fewer than k neighbours, or whose farthest lies beyond
 the radius that the cells were made for, look again in rounds of wider cells; the last few are compared with all rows.
 """
 
@@ -24,6 +24,9 @@ WIDTH = 2.2
 SUCCESS = 0.65
 SEED = 5
 
+#: The registered query asks for the neighbours of every row whose id this divides.
+QUERY_EVERY = 20
+
 #: Rows from which the distance of neighbours is estimated, vectors that one shard of a table holds, and queries that one
 #: block of them holds.
 RADIUS_ROWS = 256
@@ -35,11 +38,13 @@ EXACT_ROWS = 1024
 ROUNDS = 8
 
 
-def radius(vectors: DataFrame, dim: int, k: int, queries: DataFrame | None = None) -> float:
-    """The distance within which 9 of 10 queries (all rows unless given) have their k nearest: of RADIUS_ROWS, each against all vectors."""
+def radius(vectors: DataFrame, dim: int, k: int, queries: DataFrame) -> float:
+    """The distance within which 9 of 10 queries have their k nearest: of RADIUS_ROWS, each against all vectors."""
     import numpy as np
 
-    some = (vectors if queries is None else queries).orderBy(F.md5(F.col("id").cast("string")), "id").limit(RADIUS_ROWS).collect()
+    some = queries.orderBy(F.md5(F.col("id").cast("string")), "id").limit(RADIUS_ROWS).collect()
+    if not some:
+        return 1.0
     ids, q = np.array([r["id"] for r in some]), np.array([r["v"] for r in some], np.float32)
 
     def run(batches: Iterator) -> Iterator:
@@ -108,10 +113,11 @@ def _normal(x):
 
 def neighbours(
     vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, success: float = SUCCESS, seed: int = SEED,
-    id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS,
+    id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, every: int = 1,
 ) -> DataFrame:
-    """(id, neighbour, distance, rank): up to k other rows near each row, by Euclidean distance, rank from 1; ties by id.
+    """(id, neighbour, distance, rank): up to k other rows near each query, by Euclidean distance, rank from 1; ties by id.
 
+    Queries are the rows whose id `every` divides, all rows unless told otherwise; neighbours are looked for among all rows.
     Rows whose id or vector is null, that hold a null or NaN, or whose length isn't that of most vectors (the greater of
     equally frequent ones) are neither queries nor neighbours. Repeated ids with equal vectors count once; of an id with several
     vectors the greatest counts. Equal vectors of different ids are neighbours at distance 0. Other columns are ignored. An
@@ -123,15 +129,16 @@ def neighbours(
     sizes = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if sizes is None or not sizes["n"]:
         return spark.createDataFrame([], f"{id_col} long, neighbour long, distance double, rank int")
-    dim, total = sizes["n"], sizes["count"]
+    dim = sizes["n"]
     clean = clean.where(F.size("v") == dim).groupBy("id").agg(F.max("v").alias("v"))
     scratch = Scratch(spark, "neighbours")
     clean = scratch.write(clean, "vectors")
     total = clean.count()
-    rest, left, r, rounds = clean, total, radius(clean, dim, k), []
+    rest, rounds = clean.where(F.col("id") % every == 0), []
+    left, r = rest.count(), radius(clean, dim, k, rest)
     while left and (not rounds or left > EXACT_ROWS and len(rounds) < ROUNDS):
         shards = max(1, -(-total // shard_rows))
-        best = nearest(search(clean, rest, dim, r, k, tables, hashes, width, success, seed, shards), k)
+        best = nearest(search(clean, rest, dim, r, k, tables, hashes, width, success, seed, shards, shard_rows), k)
         rounds.append(scratch.write(best, f"round{len(rounds)}"))
         answered = rounds[-1].groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).where((F.col("n") >= min(k, total - 1)) & (F.col("d") <= r * r))
         rest = scratch.write(rest.join(answered.select("id"), "id", "left_anti"), f"rest{len(rounds)}")
@@ -140,6 +147,8 @@ def neighbours(
             r = max(2 * r, radius(clean, dim, k, rest))
     if left:
         rounds += exact(clean, rest, dim, k, scratch)
+    if not rounds:
+        return spark.createDataFrame([], f"{id_col} long, neighbour long, distance double, rank int")
     found = rounds[0]
     for more in rounds[1:]:
         found = found.unionByName(more)
@@ -180,8 +189,12 @@ def exact(vectors: DataFrame, queries: DataFrame, dim: int, k: int, scratch: Scr
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, dim: int, r: float, k: int, tables: int, hashes: int, width: float, success: float, seed: int, shards: int) -> DataFrame:
-    """(id, neighbour, d): what each query finds among the vectors in cells of `width` times r; d: squared distance."""
+def search(vectors: DataFrame, queries: DataFrame, dim: int, r: float, k: int, tables: int, hashes: int, width: float, success: float, seed: int, shards: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(id, neighbour, d): what each query finds among the vectors in cells of `width` times r; d: squared distance.
+
+    A table's buckets fall into `shards` parts by their hash. A part with more than a shard's rows, such as that of a hot bucket, is
+    split by id into pieces; its queries go to each piece.
+    """
     import itertools
 
     import numpy as np
@@ -189,54 +202,64 @@ def search(vectors: DataFrame, queries: DataFrame, dim: int, r: float, k: int, t
     w = width * r
     a, b = projections(dim, tables, hashes, w, seed)
     steps = np.array(list(itertools.product((-1, 0, 1), repeat=hashes)))
+    part_of = lambda bucket, t: t * shards + (bucket % np.uint64(shards)).astype(np.int64)
+
+    def cells_of(batch):
+        """ids, vectors, and for each table the places in cells and the cells."""
+        x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
+        places = [(x @ a[t] + b[t]) / w for t in range(tables)]
+        return batch.column(0).to_numpy(), x.astype(np.float32), [(p - np.floor(p), np.floor(p).astype(np.int64)) for p in places]
 
-    def send(batches: Iterator) -> Iterator:
-        """Blocks (part, kind, ids, vectors, probes): kind 0 to be found, kind 1 to look; probes: row and bucket."""
+    def own(batches: Iterator, whole: bool) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, x, cells = cells_of(batch)
+            bucket = [bucket_of(c, t) for t, (_, c) in enumerate(cells)]
+            part = pa.array(np.concatenate([part_of(h, t) for t, h in enumerate(bucket)]))
+            if not whole:
+                yield pa.RecordBatch.from_arrays([part], ["part"])
+                continue
+            data = pa.array([y.tobytes() for y in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([part, pa.array(np.tile(ids, tables)), pa.array(np.concatenate(bucket).view(np.int64)), pa.concat_arrays([data] * tables)], ["part", "id", "bucket", "v"])
+
+    def ask(batches: Iterator) -> Iterator:
+        """A row for each query and part: the buckets that it visits there."""
         import numpy as np
         import pyarrow as pa
 
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(at, BLOCK_ROWS)
-                ids, asks = batch.column(0).to_numpy(), np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
-                x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
-                x32, rows = x.astype(np.float32), []
-                for t in range(tables):
-                    p = (x @ a[t] + b[t]) / w
-                    cells = np.floor(p).astype(np.int64)
-                    own = bucket_of(cells, t)
-                    order, n = probes((p - cells)[asks], w, r, success, steps)
-                    who = np.repeat(asks, n)
-                    which = order[np.arange(order.shape[1]) < n[:, None]]
-                    visit = bucket_of(cells[who] + steps[which], t)
-                    for kind, row, bucket in ((0, np.arange(len(ids)), own), (1, who, visit)):
-                        part = (bucket % np.uint64(shards)).astype(np.int64)
-                        by = np.argsort(part, kind="stable")
-                        row_, bucket_, part_ = row[by], bucket[by], part[by]
-                        edge = np.searchsorted(part_, np.arange(shards + 1))
-                        for s in range(shards):
-                            i = slice(edge[s], edge[s + 1])
-                            if edge[s] == edge[s + 1]:
-                                continue
-                            some, place = np.unique(row_[i], return_inverse=True)
-                            rows.append((t * shards + s, kind, ids[some].tobytes(), x32[some].tobytes(), place.astype(np.int32).tobytes(), bucket_[i].tobytes()))
-                columns = list(zip(*rows))
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kd) for c, kd in zip(columns, kinds)], ["part", "kind", "ids", "vectors", "row", "bucket"])
+                ids, x, cells = cells_of(whole.slice(at, BLOCK_ROWS))
+                for t, (place, cell) in enumerate(cells):
+                    order, n = probes(place, w, r, success, steps)
+                    who = np.repeat(np.arange(len(ids)), n)
+                    bucket = bucket_of(cell[who] + steps[order[np.arange(order.shape[1]) < n[:, None]]], t)
+                    part = part_of(bucket, t)
+                    by = np.lexsort((part, who))
+                    who, part, bucket = who[by], part[by], bucket[by]
+                    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (part[1:] != part[:-1])])) if len(who) else np.zeros(0, int)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(who)).astype(np.int32)), pa.array(bucket.view(np.int64)))
+                    data = pa.array([y.tobytes() for y in x], pa.binary()).take(pa.array(who[first]))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(ids[who[first]]), lists, data], ["part", "id", "buckets", "v"])
 
     def find(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        part, held, table = None, [], None
+        piece, held, table = None, [], None
         for batch in batches:
-            for p, kind, ids, vectors, row, bucket in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part:
-                    part, held, table = p, [], None
-                ids, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float32).reshape(-1, dim)
-                row, bucket = np.frombuffer(row, np.int32), np.frombuffer(bucket, np.uint64)
-                if kind == 0:
-                    held.append((bucket, ids[row], x[row]))
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
+            for i, j in zip(edge, [*edge[1:], len(keys)]):
+                if tuple(keys[i, :2]) != piece:
+                    piece, held, table = tuple(keys[i, :2]), [], None
+                some = batch.slice(i, j - i)
+                ids, x = some.column(3).to_numpy(), np.frombuffer(b"".join(some.column(5).to_pylist()), np.float32).reshape(-1, dim)
+                buckets = some.column(4).flatten().to_numpy().view(np.uint64)
+                if not keys[i, 2]:
+                    held.append((buckets, ids, x))
                     continue
                 if table is None and held:
                     known = [np.concatenate(c) for c in zip(*held)]
@@ -246,13 +269,23 @@ def search(vectors: DataFrame, queries: DataFrame, dim: int, r: float, k: int, t
                     table, held = (names, np.append(first, len(by)), known[1], known[2], (known[2] ** 2).sum(1)), []
                 if table is None:
                     continue
-                q, other, d = visited(ids, x, row, bucket, table, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(other), pa.array(d)], ["id", "neighbour", "d"])
-
-    asking = queries.select("id", F.lit(True).alias("asks"))
-    marked = vectors.join(asking, "id", "left").select("id", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
-    sent = marked.mapInArrow(send, "part int, kind int, ids binary, vectors binary, row binary, bucket binary")
-    return sent.repartition(tables * shards, "part").sortWithinPartitions("part", "kind").mapInArrow(find, "id long, neighbour long, d double")
+                n = some.column(4).value_lengths().to_numpy()
+                ends = np.cumsum(n)
+                for at in range(0, len(ids), BLOCK_ROWS):
+                    mine = slice(at, at + BLOCK_ROWS)
+                    row = np.repeat(np.arange(len(ids[mine])), n[mine])
+                    got = visited(ids[mine], x[mine], row, buckets[ends[at] - n[at] : ends[mine][-1]], table, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["id", "neighbour", "d"])
+
+    schema = "part long, id long, bucket long, v binary"
+    sizes = vectors.select("id", "v").mapInArrow(lambda x: own(x, False), "part long").groupBy("part").count().where(F.col("count") > shard_rows)
+    sizes = sizes.select("part", F.expr(f"cast((count - 1) div {shard_rows} as int)").alias("more"))
+    index = vectors.select("id", "v").mapInArrow(lambda x: own(x, True), schema).join(sizes, "part", "left")
+    index = index.select("part", F.expr("pmod(xxhash64(id), coalesce(more, 0) + 1)").cast("int").alias("piece"), F.lit(0).alias("kind"), "id", F.array("bucket").alias("buckets"), "v")
+    asked = queries.select("id", "v").mapInArrow(ask, "part long, id long, buckets array<long>, v binary").join(sizes, "part", "left")
+    asked = asked.select("part", F.explode(F.expr("sequence(0, coalesce(more, 0))")).alias("piece"), F.lit(1).alias("kind"), "id", "buckets", "v")
+    sent = index.unionByName(asked).repartition("part", "piece").sortWithinPartitions("part", "piece", "kind")
+    return sent.mapInArrow(find, "id long, neighbour long, d double")
 
 
 def visited(ids, x, row, bucket, table, k: int):
@@ -290,7 +323,8 @@ def visited(ids, x, row, bucket, table, k: int):
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(read(spark, sf_dir, "embeddings"))
+    """Queries: every row whose id is divisible by QUERY_EVERY, against all rows."""
+    return neighbours(read(spark, sf_dir, "embeddings"), every=QUERY_EVERY)
 
 
 QUERIES = {"op5_neighbours": op5_neighbours}
