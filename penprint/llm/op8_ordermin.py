@@ -24,10 +24,13 @@ SIMILARITY = 0.8
 SHORT = 31
 SHORT_SKETCHES = 24
 
-#: Counters of a bag: words by hash, up to 255 each. Texts that one task compares with each other, and pairs that it looks at together.
+#: Counters of a bag: words by hash, up to 255 each. Texts that one task compares with each other, and words that it looks at together.
 BAG = 128
 BLOCK = 256
-PAIRS = 100_000
+CELLS = 12_800_000
+
+#: Texts to fetch up to which their names (8 bytes each) go to every executor; more are joined by a shuffle.
+SENT_NAMES = 1 << 20
 
 #: Id of rows without doc_id: they come last.
 LAST = (1 << 63) - 1
@@ -164,10 +167,7 @@ def allowed(words, similarity: float):
 
 
 def bounds(x, y, most: int) -> tuple[int, int]:
-    """What the edit distance of two arrays is at least, by their words alone, and at most, by one alignment.
-
-    The alignment goes through words that occur once in either array, at most `most` places apart.
-    """
+    """What the edit distance of two arrays is at least, by their words alone, and at most, by one alignment."""
     import numpy as np
 
     n = min(len(x), len(y))
@@ -180,15 +180,35 @@ def bounds(x, y, most: int) -> tuple[int, int]:
         x, y = x[: len(x) - back], y[: len(y) - back]
     if not len(x) or not len(y):
         return (max(len(x), len(y)),) * 2
+    found = anchors(x, y, most, True)
+    if len(found) == 1:
+        return found[0], len(x) + len(y)
+    least, i, j = found
+    i, j = np.concatenate([[-1], i, [len(x)]]), np.concatenate([[-1], j, [len(y)]])
+    wide, high = np.diff(i) - 1, np.diff(j) - 1
+    level = np.flatnonzero((wide == high) & (wide > 0))
+    at = np.repeat(i[level] + 1 - (np.cumsum(wide[level]) - wide[level]), wide[level]) + np.arange(wide[level].sum())
+    cost = np.maximum(wide, high)
+    return least, int(cost.sum() - cost[level].sum() + (x[at] != y[at + np.repeat(j[level] - i[level], wide[level])]).sum())
+
+
+def anchors(x, y, most: int, bound: bool = False):
+    """Places (i, j), rising in both, of words that occur once in either array, at most `most` apart and next to another on their
+    diagonal. With `bound`, before them what the words alone say the edit distance is at least; that alone if it exceeds `most`.
+    """
+    import numpy as np
+
     both = np.concatenate([x, y])
+    if not len(both):
+        return both, both
     order = np.argsort(both, kind="stable")  # x's before y's
     new = np.concatenate([[True], both[order][1:] != both[order][:-1]])
     first, kind = np.flatnonzero(new), np.cumsum(new) - 1
     of_y = np.bincount(kind[order >= len(x)], minlength=len(first))
     of_x = np.diff(np.append(first, len(both))) - of_y
     least = max(len(x), len(y)) - int(np.minimum(of_x, of_y).sum())
-    if least > most:
-        return least, len(both)
+    if bound and least > most:
+        return (least,)
     once = first[(of_x == 1) & (of_y == 1)]
     i, j = order[once], order[np.minimum(once + 1, len(both) - 1)] - len(x)
     by = np.argsort(i)
@@ -201,12 +221,7 @@ def bounds(x, y, most: int) -> tuple[int, int]:
     keep[:-1] |= d[1:] == d[:-1]
     i, j = i[keep], j[keep]
     keep = j > np.concatenate([[-1], np.maximum.accumulate(j)[:-1]]) if len(j) else keep[:0]
-    i, j = np.concatenate([[-1], i[keep], [len(x)]]), np.concatenate([[-1], j[keep], [len(y)]])
-    wide, high = np.diff(i) - 1, np.diff(j) - 1
-    level = np.flatnonzero((wide == high) & (wide > 0))
-    at = np.repeat(i[level] + 1 - (np.cumsum(wide[level]) - wide[level]), wide[level]) + np.arange(wide[level].sum())
-    cost = np.maximum(wide, high)
-    return least, int(cost.sum() - cost[level].sum() + (x[at] != y[at + np.repeat(j[level] - i[level], wide[level])]).sum())
+    return (least, i[keep], j[keep]) if bound else (i[keep], j[keep])
 
 
 def within(x, y, most: int) -> bool:
@@ -294,8 +309,8 @@ def in_tasks(rows: DataFrame, work, schema: str, names: list[str]) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task", "side").mapInArrow(run, schema)
 
 
-def across(side):
-    """(i, j) of each pair to compare among rows in order of side, about PAIRS at a time: every two rows of side 0, or each of
+def across(side, width: int):
+    """(i, j) of each pair to compare among rows in order of side, CELLS / width at a time: every two rows of side 0, or each of
     side 1 with each of side 2."""
     import numpy as np
 
@@ -304,7 +319,7 @@ def across(side):
     size = n - begin
     at, ends = 0, np.cumsum(size)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS)))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS // width)))
         i = np.repeat(np.arange(at, to), size[at:to])
         yield i, np.repeat(begin[at:to] - (np.cumsum(size[at:to]) - size[at:to]), size[at:to]) + np.arange(len(i))
         at = to
@@ -329,7 +344,7 @@ def apart(members: DataFrame, similarity: float) -> DataFrame:
 
         side, node, n, g = (rows.column(i).to_numpy() for i in (1, 2, 3, 5))
         bag = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, BAG)
-        for i, j in across(side):
+        for i, j in across(side, BAG):
             other = g[i] != g[j]
             i, j = i[other], j[other]
             ok = may_be_near(bag[i], bag[j], n[i].astype(int), n[j].astype(int), similarity)
@@ -366,10 +381,43 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return in_tasks(rows.join(texts, "node").select("task", "side", "node", "text"), work, "a long, b long", ["a", "b"])
 
 
+def against(x, y):
+    """y laid along x: for each place of x the word of y that one alignment puts there or 0, and how many words of y find no place.
+
+    The alignment is that of equal beginnings and ends and of bounds().
+    """
+    import numpy as np
+
+    out = np.zeros(len(x), np.int64)
+    i, j, level, wide = aligned(x, y)
+    inner = np.arange(1, len(i) - 1)
+    out[i[inner]] = y[j[inner]]
+    at = np.repeat(i[level] + 1 - (np.cumsum(wide[level]) - wide[level]), wide[level]) + np.arange(wide[level].sum())
+    out[at] = y[at + np.repeat(j[level] - i[level], wide[level])]
+    return out, len(y) - len(inner) - len(at)
+
+
+def aligned(x, y):
+    """Anchors (i, j) of an alignment with (-1, -1) and the ends around them, the gaps as wide as high, and each gap's width."""
+    import numpy as np
+
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    front = n if same.all() else int(same.argmin())
+    same = x[len(x) - n + front :][::-1] == y[len(y) - n + front :][::-1]
+    back = n - front if same.all() else int(same.argmin())
+    a, b = x[front : len(x) - back], y[front : len(y) - back]
+    i, j = anchors(a, b, max(len(a), len(b)))
+    i = np.concatenate([[-1], np.arange(front), i + front, np.arange(len(x) - back, len(x) + 1)])
+    j = np.concatenate([[-1], np.arange(front), j + front, np.arange(len(y) - back, len(y) + 1)])
+    wide, high = np.diff(i) - 1, np.diff(j) - 1
+    return i, j, np.flatnonzero((wide == high) & (wide > 0)), wide
+
+
 def counted_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, links): how many other texts of its group each text of members (group, node) is near.
 
-    Each task measures its texts' distances from one of them; what these leave open for two others is aligned.
+    Each task lays its texts along the first of them; two that differ in few enough places are near. The others are aligned.
     """
 
     def work(rows) -> Iterator:
@@ -377,11 +425,12 @@ def counted_links(members: DataFrame, texts: DataFrame, similarity: float) -> Da
 
         side, node, lists = rows.column(1).to_numpy(), rows.column(2).to_numpy(), word_lists(rows.column(3))
         n = np.array([len(x) for x in lists])
-        far = np.array([0] + [bounds(lists[0], x, len(x))[1] for x in lists[1:]])
+        along, extra = zip(*(against(lists[0], x) for x in lists))
+        along, extra = np.stack(along), np.array(extra)
         links = np.zeros(len(node), np.int64)
-        for i, j in across(side):
+        for i, j in across(side, max(1, n[0])):
             most = allowed(np.maximum(n[i], n[j]), similarity)
-            near = far[i] + far[j] <= most  # by way of the first
+            near = (along[i] != along[j]).sum(1) + extra[i] + extra[j] <= most
             for p in np.flatnonzero(~near):
                 near[p] = within(lists[i[p]], lists[j[p]], int(most[p]))
             links += np.bincount(i[near], minlength=len(node)) + np.bincount(j[near], minlength=len(node))
@@ -391,28 +440,6 @@ def counted_links(members: DataFrame, texts: DataFrame, similarity: float) -> Da
     return in_tasks(rows, work, "node long, links long", ["node", "links"]).groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
-    """(node, group): the least node of each node's connected component, for nodes with an edge. edges: (a, b), a <> b.
-
-    Alternating large-star and small-star steps, each written, until the edges stay as they are.
-    """
-    now = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    state, step = None, 0
-    while True:
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == state or not seen[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("group"))
-        state, step = seen, step + 1
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = scratch.write(small.distinct(), f"{name}{step}")
-        scratch.drop(f"{name}{step - 1}")
-
-
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, picked: int = PICKED, count: int = SKETCHES, links: bool = False) -> DataFrame:
     """(doc_id, row, group, kept) for every row of docs; row is a hash of its text. With `links`, also their number.
 
@@ -442,7 +469,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, pic
     nodes = scratch.write(nodes.select("node", "words", "bag"), "bags")
     scratch.drop("nodes")
     pairs = scratch.write(possible(stars.select("a", "b").distinct(), nodes, similarity), "pairs")
-    texts = texts_of(scratch, whole, pairs, "texts")
+    texts = texts_of(scratch, whole, stars)
     edges = scratch.write(verified(pairs, texts, similarity), "edges")
     groups = components(scratch, edges, "first")
     # What the stars left apart: pairs of one bucket and two groups.
@@ -457,10 +484,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, pic
     left = scratch.write(apart(members.join(nodes, "node").select("bucket", "node", "words", "bag", "g"), similarity), "left")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.write(left.join(done, ["a", "b"], "left_anti"), "rest")
-    scratch.drop("texts", "split", "left", "pairs", "bags")
-    texts = texts_of(scratch, whole, rest, "more texts")
+    scratch.drop("split", "left", "pairs", "bags")
     more = scratch.write(verified(rest, texts, similarity), "more")
-    scratch.drop("more texts", "rest")
+    scratch.drop("rest")
     groups = components(scratch, edges.unionByName(more), "all")
     id_ = F.coalesce("doc_id", F.lit(LAST))
     rows = whole.select("doc_id", "node", F.xxhash64("text", F.lit(1)).alias("check"))
@@ -474,18 +500,20 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, pic
     alone = found.where("not same").select("doc_id", F.col("node").alias("row")).unionByName(docs.where("text is null").select("doc_id", F.col("node").alias("row")))
     out = out.unionByName(alone.select("doc_id", "row", F.col("doc_id").alias("group"), F.lit(True).alias("kept")))
     if not links:
+        scratch.drop("texts")
         return out
-    texts = texts_of(scratch, whole, groups.select(F.col("node").alias("a"), F.col("group").alias("b")), "grouped")
     members = groups.unionByName(groups.select(F.col("group").alias("node"), "group").distinct())
     n = scratch.write(counted_links(members, texts, similarity), "links")
-    scratch.drop("grouped")
+    scratch.drop("texts")
     return out.join(n.select(F.col("node").alias("row"), "links"), "row", "left").select("doc_id", "row", "group", F.coalesce("links", F.lit(0)).alias("links"), "kept")
 
 
-def texts_of(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def texts_of(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text) of each text in the pairs (a, b), written."""
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return scratch.write(docs.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), name)
+    used = scratch.write(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "used")
+    if used.count() <= SENT_NAMES:
+        used = F.broadcast(used)
+    return scratch.write(docs.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
 
 
 def op8_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
