@@ -187,6 +187,16 @@ def windows(h, n: int):
     return mix(out)
 
 
+def polynomial(h, start, end):
+    """Hashes of the stretches start..end of an array of mixed uint64, alike wherever an equal stretch lies."""
+    import numpy as np
+
+    n = 1 << max(12, len(h).bit_length())
+    power, inverse = cached(("powers", n), lambda: _powers(n))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])])
+    return mix((sums[end] - sums[start]) * inverse[start])
+
+
 def documents(df: DataFrame) -> DataFrame:
     """The columns doc_id and text alone, without rows whose doc_id is null (they can't be told apart)."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")

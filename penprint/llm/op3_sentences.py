@@ -1,19 +1,24 @@
 """Operator 3: substring dedup by sliding runs of consecutive sentences.
 
-Every run of SPAN sentences is hashed, equal runs are brought together over the whole table, and the sentences of every run
-but the first of its kind are cut out.
+Every run of SPAN sentences or more, as many as it takes to LEAST_WORDS words, is hashed, equal runs are brought together over the whole
+table, and the sentences of every run but the first of its kind are cut out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, documents, read
+from .common import WORD_RE, mix, polynomial, read
 
-#: Sentences in a run, and words that it must have: runs of a few short words recur by chance and in every text.
+#: Sentences in a run at least, and words that it goes on to have: runs of a few short words recur by chance and in every text.
 SPAN = 2
-LEAST_WORDS = 10
+LEAST_WORDS = 25
+
+#: Id of rows without doc_id: they come last.
+LAST = (1 << 63) - 1
 
 #: A sentence ends after its stops where white space follows, or at a line break; it keeps the white space after it.
 END = r"([.!?]+[ \t\r\f\x0b]+|[.!?]*\n[ \t\n\r\f\x0b]*)"
@@ -33,22 +38,60 @@ def norm(sentence):
     return F.regexp_replace(sentence, r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$", "")
 
 
+def ends(words, offsets, span: int, least: int):
+    """(start, end) of every run, by place in the flat array of words a sentence; offsets: where each text's sentences begin.
+
+    From each start a run takes the fewest sentences, `span` or more, that have `least` words together; starts without so many words
+    after them begin none, but a text of `span` sentences that has fewer words altogether is one run.
+    """
+    import numpy as np
+
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum(words)])
+    start = np.arange(n)
+    text_end = np.repeat(offsets[1:], np.diff(offsets))
+    end = np.maximum(start + span, np.searchsorted(total, total[:-1] + least))
+    first = np.repeat(offsets[:-1], np.diff(offsets))
+    whole = (start == first) & (total[text_end] - total[first] < least) & (first + span <= text_end)
+    end = np.where(whole, text_end, end)
+    ok = end <= text_end
+    return start[ok], end[ok]
+
+
+def runs_of(docs: DataFrame, span: int, least: int) -> DataFrame:
+    """(id, row, at, n, one, two): place, length and two hashes of every run of docs (id, row, text)."""
+    bare = docs.select("id", "row", F.transform(sentences(F.col("text")), norm).alias("s"))
+    cut = bare.select("id", "row", F.transform("s", lambda x: F.xxhash64(x)).alias("h"), F.transform("s", lambda x: F.regexp_count(x, F.lit(WORD_RE))).alias("n"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            offsets = batch.column(2).offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            h = mix(batch.column(2).flatten().to_numpy())
+            start, end = ends(batch.column(3).flatten().to_numpy(), offsets, span, least)
+            text = np.searchsorted(offsets, start, side="right") - 1
+            hashes = [pa.array(polynomial(x, start, end).view(np.int64)) for x in (h, mix(h))]
+            place = [pa.array((start - offsets[text]).astype(np.int32)), pa.array((end - start).astype(np.int32))]
+            who = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), *place, *hashes], ["id", "row", "at", "n", "one", "two"])
+
+    return cut.where("h is not null").mapInArrow(run, "id long, row long, at int, n int, one long, two long")
+
+
 def repeated_runs(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, at): first sentence of each run that has occurred before, by order of doc_id and then place.
+    """(id, row, at, n): each run of docs (id, row, text) that has occurred before, by order of id and then place.
 
-    Rows of one doc_id count as one document per distinct row, ordered by their text.
+    Rows of one id count as one document per distinct row, ordered by their text. Runs are equal if 128 bits of hashes are.
     """
-    bare = docs.select("doc_id", "row", F.transform(sentences(F.col("text")), norm).alias("s"))
-    count = F.transform("s", lambda x: F.regexp_count(x, F.lit(WORD_RE)))
-    cut = bare.select("doc_id", "row", F.transform("s", lambda x: F.xxhash64(x)).alias("h"), count.alias("n"))
-    starts = F.expr(f"if(size(h) < {span}, array(), sequence(0, size(h) - {span}))")
-    long_ = lambda i: F.aggregate(F.slice("n", i + 1, F.lit(span)), F.lit(0), lambda a, x: a + x) >= least
-    run = F.transform(starts, lambda i: F.when(long_(i), F.xxhash64(F.slice("h", i + 1, F.lit(span)))))
-    runs = cut.select("doc_id", "row", F.posexplode(run).alias("at", "run")).where("run is not null")
+    runs = runs_of(docs, span, least)
+    place = F.struct("id", "row", "at")
     # Partial aggregation shrinks a run's thousands of copies before they meet; only kinds seen twice come back to the join.
-    kinds = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).where("n > 1")
-    again = runs.join(kinds.select("run", "first"), "run").where(F.struct("doc_id", "row", "at") != F.col("first"))
-    return again.select("doc_id", "row", "at")
+    kinds = runs.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1")
+    again = runs.join(kinds.select("one", "two", "first"), ["one", "two"]).where(place != F.col("first"))
+    return again.select("id", "row", "at", "n")
 
 
 def dedup_sentences(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
@@ -56,15 +99,16 @@ def dedup_sentences(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS)
 
     Of equal runs the one with the least doc_id, then the least place, stays. A text that loses nothing comes back
     unchanged; one that loses all is empty. Null texts stay null with 0 sentences; texts of fewer than `span` sentences have
-    no run, and runs of fewer than `least` words aren't compared. Rows whose doc_id is null are left out. Repeated rows (same doc_id and text) count as one document and come back
+    no run. Rows without doc_id come after all others. Repeated rows (same doc_id and text) count as one document and come back
     alike; other rows of one doc_id are told apart by their text. Other columns are ignored.
     """
-    docs = documents(docs).withColumn("row", F.xxhash64("text"))
-    again = repeated_runs(docs, span, least).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    out = docs.join(again, ["doc_id", "row"], "left").withColumn("s", sentences(F.col("text")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumns({"id": F.coalesce("doc_id", F.lit(LAST)), "row": F.xxhash64("text")})
+    again = repeated_runs(docs, span, least).groupBy("id", "row").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("at"))
+    out = docs.join(again, ["id", "row"], "left").withColumn("s", sentences(F.col("text")))
     size = F.coalesce(F.size("s"), F.lit(0))
     size = F.when(F.col("text").isNull(), 0).otherwise(size)
-    covered = F.flatten(F.transform("at", lambda a: F.sequence(a, a + span - 1)))
+    covered = F.flatten(F.transform("at", lambda a: F.sequence(a["at"], a["at"] + a["n"] - 1)))
     out = out.withColumn("keep", F.when(F.col("at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("s") - 1), covered)))
     # array_except hashes, so long texts stay linear
     text = F.array_join(F.transform("keep", lambda i: F.get(F.col("s"), i)), "")
@@ -83,13 +127,16 @@ SQL = {
     "op3_sentences": rf"""
 WITH cut AS (
   SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '{END}', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s
-  FROM documents WHERE doc_id IS NOT NULL),
+  FROM documents),
 plain AS (SELECT doc_id, list_transform(s, lambda x: regexp_replace(regexp_replace(x, '^[ \t\n\r\f\x0b]+', ''), '[ \t\n\r\f\x0b]+$', '')) AS s FROM cut),
-runs AS (SELECT doc_id, unnest(range(len(s) - {SPAN - 1})) AS i, s FROM plain WHERE len(s) >= {SPAN}),
-keyed AS (SELECT doc_id, i, array_to_string(s[i + 1 : i + {SPAN}], chr(1)) AS run FROM runs
-  WHERE list_sum(list_transform(s[i + 1 : i + {SPAN}], lambda x: len(regexp_extract_all(x, '{WORD_RE}')))) >= {LEAST_WORDS}),
-placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM keyed),
-covered AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + {SPAN})))) AS gone FROM placed WHERE k > 1 GROUP BY doc_id)
+counted AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '{WORD_RE}'))) AS n FROM plain WHERE len(s) >= {SPAN}),
+summed AS (SELECT doc_id, s, list_transform(range(len(s) + 1), lambda k: coalesce(list_sum(n[1:k]), 0)) AS c FROM counted),
+starts AS (SELECT doc_id, s, c, unnest(range(len(s))) AS i FROM summed),
+ended AS (SELECT doc_id, s, i, CASE WHEN c[-1] < {LEAST_WORDS} THEN CASE WHEN i = 0 THEN len(s) END
+    ELSE list_filter(range(i + {SPAN}, len(s) + 1), lambda j: c[j + 1] - c[i + 1] >= {LEAST_WORDS})[1] END AS e FROM starts),
+keyed AS (SELECT doc_id, i, e, array_to_string(s[i + 1 : e], chr(1)) AS run FROM ended WHERE e IS NOT NULL),
+placed AS (SELECT doc_id, i, e, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM keyed),
+covered AS (SELECT doc_id, list_distinct(flatten(list(range(i, e)))) AS gone FROM placed WHERE k > 1 GROUP BY doc_id)
 SELECT doc_id, CASE WHEN gone IS NULL THEN text
     ELSE array_to_string(list_filter(s, lambda x, k: NOT list_contains(gone, k - 1)), '') END AS text,
   coalesce(len(s), 0)::INTEGER AS sentences, coalesce(len(gone), 0)::INTEGER AS removed

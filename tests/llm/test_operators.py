@@ -93,13 +93,37 @@ def test_sentence_spans(spark, odd, nothing):
     rows = op3_sentences.dedup_sentences(odd)
     assert rows.columns == ["doc_id", "text", "sentences", "removed"]
     out = sorted(((r.doc_id, r.text, r.removed) for r in rows.collect()), key=repr)
-    assert len(out) == 14 and [r for r in out if r[0] == 1] == [(1, None, 0)]
+    assert len(out) == 16 and [r for r in out if r[0] == 1] == [(1, None, 0)] and [r for r in out if r[0] is None] == [(None, passage(11, 60), 0), (None, None, 0)]
     assert [r[1] for r in out if r[0] == 6] == [""] and [r[1] for r in out if r[0] == 5] == [passage(5, 80)] * 2
     assert [r[2] for r in out if r[0] == 13] == [0]
     assert {r.doc_id: r.removed for r in op3_sentences.dedup_sentences(odd, 3, 0).collect()}[13] == 3
     assert op3_sentences.dedup_sentences(nothing).count() == 0
 
 
+@given(st.lists(st.lists(st.integers(0, 9), max_size=12), max_size=5), st.integers(1, 4), st.integers(0, 25))
+@settings(max_examples=300, deadline=None)
+def test_runs_of_sentences(texts, span, least):
+    want, at = [], 0
+    for words in texts:
+        n = len(words)
+        for i in range(n):
+            found = next((j for j in range(i + span, n + 1) if sum(words[i:j]) >= least), None)
+            if sum(words) < least:
+                found = n if i == 0 and n >= span else None
+            if found is not None:
+                want.append((at + i, at + found))
+        at += n
+    start, end = op3_sentences.ends(np.array(sum(texts, []), np.int64), np.cumsum([0, *map(len, texts)]), span, least)
+    assert list(zip(start.tolist(), end.tolist())) == want
+
+
+def test_short_sentences_are_compared(spark):
+    """A long passage of one-word sentences, and a whole text of few words."""
+    shouted = " ".join(f"W{i}!!" for i in range(60))
+    d = docs(spark, shouted, shouted + " New. End.", "Ay. Bee.", "Ay. Bee.", "Ay. Bee. See.")
+    assert {r.doc_id: (r.text, r.removed) for r in op3_sentences.dedup_sentences(d).collect()} == {0: (shouted, 0), 1: ("New. End.", 60), 2: ("Ay. Bee.", 0), 3: ("", 2), 4: ("Ay. Bee. See.", 0)}
+
+
 # 4
 
 
@@ -177,7 +201,8 @@ def test_quality_of_odd_rows(spark, odd, nothing):
 # 5
 
 
-def test_neighbours_recall(spark, sf):
+@pytest.mark.parametrize("rows_a_shard,every", [(100, 1), (8192, 20), (7, 20)])  # several parts, production, parts in pieces
+def test_neighbours_recall(spark, sf, rows_a_shard, every):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
     x = np.array([r.embedding for r in rows], float)
@@ -186,10 +211,12 @@ def test_neighbours_recall(spark, sf):
     np.fill_diagonal(d, np.inf)
     want = np.argsort(d, 1)[:, :10]
     got = collections.defaultdict(list)
-    for r in op5_neighbours.neighbours(e, shard_rows=100).collect():
+    for r in op5_neighbours.neighbours(e, shard_rows=rows_a_shard, every=every).collect():
         got[r.vec_id].append((r["rank"], r.neighbour, r.distance))
-    assert np.mean([len({n for _, n, _ in got[i]} & set(ids[w])) / 10 for i, w in zip(ids, want)]) >= 0.9
-    place = {v: k for k, v in enumerate(ids)}
+    assert set(got) == {i for i in ids if i % every == 0}
+    ids, want, all_ids = ids[ids % every == 0], want[ids % every == 0], ids
+    assert np.mean([len({n for _, n, _ in got[i]} & set(all_ids[w])) / 10 for i, w in zip(ids, want)]) >= 0.9
+    place = {v: k for k, v in enumerate(all_ids)}
     for i, near in got.items():
         assert [k for k, _, _ in sorted(near)] == list(range(1, len(near) + 1))
         assert all(dist == pytest.approx(math.sqrt(d[place[i], place[n]]), abs=1e-6) for _, n, dist in near)
@@ -311,6 +338,8 @@ def test_bounds(a, b, most):
     x, y, d = np.array(a, np.int64), np.array(b, np.int64), edit_distance(a, b)
     least, at_most = op8_ordermin.bounds(x, y, most)
     assert least <= d <= at_most and op8_ordermin.within(x, y, most) == (d <= most)
+    laid, extra = op8_ordermin.against(x + 1, y + 1)
+    assert (laid != x + 1).sum() + extra >= d and (laid > 0).sum() + extra == len(b)
 
 
 def ascii_words(text):
@@ -353,10 +382,11 @@ def test_near_groups(spark):
     assert got == joined(texts, near_pairs(texts)) and got[5000] == 5000
 
 
-@pytest.mark.parametrize("block", [256, 3])  # one task a group, many
-def test_links_and_groups(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,names", [(256, 1 << 20), (3, 0)])  # one task a group, many; names sent, shuffled
+def test_links_and_groups(spark, monkeypatch, block, names):
     """Production parameters; each text's links are those that aligning it with every other finds."""
     monkeypatch.setattr(op8_ordermin, "BLOCK", block)
+    monkeypatch.setattr(op8_ordermin, "SENT_NAMES", names)
     rng = random.Random(9)
     texts = {}
     for k in range(4):
