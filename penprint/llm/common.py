@@ -139,6 +139,22 @@ class Words:
         return slice(self.offsets[i], self.offsets[i + 1])
 
 
+def word_counts(texts):
+    """How many words each text of a slice has."""
+    import numpy as np
+
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    base, bounds = bounds[0], bounds - bounds[0]
+    data = texts.buffers()[2]
+    b = np.frombuffer(data, np.uint8)[base : base + bounds[-1]] if data else np.zeros(0, np.uint8)
+    space, _ = cached("byte tables", _byte_tables)
+    inside = ~space[b]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[bounds[:-1][bounds[:-1] < len(b)]] = inside[bounds[:-1][bounds[:-1] < len(b)]]
+    return np.diff(np.searchsorted(np.flatnonzero(first), bounds))
+
+
 def _byte_tables():
     import numpy as np
 
@@ -195,8 +211,3 @@ def polynomial(h, start, end):
     power, inverse = cached(("powers", n), lambda: _powers(n))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])])
     return mix((sums[end] - sums[start]) * inverse[start])
-
-
-def documents(df: DataFrame) -> DataFrame:
-    """The columns doc_id and text alone, without rows whose doc_id is null (they can't be told apart)."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")

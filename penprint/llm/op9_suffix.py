@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, mix, read, release, windows
+from .common import Scratch, Words, chunks, mix, read, release, windows, word_counts
 
 #: Words from which on a repeat is cut, and words in a fingerprint of the test that sets passages aside.
 LENGTH = 50
@@ -22,6 +22,17 @@ GRAM = 25
 ROWS = 400_000
 LETTERS = 200_000
 
+#: Ranges that triples fall into at most (a task orders more rows than ROWS beyond that), and triples sampled for each: together they
+#: bound what the driver gathers and sends, to some 25 MB.
+RANGES = 1 << 16
+SAMPLES = 16
+
+#: Bits of a word's hash that make a letter. Two windows that differ in one word alone are taken for equal with a chance of 2^-BITS.
+BITS = 39
+
+#: Id of rows without doc_id: they come last.
+LAST = (1 << 63) - 1
+
 
 def winnow(words: Words, length: int, gram: int):
     """Hashes of all gram-word runs, where they are the least of some window of `length` words within a text, each window's
@@ -102,7 +113,7 @@ def passages(docs: DataFrame, again: DataFrame, length: int, gram: int) -> DataF
                 if not len(a):
                     continue
                 # starts of different texts are never neighbours: a text's last length - 1 words start no window
-                letters = (mix(words.hash) >> np.uint64(33)).astype(np.int64)
+                letters = (mix(words.hash) >> np.uint64(64 - BITS)).astype(np.int64)
                 raw = words.hash
                 pieces = [letters[x : y - 1 + length] for x, y in zip(a, b)]
                 content = [xxhash.xxh3_128_digest(raw[x : y - 1 + length].tobytes()) for x, y in zip(a, b)]
@@ -219,10 +230,12 @@ def by_part(blocks: DataFrame, parts: int, work, kinds: list, schema: str) -> Da
     return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-def split_points(strings: DataFrame, parts: int) -> list[tuple[int, int, int]]:
-    """Triples that divide all triples into about `parts` ranges, from a sample of some 64 a range."""
+def split_points(strings: DataFrame, parts: int) -> list:
+    """Three columns of triples, in order, that divide all triples into about `parts` ranges, from a sample of some SAMPLES a range."""
+    import numpy as np
+
     total = strings.agg(F.sum(F.size("letters"))).first()[0] or 0
-    step = max(1, total // (64 * parts))
+    step = max(1, total // (SAMPLES * parts))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -234,17 +247,20 @@ def split_points(strings: DataFrame, parts: int) -> list[tuple[int, int, int]]:
             columns = [s.value, s.ahead(s.value, 1), s.ahead(s.value, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in columns], ["t0", "t1", "t2"])
 
-    sample = sorted(tuple(r) for r in strings.select("id", "letters").mapInArrow(run, "t0 long, t1 long, t2 long").collect())
-    return sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
+    found = strings.select("id", "letters").mapInArrow(run, "t0 long, t1 long, t2 long").toArrow()
+    sample = np.stack([c.to_numpy() for c in found.columns], 1)
+    sample = sample[np.lexsort(sample.T[::-1])]
+    points = np.unique(sample[np.arange(1, parts) * len(sample) // parts], axis=0) if len(sample) else sample
+    return [np.ascontiguousarray(c) for c in points.T]
 
 
 def range_of(points: list, t0, t1, t2):
     """How many of the points are at most each triple."""
     import numpy as np
 
-    if not points:
+    if not len(points[0]):
         return np.zeros(len(t0), np.int64)
-    known = [np.array(c, np.int64) for c in zip(*points)]
+    known = points
     out = np.searchsorted(known[0], t0, side="right")
     unsure = np.flatnonzero(out != np.searchsorted(known[0], t0))
 
@@ -435,7 +451,7 @@ def suffix_ranks(scratch: Scratch, strings: DataFrame, need: int, level: int = 0
 
 def parts_for(strings: DataFrame) -> int:
     letters = strings.agg(F.sum(F.size("letters"))).first()[0] or 0
-    return max(1, -(-letters // ROWS))
+    return min(RANGES, max(1, -(-letters // ROWS)))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -480,49 +496,56 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ca
     on in the same one, goes, each word with the white space before it; a repeat that overlaps its first occurrence (one word
     over and over) takes the words that they share, so at least the first word stays. Words are what white space separates; case and stops
     count. A text that loses nothing comes back unchanged; one that loses all its words keeps the white space at its end.
-    Null texts stay null with 0 words; texts under `length` words lose nothing. Rows whose doc_id is null are left out.
+    Null texts stay null with 0 words; texts under `length` words lose nothing. Rows without doc_id come after all others.
+    Words are compared by BITS bits of their hashes.
     Repeated rows (same doc_id and text) count as one document; other rows of one doc_id are told apart by their text. Other
     columns are left out. The ranges are found when this is called, not when its result is read.
     """
     carry = carry or []
-    wide = docs.select("doc_id", "text", *(F.col(c).alias(f"__{c}") for c in carry))
-    wide = wide.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).where("doc_id is not null").withColumn("row", F.xxhash64("text"))
-    docs = wide.select("doc_id", "row", "text")
-    cuts = repeats(docs, length, gram).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"__{c}") for c in carry))
+    wide = wide.withColumns({"id": F.coalesce("doc_id", F.lit(LAST)), "row": F.xxhash64("text")})
+    cuts = repeats(wide.select(F.col("id").alias("doc_id"), "row", "text"), length, gram).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            out, words_n, gone_n = [], [], []
-            cuts = batch.column(2).to_pylist()
-            for at, some in chunks(batch.column(1)):
-                words = Words(some)
-                for i in range(len(some)):
-                    here = words.text(i)
-                    n = here.stop - here.start
-                    words_n.append(n)
-                    if not cuts[at + i]:
-                        out.append(batch.column(1)[at + i].as_py())
-                        gone_n.append(0)
-                        continue
-                    edge = np.zeros(n + 1, np.int64)
-                    for c in cuts[at + i]:
-                        edge[c["start"]] += 1
-                        edge[c["start"] + c["n"]] -= 1
+            words_n, gone_n = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            cuts = batch.column(2)
+            some = np.flatnonzero(pc.is_valid(cuts).to_numpy(zero_copy_only=False))
+            new = []
+            for at, texts in chunks(batch.column(1)):
+                words_n[at : at + len(texts)] = word_counts(texts)
+            for at, texts in chunks(batch.column(1).take(pa.array(some))):
+                words = Words(texts)
+                for i in range(len(texts)):
+                    here, row = words.text(i), some[at + i]
+                    edge = np.zeros(here.stop - here.start + 1, np.int64)
+                    ranges = cuts[row].values
+                    start, n = ranges.field("start").to_numpy(), ranges.field("n").to_numpy()
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + n, -1)
                     keep = np.cumsum(edge)[:-1] == 0
+                    gone_n[row] = len(keep) - keep.sum()
                     a, b = words.bounds[i], words.bounds[i + 1]
                     ends = words.last[here]
                     starts = np.concatenate([[a], ends[:-1]])
-                    pieces = [words.bytes[x:y].tobytes() for x, y in zip(starts[keep], ends[keep])]
-                    out.append((b"".join(pieces) + words.bytes[ends[-1] : b].tobytes()).decode())
-                    gone_n.append(int(n - keep.sum()))
-            new = [pa.array(out, pa.string()), pa.array(words_n, pa.int32()), pa.array(gone_n, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[3:]], ["doc_id", "text", "words", "removed", *carry])
+                    # stretches of kept words, each with the white space before it, and the white space at the end
+                    turn = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+                    pieces = [words.bytes[starts[x] : ends[y - 1]].tobytes() for x, y in zip(turn[::2], turn[1::2])]
+                    new.append((b"".join(pieces) + words.bytes[ends[-1] : b].tobytes()).decode())
+            texts = batch.column(1)
+            if len(some):
+                place = np.arange(batch.num_rows)
+                place[some] = batch.num_rows + np.arange(len(some))
+                texts = pa.concat_arrays([texts, pa.array(new, texts.type)]).take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(words_n), pa.array(gone_n), *batch.columns[3:]], ["doc_id", "text", "words", "removed", *carry])
 
     schema = ", ".join(["doc_id long, text string, words int, removed int", *(f"`{c}` {wide.schema[f'__{c}'].dataType.simpleString()}" for c in carry)])
-    joined = wide.join(cuts, ["doc_id", "row"], "left").select("doc_id", "text", "cuts", *(f"__{c}" for c in carry))
+    cuts = cuts.withColumnRenamed("doc_id", "id")
+    joined = wide.join(cuts, ["id", "row"], "left").select("doc_id", "text", "cuts", *(f"__{c}" for c in carry))
     return joined.mapInArrow(run, schema)
 
 
@@ -535,7 +558,7 @@ SQL = {
     "op9_suffix": rf"""
 WITH cut AS (
   SELECT doc_id, text, regexp_extract_all(text, '[ \t\n\r\f\x0b]*[^ \t\n\r\f\x0b]+') AS p, regexp_extract(text, '[ \t\n\r\f\x0b]*$') AS tail
-  FROM documents WHERE doc_id IS NOT NULL),
+  FROM documents),
 plain AS (SELECT doc_id, list_transform(p, lambda x: regexp_replace(x, '^[ \t\n\r\f\x0b]+', '')) AS w FROM cut),
 starts AS (SELECT doc_id, unnest(range(len(w) - {LENGTH - 1})) AS i, w FROM plain WHERE len(w) >= {LENGTH}),
 keyed AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + {LENGTH}], ' ') AS run FROM starts),
