@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ SIDE = 32
 LOW = 8
 PAGE_WIDTH = 64
 
+#: Pixels that an image may declare (a task holds some 16 bytes for each), and bytes that are unfiltered together.
+MOST_PIXELS = 1 << 24
+TOGETHER = 1 << 22
+
 
 class Broken(ValueError):
     """What is wrong with a file."""
@@ -48,49 +53,52 @@ def chunks_of(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + n
 
 
-def unfilter(raw, height: int, stride: int, step: int):
-    """Rows of bytes without their filters; step: bytes from a pixel to the same channel of the next."""
-    import numpy as np
-
-    rows = raw.reshape(height, stride + 1)
-    kinds, out = rows[:, 0], rows[:, 1:].copy()
-    if kinds.max(initial=0) > 4:
-        raise Broken("filter")
-    pad = -stride % step
-    above = np.zeros(stride, np.uint8)
-    for y in range(height):
-        row, kind = out[y], kinds[y]
-        if kind == 1:
-            wide = np.pad(row, (0, pad)).reshape(-1, step)
-            row[:] = np.cumsum(wide, 0, dtype=np.uint8).ravel()[:stride]
-        elif kind == 2:
-            row += above
-        elif kind == 3:
-            row[:] = _average(row.tolist(), above.tolist(), step)
-        elif kind == 4:
-            row[:] = _paeth(row.tolist(), above.tolist(), step)
-        above = row
+def unfilter(images: list) -> list:
+    """The rows of bytes of each image (raw, height, stride, step) without their filters; step: bytes from a pixel to the same channel
+    of the next. Images of one step go together, about TOGETHER bytes at a time."""
+    out: list = [None] * len(images)
+    order = sorted(range(len(images)), key=lambda k: (images[k][3], images[k][2], images[k][1]))
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and images[order[to]][2:] == images[order[at]][2:] and (to + 1 - at) * images[order[to]][1] * images[order[at]][2] <= TOGETHER:
+            to += 1
+        for k, rows in zip(order[at:to], _wavefront([images[k] for k in order[at:to]])):
+            out[k] = rows
+        at = to
     return out
 
 
-def _average(row: list, above: list, step: int) -> list:
-    for i in range(len(row)):
-        row[i] = (row[i] + ((row[i - step] if i >= step else 0) + above[i] >> 1)) & 255
-    return row
-
+def _wavefront(images: list) -> list:
+    """unfilter() of images of one stride and step: a pixel needs those to its left, above and between, so all pixels with the same
+    sum of row and column are done at once."""
+    import numpy as np
 
-def _paeth(row: list, above: list, step: int) -> list:
-    for i in range(min(step, len(row))):
-        row[i] = (row[i] + above[i]) & 255
-    for i in range(step, len(row)):
-        a, b, c = row[i - step], above[i], above[i - step]
-        pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-        row[i] = (row[i] + (a if pa <= pb and pa <= pc else b if pb <= pc else c)) & 255
-    return row
+    _, _, stride, step = images[0]
+    n, most, wide = len(images), max(h for _, h, _, _ in images), -(-stride // step)
+    kinds, data = np.zeros((n, most), np.uint8), np.zeros((n, most, wide * step), np.uint8)
+    for k, (raw, height, _, _) in enumerate(images):
+        rows = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
+        kinds[k, :height], data[k, :height, :stride] = rows[:, 0], rows[:, 1:]
+    data = data.reshape(n, most, wide, step)
+    done = np.zeros((n, most + 1, wide + 1, step), np.uint8)  # a row above and a column to the left, of zeros
+    if kinds.any():
+        for d in range(most + wide - 1):
+            y = np.arange(max(0, d - wide + 1), min(most, d + 1))
+            x = d - y
+            kind = kinds[:, y, None]
+            left, up, corner = done[:, y + 1, x].astype(np.int16), done[:, y, x + 1].astype(np.int16), done[:, y, x].astype(np.int16)
+            a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+            paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+            guess = np.where(kind == 4, paeth, np.where(kind == 3, (left + up) >> 1, np.where(kind == 2, up, np.where(kind == 1, left, 0))))
+            done[:, y + 1, x + 1] = data[:, y, x] + guess.astype(np.uint8)
+    else:
+        done[:, 1:, 1:] = data
+    return [done[k, 1 : h + 1, 1:].reshape(h, -1)[:, :stride] for k, (_, h, _, _) in enumerate(images)]
 
 
-def decode_png(data: bytes):
-    """Grey values 0..255 as a float array (height, width). Alpha is left out; colours are weighted 299, 587, 114."""
+def inflated(data: bytes, most_pixels: int = MOST_PIXELS):
+    """(header, palette, rows with their filters) of a PNG, all of it tested but what the pixels' values can break."""
     import numpy as np
 
     head, palette, packed, ended = None, None, [], False
@@ -117,34 +125,63 @@ def decode_png(data: bytes):
         raise Broken("header")
     if interlace:
         raise Broken("interlaced")
-    bits = depth * CHANNELS[colour]
-    stride = (width * bits + 7) // 8
+    if width * height > most_pixels:
+        raise Broken("too large")
+    size = height * (layout(head)[0] + 1)
     engine = zlib.decompressobj()
     try:
-        raw = engine.decompress(b"".join(packed), height * (stride + 1) + 1)
+        raw = engine.decompress(b"".join(packed), size + 1)
     except zlib.error:
         raise Broken("deflate") from None
-    if len(raw) != height * (stride + 1):
+    if len(raw) != size:
         raise Broken("size")
-    rows = unfilter(np.frombuffer(raw, np.uint8), height, stride, max(1, bits // 8))
-    if depth == 16:
-        values = rows.reshape(height, -1, 2)[:, :, 0].astype(float) + rows.reshape(height, -1, 2)[:, :, 1] / 256
-        values = values * (255 / (255 + 255 / 256))
-    elif depth == 8:
-        values = rows.astype(float)
-    else:
-        each = np.unpackbits(rows, axis=1).reshape(height, -1, depth) @ (1 << np.arange(depth)[::-1])
-        values = each[:, :width].astype(float) * (1 if colour == 3 else 255 / ((1 << depth) - 1))
-    values = values.reshape(height, width, CHANNELS[colour])
-    weights = np.array([0.299, 0.587, 0.114])
-    if colour == 3:
-        index = values[:, :, 0].astype(int)
-        if palette is None or index.max() >= len(palette):
-            raise Broken("palette")
-        return palette[index] @ weights
-    return values[:, :, :3] @ weights if colour in (2, 6) else values[:, :, 0]
+    if max(raw[:: layout(head)[0] + 1]) > 4:
+        raise Broken("filter")
+    return head, palette, raw
+
+
+def layout(head) -> tuple[int, int]:
+    """Bytes of a row without its filter, and from a pixel to the next (1 at least)."""
+    width, _, depth, colour, *_ = head
+    bits = depth * CHANNELS[colour]
+    return (width * bits + 7) // 8, max(1, bits // 8)
+
+
+def grey_of(head, palette, rows):
+    """Grey values 0..255 as a float array (height, width), made some rows at a time."""
+    import numpy as np
+
+    width, height, depth, colour, *_ = head
+    out, weights = np.empty((height, width)), np.array([0.299, 0.587, 0.114])
+    some = max(1, TOGETHER // (8 * rows.shape[1]))
+    for y in range(0, height, some):
+        part = rows[y : y + some]
+        if depth == 16:
+            pairs = part.reshape(len(part), -1, 2)
+            values = (pairs[:, :, 0].astype(float) + pairs[:, :, 1] / 256) * (255 / (255 + 255 / 256))
+        elif depth == 8:
+            values = part.astype(float)
+        else:
+            each = np.unpackbits(part, axis=1)[:, : width * depth].reshape(len(part), -1, depth) @ (1 << np.arange(depth)[::-1])
+            values = each.astype(float) * (1 if colour == 3 else 255 / ((1 << depth) - 1))
+        values = values.reshape(len(part), width, CHANNELS[colour])
+        if colour == 3:
+            index = values[:, :, 0].astype(int)
+            if palette is None or index.max() >= len(palette):
+                raise Broken("palette")
+            out[y : y + some] = palette[index] @ weights
+        else:
+            out[y : y + some] = values[:, :, :3] @ weights if colour in (2, 6) else values[:, :, 0]
+    return out
 
 
+def decode_png(data: bytes, most_pixels: int = MOST_PIXELS):
+    """Grey values 0..255 as a float array (height, width). Alpha is left out; colours are weighted 299, 587, 114."""
+    head, palette, raw = inflated(data, most_pixels)
+    return grey_of(head, palette, unfilter([(raw, head[1], *layout(head))])[0])
+
+
+@lru_cache(maxsize=256)
 def shrink(size: int, to: int):
     """(to, size) weights of an area mean."""
     import numpy as np
@@ -167,13 +204,34 @@ def cosine_hash(grey, side: int = SIDE, low: int = LOW) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def hash_media(media: DataFrame, column: str = "png") -> DataFrame:
+def hashed(images: list, most_pixels: int) -> list:
+    """(width, height, hash, problem) of each PNG."""
+    out, read, bytes_, at = [(None, None, None, "missing")] * len(images), [], 0, 0
+    for k, data in enumerate(images):
+        try:
+            if data is not None:
+                read.append((k, *inflated(data, most_pixels)))
+                bytes_ += len(read[-1][3])
+        except Broken as e:
+            out[k] = (None, None, None, str(e))
+        if bytes_ < TOGETHER and k + 1 < len(images):
+            continue
+        for (i, head, palette, _), rows in zip(read, unfilter([(raw, head[1], *layout(head)) for _, head, _, raw in read])):
+            try:
+                out[i] = (head[0], head[1], cosine_hash(grey_of(head, palette, rows)), None)
+            except Broken as e:
+                out[i] = (None, None, None, str(e))
+        read, bytes_ = [], 0
+    return out
+
+
+def hash_media(media: DataFrame, column: str = "png", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """Every column but `column`, plus width, height (int), hash (binary) and problem (string).
 
     problem says what is wrong with a file (signature, truncated, checksum, header, palette, deflate, size, filter,
-    interlaced, unknown critical chunk, or missing for null); the three others are null then. Otherwise problem is null. Bytes
-    after IEND are ignored. Repeated rows are hashed alike; an empty table gives an empty one; columns named like the new ones
-    are replaced.
+    interlaced, unknown critical chunk, too large for more than `most_pixels` pixels, or missing for null); the three others are null
+    then. Otherwise problem is null. Bytes after IEND are ignored. Repeated rows are hashed alike; an empty table gives an empty one;
+    columns named like the new ones are replaced.
     """
     rest = [c for c in media.columns if c not in (column, "width", "height", "hash", "problem")]
     media = media.select(*rest, F.col(column).alias("__data"))
@@ -183,16 +241,7 @@ def hash_media(media: DataFrame, column: str = "png") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = []
-            for data in batch.column(batch.num_columns - 1):
-                data = data.as_py()
-                try:
-                    if data is None:
-                        raise Broken("missing")
-                    grey = decode_png(data)
-                    found.append((grey.shape[1], grey.shape[0], cosine_hash(grey), None))
-                except Broken as e:
-                    found.append((None, None, None, str(e)))
+            found = hashed(batch.column(batch.num_columns - 1).to_pylist(), most_pixels)
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.string()]
             new = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*rest, "width", "height", "hash", "problem"])

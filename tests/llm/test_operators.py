@@ -276,6 +276,89 @@ def test_png_kinds():
     assert decode(png((1, 2, 8, 6, 0, 0, 0), b"\x01\x01\x01\x01\x09\x02\x01\x01\x01\x09")).round(6).tolist() == [[1], [2]]
 
 
+def plain_png(data):
+    """Brute force: grey values of a PNG from the published definitions, byte by byte."""
+    at, packed, palette = 8, b"", None
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        content = data[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            width, height, depth, colour = struct.unpack(">IIBB", content[:10])
+        packed += content if kind == b"IDAT" else b""
+        palette = content if kind == b"PLTE" else palette
+        at += 12 + n
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    stride, step = -(-width * depth * channels // 8), max(1, depth * channels // 8)
+    raw, above, out = zlib.decompress(packed), [0] * stride, []
+    for y in range(height):
+        kind, *row = raw[y * (stride + 1) : (y + 1) * (stride + 1)]
+        for i in range(stride):
+            a, b, c = (row[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            row[i] = (row[i] + [0, a, b, (a + b) // 2, paeth][kind]) % 256
+        above = row
+        bits = "".join(f"{x:08b}" for x in row)
+        v = [int(bits[k * depth : (k + 1) * depth], 2) for k in range(width * channels)]
+        px = [v[k * channels : (k + 1) * channels] for k in range(width)]
+        top = 2**depth - 1
+        mean = lambda r, g, b: 0.299 * r + 0.587 * g + 0.114 * b
+        if colour == 3:
+            out.append([mean(*palette[3 * q[0] : 3 * q[0] + 3]) for q in px])
+        else:
+            out.append([255 / top * (mean(*q[:3]) if colour in (2, 6) else q[0]) for q in px])
+    return out
+
+
+def plain_hash(grey):
+    """Brute force: area means, cosine sums and their median from the definitions."""
+    h, w = len(grey), len(grey[0])
+
+    def share(size, k, i):  # how much of cell k of 32 lies in pixel i
+        return max(0.0, min((k + 1) * size / 32, i + 1) - max(k * size / 32, i)) * 32 / size
+
+    rows = [[sum(share(h, k, y) * grey[y][x] for y in range(h) if share(h, k, y)) for x in range(w)] for k in range(32)]
+    small = [[sum(share(w, k, x) * r[x] for x in range(w) if share(w, k, x)) for k in range(32)] for r in rows]
+    cos = [[math.cos(math.pi * (i + 0.5) * f / 32) for i in range(32)] for f in range(8)]
+    half = [[sum(cos[f][i] * small[i][j] for i in range(32)) for j in range(32)] for f in range(8)]
+    block = [round(sum(cos[g][j] * half[f][j] for j in range(32)), 6) for f in range(8) for g in range(8)]
+    middle = sorted(block[1:])[31]
+    return int("".join("0" if k == 0 else str(int(b > middle)) for k, b in enumerate(block)), 2).to_bytes(8, "big")
+
+
+@given(st.data())
+@settings(max_examples=80, deadline=None)
+def test_png_against_brute_force(data):
+    files = []
+    for _ in range(data.draw(st.integers(1, 4))):  # several together
+        colour, depth = data.draw(st.sampled_from([(c, d) for c, ds in op6_media.DEPTHS.items() for d in ds]))
+        width, height = data.draw(st.integers(1, 9)), data.draw(st.integers(1, 7))
+        stride = -(-width * depth * op6_media.CHANNELS[colour] // 8)
+        raw = b"".join(bytes([data.draw(st.integers(0, 4))]) + data.draw(st.binary(min_size=stride, max_size=stride)) for _ in range(height))
+        palette = data.draw(st.binary(min_size=768, max_size=768))
+        files.append(png((width, height, depth, colour, 0, 0, 0), raw, struct.pack(">I", 768) + b"PLTE" + palette + struct.pack(">I", zlib.crc32(b"PLTE" + palette)) if colour == 3 else b""))
+    for f, (w, h, found, problem) in zip(files, op6_media.hashed(files, 100)):
+        assert np.allclose(op6_media.decode_png(f), plain_png(f)) and problem is None and len(found) == 8
+
+
+def test_media_query_against_brute_force(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    images = {r.page_id: r.png for r in op6_media.page_images(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    rows = op6_media.op6_media(spark, sf).collect()
+    assert {r.page_id for r in rows} == set(pages) and len(rows) == len(pages)
+    for r in rows[:12]:
+        raw = list(pages[r.page_id].encode())
+        raw += [0] * (-len(raw) % 64 if raw else 64)
+        grey = [raw[i : i + 64] for i in range(0, len(raw), 64)]
+        assert plain_png(images[r.page_id]) == grey and (r.width, r.height, r.problem) == (64, len(grey), None)
+        assert bytes(r.hash) == plain_hash(grey)
+
+
+@pytest.mark.parametrize("size", [(2**31 - 1, 2**31 - 1, 16, 6), (2**32 - 1, 2**32 - 1, 8, 0), (1 << 13, 1 << 12, 1, 0)])
+def test_sizes_that_are_too_large(size):
+    assert op6_media.hashed([png((*size, 0, 0, 0), b"\0\0")], op6_media.MOST_PIXELS) == [(None, None, None, "too large")]
+
+
 def test_media_problems(spark):
     good = op6_media.encode_png(np.arange(100, dtype=np.uint8).reshape(10, 10))
     bad = bytearray(good)
