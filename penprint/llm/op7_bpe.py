@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from .bpe_files import PATTERN, RANKS, load_ranks
 from .common import latest, read, release
 
-#: Words that one recursive query contracts, words of texts that are put together at a time, and token rows that one
-#: decoding query orders; they bound memory.
-WORDS_AT_ONCE = 20_000
+#: Rows that one recursive query may make (a word of n bytes makes n * n / 2 at most), words of texts that are put together at a
+#: time, and token rows that one decoding query orders; they bound memory.
+ROWS_AT_ONCE = 2_000_000
 WORDS_OUT = 200_000
 TOKENS_AT_ONCE = 2_000_000
 
+#: Bytes from which on a word is contracted by a heap of its pairs, in the same order: a round a pair takes the square of its length.
+LONG_WORD = 1024
+
 #: Rows of a word's tokens, each with the token after it. A round finds each word's leftmost pair of least rank, makes it one
 #: token and closes the gap; words without a mergeable pair drop out, so that their last rows are the fixpoint.
 CONTRACT = """
 WITH RECURSIVE s AS (
-  SELECT w, i, tok, nxt, 0::SMALLINT AS round FROM cells
+  SELECT w, i, tok, nxt, 0 AS round FROM cells
   UNION ALL
   (WITH least AS (
      SELECT s.w, min(m.merged::BIGINT * 4294967296 + s.i) AS k
@@ -30,7 +33,7 @@ WITH RECURSIVE s AS (
      SELECT least.w, (k % 4294967296)::INT AS at, (k // 4294967296)::INT AS tok, s.nxt
      FROM least JOIN s ON s.w = least.w AND s.i = (k % 4294967296) + 1)
    SELECT s.w, (CASE WHEN s.i > b.at THEN s.i - 1 ELSE s.i END)::INT, CASE WHEN s.i = b.at THEN b.tok ELSE s.tok END,
-     CASE WHEN s.i = b.at THEN b.nxt WHEN s.i = b.at - 1 THEN b.tok ELSE s.nxt END, (s.round + 1)::SMALLINT
+     CASE WHEN s.i = b.at THEN b.nxt WHEN s.i = b.at - 1 THEN b.tok ELSE s.nxt END, s.round + 1
    FROM s JOIN b ON s.w = b.w WHERE s.i <> b.at + 1)
 )
 SELECT w, list(tok ORDER BY i) AS toks FROM s JOIN (SELECT w, max(round) AS last FROM s GROUP BY w) USING (w)
@@ -38,7 +41,7 @@ WHERE round = last GROUP BY w ORDER BY w
 """
 
 JOIN_UP = """
-SELECT t.d, string_agg(v.hex, '' ORDER BY t.i) AS hex, bool_or(v.hex IS NULL) AS unknown
+SELECT t.d, string_agg(v.bytes, '' ORDER BY t.i) AS bytes, bool_or(v.bytes IS NULL) AS unknown
 FROM tokens t LEFT JOIN vocabulary v ON v.tok = t.tok GROUP BY t.d ORDER BY t.d
 """
 
@@ -54,24 +57,60 @@ class Merger:
         self.ranks = ranks = load_ranks(path)
         rows = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         m = np.array(rows, np.int64).reshape(-1, 3)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({"pair": m[:, 0] * 4294967296 + m[:, 1], "merged": m[:, 2].astype(np.int32)})  # noqa: F841
-        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
+        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        self.merges = {(a, b): r for a, b, r in rows}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """The tokens of each word; a word that is a token is that token."""
         out: list = [[r] if (r := self.ranks.get(w)) is not None else None for w in words]
-        todo = [k for k, t in enumerate(out) if t is None]
-        for a in range(0, len(todo), WORDS_AT_ONCE):
-            some = todo[a : a + WORDS_AT_ONCE]
+        some, rows = [], 0
+        for k, toks in enumerate(out):
+            if toks is not None:
+                continue
+            n = len(words[k])
+            if n >= LONG_WORD:
+                out[k] = self._by_heap(words[k])
+                continue
+            if rows + n * n // 2 > ROWS_AT_ONCE:
+                self._fill(out, words, some)
+                some, rows = [], 0
+            some.append(k)
+            rows += n * n // 2
+        self._fill(out, words, some)
+        return out
+
+    def _fill(self, out: list, words: list[bytes], some: list[int]) -> None:
+        if some:
             for k, toks in zip(some, self._contract([words[k] for k in some])):
                 out[k] = toks
-        return out
+
+    def _by_heap(self, word: bytes) -> list[int]:
+        """The same contraction: the leftmost pair of least rank is always the heap's least, once those that are gone are passed over."""
+        import heapq
+
+        tok = [int(self.byte[b]) for b in word]
+        left, right = list(range(-1, len(tok) - 1)), [*range(1, len(tok)), -1]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(tok, tok[1:])) if (r := self.merges.get((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            merged, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if tok[i] != a or j < 0 or tok[j] != b:
+                continue
+            tok[i], tok[j], right[i] = merged, -1, right[j]
+            if right[i] >= 0:
+                left[right[i]] = i
+            for x, y in ((left[i], i), (i, right[i])):
+                if x >= 0 and y >= 0 and (r := self.merges.get((tok[x], tok[y]))) is not None:
+                    heapq.heappush(heap, (r, x, tok[x], tok[y]))
+        return [t for t in tok if t >= 0]
 
     def _contract(self, words: list[bytes]):
         import numpy as np
@@ -84,7 +123,7 @@ class Merger:
         nxt = np.append(tok[1:], np.int32(-1))
         nxt[np.cumsum(n) - 1] = -1
         self.db.register("cells", pa.table({"w": w, "i": i.astype(np.int32), "tok": tok, "nxt": nxt}))
-        found = self.db.execute(CONTRACT).to_arrow_table().column("toks").to_pylist()
+        found = self.db.sql(CONTRACT).to_arrow_table().column("toks").to_pylist()
         self.db.unregister("cells")
         return found
 
@@ -103,7 +142,7 @@ class Merger:
             d = np.repeat(np.arange(at, to, dtype=np.int64), n)
             self.db.register("tokens", pa.table({"d": d, "i": np.arange(len(tok), dtype=np.int64), "tok": pa.array(tok, pa.int32())}))
             for k, text, unknown in self.db.execute(JOIN_UP).fetchall():
-                out[k] = None if unknown else bytes.fromhex(text)
+                out[k] = None if unknown else text.encode("latin-1")
             self.db.unregister("tokens")
             at = to
         return out
@@ -114,7 +153,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, out: str = "tokens") -> DataFram
 
     Whole texts are encoded. A null text gives null, an empty one an empty array; repeated rows are encoded alike; an empty
     table gives an empty one. A column named like `out` is replaced. The text is read as UTF-8 bytes; strings of special
-    tokens in it are ordinary text. Very long words are contracted like others, one pair a round.
+    tokens in it are ordinary text. Words of LONG_WORD bytes or more are contracted in the same order by a heap.
     """
     docs = docs.drop(out)
     text = F.col("text").cast("string")
@@ -190,12 +229,15 @@ def decode(tokens: DataFrame, ranks: str = RANKS, column: str = "tokens", out: s
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    """(doc_id, tokens, same): every document's ids, and whether they decode to its text, by MD5 (null for a null text)."""
+    coded = encode(read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("was"), "text")).drop("text")
+    back = decode(coded.withColumn("ids", F.col("tokens")), column="ids")
+    return back.select("doc_id", "tokens", (F.md5("text") == F.col("was")).alias("same"))
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents again, encoded and decoded."""
-    return decode(op7_bpe(spark, sf_dir))
+    return decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
 QUERIES = {"op7_bpe": op7_bpe, "bpe_round_trip": bpe_round_trip}

@@ -396,6 +396,30 @@ def test_bpe_equals_the_library(spark, odd, nothing):
     assert {r.doc_id: r.text for r in op7_bpe.decode(t).collect()} == {1: None, 2: "", 3: None, 4: None}
 
 
+def test_bpe_query_round_trip(spark, sf):
+    rows = op7_bpe.op7_bpe(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    code = fast_encoding()
+    assert {r.doc_id: r.tokens for r in rows} == {i: code.encode_ordinary(t) for i, t in texts.items()} and all(r.same for r in rows)
+
+
+@given(st.binary(max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_heap_and_recursion_agree(word):
+    merger = op7_bpe.latest("merger", op7_bpe.RANKS, lambda: op7_bpe.Merger(op7_bpe.RANKS))
+    want = fast_encoding()._core_bpe.encode_single_piece(word) if word else []
+    assert merger._by_heap(word) == want and (not word or merger._contract([word]) == [want])
+
+
+def test_very_long_words(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    merger, single = op7_bpe.Merger(op7_bpe.RANKS), fast_encoding()._core_bpe.encode_single_piece
+    rng = random.Random(7)
+    words = [b"a" * 100_000, *(bytes(rng.choice(b"abcdethe") for _ in range(n)) for n in (40_000, 1024, 1023)), *(bytes(rng.choice(b"abcdethe") for _ in range(900)) for _ in range(60))]
+    assert merger.words(words) == [single(w) for w in words]
+    assert not list(tmp_path.iterdir())  # nothing spilled
+
+
 # 8
 
 
