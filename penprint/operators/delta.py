@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from .tokens import edge_words
 
-#: Size of the author by word grid up to which it is broadcast to the unknown side.
-GRID_ROWS = 1_000_000
-
-
 def word_rows(docs: DataFrame, who: str) -> DataFrame:
     """(who, word, cnt): word counts by author or unknown id, words by the Delta rule."""
     words = docs.select(F.coalesce(F.col(who).cast("string"), F.lit("Unknown")).alias(who), F.explode(edge_words(F.col("text"))).alias("word"))

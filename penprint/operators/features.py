@@ -1,4 +1,4 @@
-"""The twelve analyzers as aggregations over the token table (or the text), one row a document.
+"""The twelve analyzers, one row a document: over a token table where one is given, otherwise within each document's row.
 
 Ranked dictionaries are arrays of (key, count) structs in rank order: count descending, ties by first occurrence. Documents
 without tokens get the zero row of their analyzer; groups that need a parsing model are null where the backend has none.
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import local
 from . import tokens as tk
 
 ANALYZERS: dict[str, Callable] = {}
@@ -43,6 +44,12 @@ def ranked(counted: DataFrame, n: int, key: str) -> DataFrame:
     return counted.withColumn("rank", place).where(F.col("rank") <= n).select("doc_id", F.col("rank").cast("long").alias("rank"), key, "cnt")
 
 
+def packed(rows: DataFrame, key: str, name: str, value: str = "cnt") -> DataFrame:
+    """(doc_id, name): ranked rows as one list a document."""
+    entry = F.struct("rank", F.struct(F.col(key).alias("key"), F.col(value).alias("count")).alias("e"))
+    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias(name))
+
+
 def empty_list(kind: str = "long") -> Column:
     return F.array().cast(f"array<struct<key:string,count:{kind}>>")
 
@@ -73,9 +80,15 @@ def histogram(lengths: DataFrame) -> DataFrame:
     return doc.select("doc_id", F.transform(places, lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("length_distribution"))
 
 
+def elided(lang: str) -> bool:
+    from ..functions.languages import ELISION
+
+    return lang in ELISION
+
+
 @analyzer("sentences")
 def sentences(docs, tokens, lang):
-    lengths = sentence_lengths(tokens)
+    lengths = local.sentence_sizes(docs, elided(lang)) if tokens is None else sentence_lengths(tokens)
     return sentence_rows(lengths, "doc_id").join(histogram(lengths), "doc_id")
 
 
@@ -94,30 +107,48 @@ def vocabulary_rows(counts: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def vocabulary_of(docs: DataFrame, lang: str = "en") -> DataFrame:
+    """The same of docs (doc_id, text), without a shuffle."""
+    n, v, v1, ff = (F.col(c) for c in ("n", "v", "v1", "ff"))
+    return local.richness(docs.select("doc_id", local.words_of(F.col("text"), elided(lang)))).select(
+        "doc_id", n.alias("total_tokens"), v.alias("unique_types"), F.round(v / n, 4).alias("ttr"), v1.alias("hapax_legomena"), F.round(v1 / v, 4).alias("hapax_ratio"),
+        F.round(10000 * (ff - n) / (n * n), 2).alias("yules_k"), F.round(F.when(v1 != v, 100 * F.ln(n) / (1 - v1 / v)), 2).alias("honores_r"),
+    )
+
+
 @analyzer("vocabulary")
 def vocabulary(docs, tokens, lang):
+    if tokens is None:
+        return vocabulary_of(docs, lang)
     return vocabulary_rows(word_counts(tokens, "doc_id"), "doc_id")
 
 
 # --- function words
 
 
-def function_word_rates(tokens: DataFrame, words: DataFrame, n: int = 30) -> DataFrame:
-    """(doc_id, rank, word, rate): per 1000 tokens that aren't white space; tokens and words both carry lang. Ties in list order."""
-    total = Window.partitionBy("doc_id")
-    counts = tk.visible(tokens).groupBy("doc_id", "lang", "lower").agg(F.count(F.lit(1)).alias("cnt")).withColumn("total", F.sum("cnt").over(total))
-    # the list of words has under a thousand rows
-    hit = counts.join(F.broadcast(words.withColumnRenamed("word", "lower")), ["lang", "lower"]).withColumn("rate", F.round(F.col("cnt") * 1000 / F.col("total"), 2))
+def function_word_rates(counts: DataFrame, words: DataFrame, n: int = 30) -> DataFrame:
+    """(doc_id, rank, word, rate): per 1000 tokens that aren't white space, of counts (doc_id, lang, item, cnt, total). Ties in list
+    order."""
+    # the list of words has some 1500 rows
+    hit = counts.join(F.broadcast(words.withColumnRenamed("word", "item")), ["lang", "item"]).withColumn("rate", F.round(F.col("cnt") * 1000 / F.col("total"), 2))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("rate"), "ord"))
-    return hit.withColumn("rank", place).where(F.col("rank") <= n).select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("lower").alias("word"), "rate")
+    return hit.withColumn("rank", place).where(F.col("rank") <= n).select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("item").alias("word"), "rate")
+
+
+def token_kinds(docs: DataFrame, tokens: DataFrame | None, words: list[str], lang: str = "en") -> DataFrame:
+    """(doc_id, item, cnt, total): how often each of the words occurs among the document's tokens that aren't white space."""
+    if tokens is None:
+        lower = F.transform(local.tokens_of(F.col("text"), elided(lang)), F.lower)
+        return local.kinds(docs.select("doc_id", lower), words)
+    counts = tk.visible(tokens).groupBy("doc_id", F.col("lower").alias("item")).agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.withColumn("total", F.sum("cnt").over(Window.partitionBy("doc_id"))).where(F.col("item").isin(words))
 
 
 @analyzer("function_words")
 def function_words(docs, tokens, lang):
-    from ..functions.languages import function_word_table
+    from ..functions.languages import function_word_table, function_words
 
-    words = function_word_table(docs.sparkSession).where(F.col("lang") == lang)
-    rates = function_word_rates(tokens.withColumn("lang", F.lit(lang)), words)
+    rates = function_word_rates(token_kinds(docs, tokens, function_words(lang), lang).withColumn("lang", F.lit(lang)), function_word_table(docs.sparkSession))
     entry = F.struct("rank", F.struct(F.col("word").alias("key"), F.col("rate").alias("count")).alias("e"))
     return rates.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("frequencies"), F.lit(30).alias("top_n"))
 
@@ -127,6 +158,7 @@ def function_words(docs, tokens, lang):
 
 @analyzer("pos")
 def pos(docs, tokens, lang):
+    tokens = tk.annotate(docs, lang) if tokens is None else tokens
     seen = tk.visible(tokens).where("pos is not null")
     n = F.count(F.lit(1))
     is_ = lambda *tags: F.count_if(F.col("pos").isin(*tags))
@@ -151,6 +183,9 @@ def opener_counts(tokens: DataFrame) -> DataFrame:
 
 @analyzer("sentence_openers")
 def sentence_openers(docs, tokens, lang):
+    if tokens is None:
+        words = packed(local.top_items(docs.select("doc_id", local.openers_of(F.col("text"), elided(lang))), 20, 1, "lower"), "lower", "top_words")
+        return words.withColumns({"pos_distribution": F.lit(None).cast("array<struct<key:string,count:double>>"), "conjunction_start_rate": F.lit(None).cast("double")})
     first = first_tokens(tokens)
     words = first.groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
     tags = first.where("pos is not null").groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
@@ -170,6 +205,7 @@ def sentence_types(docs: DataFrame) -> DataFrame:
 
 @analyzer("syntax")
 def syntax(docs, tokens, lang):
+    tokens = tk.annotate(docs, lang) if tokens is None else tokens
     deep = tokens.groupBy("doc_id", "sent_id").agg(F.max("depth").alias("depth"))
     d, n = F.col("depth"), F.count("depth")
     rows = deep.groupBy("doc_id").agg(
@@ -194,18 +230,20 @@ def word_ngrams(tokens: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("doc_id", F.concat_ws(" ", *(f"w{i}" for i in range(n))).alias("gram")).agg(F.count(F.lit(1)).alias("cnt"), F.min("tok_i").alias("first"))
 
 
-def char_ngrams(docs: DataFrame, n: int = 3) -> DataFrame:
-    """(doc_id, gram, cnt, first): n-character runs of the lower-case text with white space as single spaces."""
-    chars = F.split(F.regexp_replace(F.lower("text"), r"\s+", " "), "")
-    flat = docs.select("doc_id", chars.alias("c")).where(F.size("c") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.array_join(F.slice("c", i, F.lit(n)), ""))
-    return flat.select("doc_id", F.posexplode(grams).alias("first", "gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
+def word_lists(docs: DataFrame, lang: str = "en") -> DataFrame:
+    return docs.select("doc_id", local.words_of(F.col("text"), elided(lang)))
+
+
+def top_char_ngrams(docs: DataFrame, n: int = 50, size: int = 3) -> DataFrame:
+    """(doc_id, rank, gram, cnt): n-character runs of the lower-case text with white space as single spaces."""
+    return local.top_characters(docs.select("doc_id", F.regexp_replace(F.lower("text"), r"\s+", " ")), n, size)
 
 
 @analyzer("ngrams")
 def ngrams(docs, tokens, lang):
-    parts = [top(word_ngrams(tokens, 2), 50, "gram", "word_bigrams"), top(word_ngrams(tokens, 3), 50, "gram", "word_trigrams"), top(char_ngrams(docs), 50, "gram", "char_trigrams")]
-    return parts[2].join(parts[0], "doc_id", "left").join(parts[1], "doc_id", "left")
+    chars = packed(top_char_ngrams(docs), "gram", "char_trigrams")
+    words = [packed(local.top_items(word_lists(docs, lang), 50, k), "gram", name) if tokens is None else top(word_ngrams(tokens, k), 50, "gram", name) for k, name in ((2, "word_bigrams"), (3, "word_trigrams"))]
+    return chars.join(words[0], "doc_id", "left").join(words[1], "doc_id", "left")
 
 
 # --- punctuation: no shuffle
@@ -215,22 +253,24 @@ def marks(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def punctuation_columns(text: Column) -> list[Column]:
+def punctuation_rates(docs: DataFrame) -> DataFrame:
+    """(doc_id, ten rates a thousand words); a text without words has rates of 0. Words are counted once, in a select below."""
     from ..functions.normalize import word_count
 
-    n = word_count(text)
+    text = F.col("text")
     counts = {
         "comma": marks(text, ","), "period": marks(text, "."), "semicolon": marks(text, ";"), "colon": marks(text, ":"),
         "dash": F.regexp_count(text, F.lit("---")) + F.regexp_count(F.replace(text, F.lit("---"), F.lit("")), F.lit("--")),
         "exclamation": marks(text, "!"), "question": marks(text, "?"), "ellipsis": F.regexp_count(text, F.lit(r"\.{3}|…")),
         "parenthesis": marks(text, "(") + marks(text, ")"), "quotation": sum((marks(text, q) for q in "'“”"), marks(text, '"')),
     }
-    return [F.when(n > 0, F.round(c * 1000 / n, 2)).otherwise(0.0).alias(k) for k, c in counts.items()]
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", word_count(text))
+    return base.select("doc_id", *(F.when(F.col("n") > 0, F.round(c * 1000 / F.col("n"), 2)).otherwise(0.0).alias(k) for k, c in counts.items()))
 
 
 @analyzer("punctuation")
 def punctuation(docs, tokens, lang):
-    return docs.select("doc_id", *punctuation_columns(F.coalesce("text", F.lit(""))))
+    return punctuation_rates(docs)
 
 
 # --- contractions
@@ -247,6 +287,7 @@ def contraction_counts(tokens: DataFrame, suffixes: list[str], elided: bool = Fa
 
 @analyzer("contractions")
 def contractions(docs, tokens, lang):
+    tokens = tk.annotate(docs, lang) if tokens is None else tokens
     from ..functions.languages import ELISION, LANGUAGES
 
     counts = contraction_counts(tokens, LANGUAGES[lang][4].split(), lang in ELISION)
@@ -293,14 +334,19 @@ def paragraphs(docs, tokens, lang):
 # --- dialogue
 
 
-def dialogue_ratios(tokens: DataFrame, quotes: list[str]) -> DataFrame:
-    """Quote marks toggle; words inside and outside, as shares of all words, 3 digits."""
+def quoted_words(tokens: DataFrame, quotes: list[str]) -> DataFrame:
+    """(doc_id, quoted, told): words inside and outside quotes; quote marks toggle."""
     w = Window.partitionBy("doc_id").orderBy("tok_i").rowsBetween(Window.unboundedPreceding, 0)
     is_quote = F.col("text").isin(quotes)
     inside = (F.sum(is_quote.cast("int")).over(w) % 2) == 1
     rows = tokens.select("doc_id", inside.alias("inside"), (~is_quote & ~F.col("is_punct") & ~F.col("is_space")).alias("word"))
-    q, o = F.count_if(F.expr("inside and word")), F.count_if(F.expr("not inside and word"))
-    return rows.groupBy("doc_id").agg(ratio(q, q + o, 3).alias("quoted_word_ratio"), ratio(o, q + o, 3).alias("narration_word_ratio"))
+    return rows.groupBy("doc_id").agg(F.count_if(F.expr("inside and word")).alias("quoted"), F.count_if(F.expr("not inside and word")).alias("told"))
+
+
+def dialogue_ratios(tokens: DataFrame, quotes: list[str]) -> DataFrame:
+    """Words inside and outside quotes as shares of all words, 3 digits."""
+    q, o = F.col("quoted"), F.col("told")
+    return quoted_words(tokens, quotes).select("doc_id", ratio(q, q + o, 3).alias("quoted_word_ratio"), ratio(o, q + o, 3).alias("narration_word_ratio"))
 
 
 def attribution_verbs(tokens: DataFrame, quotes: list[str]) -> DataFrame:
@@ -313,6 +359,7 @@ def attribution_verbs(tokens: DataFrame, quotes: list[str]) -> DataFrame:
 
 @analyzer("dialogue")
 def dialogue(docs, tokens, lang):
+    tokens = tk.annotate(docs, lang) if tokens is None else tokens
     from ..functions.languages import LANGUAGES
 
     quotes = LANGUAGES[lang][3].split()

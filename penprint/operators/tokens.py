@@ -11,8 +11,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SENTENCE = r"[^.!?]+[.!?]*"
-TOKEN = r"\p{L}+(?:'\p{L}+)?|\p{N}+|[^\s\p{L}\p{N}]"
+#: A sentence goes up to and with its stops; stops alone are one too, so no token is lost.
+SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+"
+WORDS = r"\p{L}+(?:'\p{L}+)?|\p{N}+"
+TOKEN = WORDS + r"|[^\s\p{L}\p{N}]"
 WORD = r"^[\p{L}\p{N}]"
 EDGES = ".,;:!?\"'()-"
 SCHEMA = (
@@ -37,9 +39,16 @@ def pieces(sentence: Column, elided: bool = False) -> Column:
 
 
 def annotate(docs: DataFrame, lang: str = "en", backend: str = "regex") -> DataFrame:
-    """The token table of docs (doc_id, text). Null and empty texts give no tokens. No shuffle."""
+    """The token table of docs (doc_id, text). Null and empty texts give no tokens.
+
+    backend: regex leaves tags null and needs no shuffle; rules adds the declared tags of tagging.py; spacy uses a model.
+    """
     if backend == "spacy":
         return annotate_with_model(docs, lang)
+    if backend == "rules":
+        from .tagging import tag
+
+        return tag(annotate(docs, lang), lang)
     from ..functions.languages import ELISION
 
     cut = F.transform(sentences(F.col("text")), lambda s, i: F.transform(pieces(s, lang in ELISION), lambda t: F.struct(i.alias("sent_id"), t.alias("text"))))

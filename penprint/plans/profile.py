@@ -10,22 +10,18 @@ from ..functions.normalize import word_count
 from ..operators import tokens as tk
 from ..operators.features import ANALYZERS
 
-#: Groups whose numbers need a model's tags.
-NEEDS_MODEL = ("pos",)
-
-
 def analyze(docs: DataFrame, analyzers: list[str] | None = None, lang: str = "en", backend: str = "regex", tokens: DataFrame | None = None) -> DataFrame:
     """doc_id, word_count and a struct column for each analyzer; unknown names are skipped.
 
     Readability is left null for languages without rules for it, pos where the backend has no model. Every document has a
-    row; a group is null where the document has nothing to measure. Analyzers share one token table: give one that has been
-    written or persisted when several are asked for on large input.
+    row; a group is null where the document has nothing to measure. With the regex backend most analyzers count within each row and
+    need no token table. Those that do, and all of them with other backends, share one: give one that has been written or persisted.
     """
     check(lang)
     names = [n for n in (analyzers or ANALYZERS) if n in ANALYZERS]
     if LANGUAGES[lang][2] is None:
         names = [n for n in names if n != "readability"]
-    tokens = tk.annotate(docs, lang, backend) if tokens is None else tokens
+    tokens = tk.annotate(docs, lang, backend) if tokens is None and backend != "regex" else tokens
     out = docs.select("doc_id", F.coalesce(word_count(F.col("text")), F.lit(0)).alias("word_count"))
     for name in names:
         group = ANALYZERS[name](docs, tokens, lang)

@@ -34,6 +34,13 @@ def bars(series: DataFrame, width: int = 40) -> DataFrame:
     return series.withColumn("bar", F.coalesce(F.floor(F.try_divide(F.col("y"), most) * width), F.lit(0)))
 
 
+def comparison_bars(ranked: DataFrame, width: int = 20) -> DataFrame:
+    """Delta's rows with a bar that is longer the nearer the author, and whether the author is the most likely one."""
+    most = F.max("delta").over(Window.partitionBy("unknown_id"))
+    bar = F.coalesce(F.floor((1 - F.try_divide("delta", most)) * width), F.lit(width)).cast("long")
+    return ranked.withColumns({"most_likely": F.col("rank") == 1, "bar": bar})
+
+
 def text_report(profile: dict, top: int = 10) -> str:
     lines = [f"document {profile.get('doc_id')}: {profile.get('word_count')} words"]
     for group, values in profile.items():

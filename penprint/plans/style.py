@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as nm
 from ..functions.languages import LANGUAGES, function_word_table, function_words
-from ..operators import delta, diff, vectors
+from ..operators import delta, local, vectors
 from ..operators import features as ft
 from ..operators import tokens as tk
 
@@ -80,12 +80,12 @@ def normalize_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, {punctuation_sql()} FROM (SELECT doc_id, text, len({SPLIT}) AS n FROM documents)")
 def punctuation_rates(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", *ft.punctuation_columns(F.col("text")))
+    return ft.punctuation_rates(docs(spark, sf_dir))
 
 
 @query(f"WITH {TOKS}, c AS (SELECT doc_id, lower, count(*) AS f FROM words GROUP BY ALL) SELECT doc_id, {RICH} FROM c GROUP BY doc_id")
 def vocab_richness(spark, sf_dir):
-    return ft.vocabulary_rows(ft.word_counts(tokens(spark, sf_dir), "doc_id"), "doc_id")
+    return ft.vocabulary_of(docs(spark, sf_dir))
 
 
 LENGTHS = f"{TOKS}, lens AS (SELECT doc_id, sent_id, count(*) AS len FROM toks GROUP BY ALL)"
@@ -93,7 +93,7 @@ LENGTHS = f"{TOKS}, lens AS (SELECT doc_id, sent_id, count(*) AS len FROM toks G
 
 @query(f"WITH {LENGTHS} SELECT doc_id, {STATS} FROM lens GROUP BY doc_id")
 def sentence_stats(spark, sf_dir):
-    return ft.sentence_rows(ft.sentence_lengths(tokens(spark, sf_dir)), "doc_id")
+    return ft.sentence_rows(local.sentence_sizes(docs(spark, sf_dir)), "doc_id")
 
 
 @query(
@@ -101,7 +101,7 @@ def sentence_stats(spark, sf_dir):
 SELECT g.doc_id, g.bin, count(l.len) AS cnt FROM grid g LEFT JOIN lens l ON l.doc_id = g.doc_id AND l.len // 5 = g.bin GROUP BY ALL"""
 )
 def sentence_histogram(spark, sf_dir):
-    h = ft.histogram(ft.sentence_lengths(tokens(spark, sf_dir)))
+    h = ft.histogram(local.sentence_sizes(docs(spark, sf_dir)))
     return h.select("doc_id", F.posexplode("length_distribution").alias("bin", "cnt")).withColumn("bin", F.col("bin").cast("long"))
 
 
@@ -125,10 +125,10 @@ r AS (SELECT t.doc_id, l.word, l.ord, round(t.n * 1000 / t.total, 2) AS rate FRO
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rate DESC, ord) AS rank, word, rate FROM r QUALIFY rank <= 30"""
 )
 def function_words_topn(spark, sf_dir):
-    # The language goes along through the annotation as part of the key, so that no join brings it back.
+    # The language goes along through the counting as part of the key, so that no join brings it back.
     d = docs(spark, sf_dir, "lang").select(F.struct("doc_id", "lang").alias("doc_id"), "text")
-    t = tk.annotate(d).select("doc_id.doc_id", "doc_id.lang", "lower", "is_space")
-    return ft.function_word_rates(t, function_word_table(spark))
+    counts = ft.token_kinds(d, None, sorted({w for c in LANGUAGES for w in function_words(c)}))
+    return ft.function_word_rates(counts.select("doc_id.doc_id", "doc_id.lang", "item", "cnt", "total"), function_word_table(spark))
 
 
 def ngram_sql(n: int) -> str:
@@ -140,12 +140,12 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first)
 
 @query(ngram_sql(2))
 def word_bigrams_topn(spark, sf_dir):
-    return ft.ranked(ft.word_ngrams(tokens(spark, sf_dir), 2), 50, "gram")
+    return local.top_items(ft.word_lists(docs(spark, sf_dir)), 50, 2)
 
 
 @query(ngram_sql(3))
 def word_trigrams_topn(spark, sf_dir):
-    return ft.ranked(ft.word_ngrams(tokens(spark, sf_dir), 3), 50, "gram")
+    return local.top_items(ft.word_lists(docs(spark, sf_dir)), 50, 3)
 
 
 @query(
@@ -155,7 +155,7 @@ c AS (SELECT doc_id, x || y || z AS gram, count(*) AS cnt, min(i) AS first FROM
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first) AS rank, gram, cnt FROM c QUALIFY rank <= 50"""
 )
 def char_trigrams_topn(spark, sf_dir):
-    return ft.ranked(ft.char_ngrams(docs(spark, sf_dir)), 50, "gram")
+    return ft.top_char_ngrams(docs(spark, sf_dir))
 
 
 @query(
@@ -164,7 +164,7 @@ c AS (SELECT doc_id, lower, count(*) AS cnt, min(first) AS first FROM o GROUP BY
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first) AS rank, lower, cnt FROM c QUALIFY rank <= 20"""
 )
 def sentence_openers(spark, sf_dir):
-    return ft.ranked(ft.opener_counts(tokens(spark, sf_dir)), 20, "lower")
+    return local.top_items(docs(spark, sf_dir).select("doc_id", local.openers_of(F.col("text"))), 20, 1, "lower")
 
 
 @query(
@@ -280,36 +280,6 @@ def corpus_rollup(spark, sf_dir):
     return d.rollup("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"), F.round(F.avg("n"), 4).alias("mean_words"))
 
 
-def source_fields(spark, sf_dir) -> DataFrame:
-    """What the diff rules compare, by source; groups that the native backend can't measure are null."""
-    d = docs(spark, sf_dir, "source").where("source is not null")
-    keyed = d.select(F.struct("source", "doc_id").alias("doc_id"), "text")
-    lengths = ft.sentence_lengths(tk.annotate(keyed)).select(F.col("doc_id.source").alias("source"), "len")
-    lengths = lengths.groupBy("source").agg(F.round(F.avg("len"), 2).alias("mean_length"))
-    t = F.col("text")
-    rate = lambda c: F.round(F.sum(c) * 1000 / F.sum(nm.word_count(t)), 2)
-    dashes = F.regexp_count(t, F.lit("---")) + F.regexp_count(F.replace(t, F.lit("---"), F.lit("")), F.lit("--"))
-    marks = d.groupBy("source").agg(rate(dashes).alias("dash"), rate(ft.marks(t, "?")).alias("question"), rate(ft.marks(t, ";")).alias("semicolon"))
-    none = F.lit(None).cast("double")
-    missing = ("contraction_rate", "one_sentence_ratio", "paragraph_median", "conjunction_start_rate", "quoted_word_ratio")
-    return lengths.join(marks, "source").withColumns({c: none for c in missing})
-
-
-@query(
-    f"""WITH {LENGTHS}, m AS (SELECT source, round(avg(len), 2) AS mean_length FROM lens JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1),
-w AS (SELECT source, text, len({SPLIT}) AS n FROM documents WHERE source IS NOT NULL),
-p AS (SELECT source, round(sum(len(regexp_extract_all(text, '---')) + len(regexp_extract_all(replace(text, '---', ''), '--'))) * 1000 / sum(n), 2) AS dash,
-  round(sum(length(text) - length(replace(text, '?', ''))) * 1000 / sum(n), 2) AS question, round(sum(length(text) - length(replace(text, ';', ''))) * 1000 / sum(n), 2) AS semicolon FROM w GROUP BY 1),
-f AS (SELECT * FROM m JOIN p USING (source))
-SELECT i.source AS input_id, t.source AS target_id, concat_ws(',', CASE WHEN i.mean_length - t.mean_length > 3 THEN 'SHORTEN_SENTENCES' WHEN i.mean_length - t.mean_length < -3 THEN 'LENGTHEN_SENTENCES' END,
-  CASE WHEN t.dash > 3 AND i.dash < 1 THEN 'MORE_DASHES' END, CASE WHEN t.question > 4 AND i.question < 2 THEN 'MORE_QUESTIONS' END,
-  CASE WHEN t.semicolon < 1.5 AND i.semicolon > 3 THEN 'FEWER_SEMICOLONS' END) AS instructions FROM f i, f t"""
-)
-def profile_diff(spark, sf_dir):
-    f = source_fields(spark, sf_dir)
-    return diff.profile_diff(f, f, "source", "source")
-
-
 PARAS = r"""paras AS (SELECT doc_id, k, regexp_replace(p, '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g') AS text FROM (
   SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS k FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents))),
 paras20 AS (SELECT * FROM paras WHERE length(text) > 20)"""
@@ -353,12 +323,4 @@ def page_text(spark, sf_dir):
     return html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def style_profile_vectors(spark, sf_dir):
-    """The 128-place vector of each document."""
-    from .profile import analyze
-
-    p = analyze(docs(spark, sf_dir), ["readability", "sentences", "vocabulary", "function_words", "punctuation", "paragraphs", "dialogue"])
-    return p.select("doc_id", F.transform(vectors.style_vector(p), lambda x: F.round(x, 6)).alias("vector"))
-
-
-QUERIES |= {"page_text": page_text, "style_profile_vectors": style_profile_vectors}
+QUERIES |= {"page_text": page_text}

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from penprint.functions import normalize as nm
-from penprint.functions.languages import LANGUAGES, function_words, languages
-from penprint.operators import delta, diff, examples, segments, vectors
+from penprint.functions.languages import LANGUAGES, function_word_table, function_words, languages
+from penprint.operators import delta, diff, examples, local, segments, vectors
 from penprint.operators import features as ft
 from penprint.operators import tokens as tk
+from penprint.operators.tagging import tag
 from penprint.plans.profile import analyze
 from penprint.sources import readers
 from penprint.sources.store import Store
@@ -60,14 +61,48 @@ def test_sentence_numbers(spark):
 
 
 def test_punctuation(spark):
-    r = texts(spark, "Well--I said \"no\"... (twice); why? Stop! It's late---go: now, then.", "").select(*ft.punctuation_columns(F.col("text"))).collect()
+    r = ft.punctuation_rates(texts(spark, "Well--I said \"no\"... (twice); why? Stop! It's late---go: now, then.", "")).drop("doc_id").collect()
     assert r[0].asDict() == dict(comma=100, period=400, semicolon=100, colon=100, dash=200, exclamation=100, question=100, ellipsis=100, parenthesis=200, quotation=300)
     assert set(r[1].asDict().values()) == {0.0}
 
 
 def test_char_ngrams(spark):
-    got = {r.gram: r.cnt for r in ft.char_ngrams(texts(spark, "The  the\nTHE", "ab", None)).collect()}
+    got = {r.gram: r.cnt for r in ft.top_char_ngrams(texts(spark, "The  the\nTHE", "ab", None, "", "😀é漢")).where("doc_id < 4").collect()}
     assert got == {"the": 3, "he ": 2, "e t": 2, " th": 2}
+    assert [r.gram for r in ft.top_char_ngrams(texts(spark, "😀é漢")).collect()] == ["😀é漢"]
+
+
+ODD = ["The cat didn't see the dog; it's there. The end! \"Yes,\" the man said? 12 cats...", None, "", " \n", "...", "one", "It's. Don't! It's."]
+
+
+def test_counts_within_rows_equal_those_over_tokens(spark, monkeypatch):
+    """With and without a token table; few items at a time, so that rows fall in several parts."""
+    monkeypatch.setattr(local, "ITEMS", 5)
+    d = texts(spark, *ODD).repartition(2)
+    t = tk.annotate(d)
+    for f in (ft.sentences, ft.vocabulary, ft.function_words, ft.ngrams):
+        ours, theirs = f(d, None, "en"), f(d, t, "en")
+        names = theirs.columns
+        rows = lambda x: {r.doc_id: r for r in x.select(names).collect()}
+        a, b = rows(ours), rows(theirs)
+        assert {i: r for i, r in a.items() if i in b} == b, f
+    openers = lambda tokens: {r.doc_id: r.top_words for r in ft.sentence_openers(d, tokens, "en").collect()}
+    assert openers(None) == openers(t)
+
+
+def test_sentences_lose_no_token(spark):
+    got = texts(spark, "... and so on. Well", "?!", "a.b").select(tk.sentences(F.col("text"))).collect()
+    assert [r[0] for r in got] == [["...", " and so on.", " Well"], ["?!"], ["a.", "b"]]
+
+
+def test_rule_tagger(spark):
+    d = texts(spark, "The famous man quickly opened a door because Anna was singing. And 12 dogs!")
+    rows = tag(tk.annotate(d)).orderBy("tok_i").collect()
+    assert [r.pos for r in rows] == "DET ADJ NOUN ADV VERB DET NOUN SCONJ PROPN AUX VERB PUNCT CCONJ NUM NOUN PUNCT".split()
+    assert [r.dep for r in rows if r.pos == "VERB"] == ["ROOT", "ccomp"] and [r.lemma for r in rows if r.pos == "VERB"] == ["open", "sing"]
+    assert {r.lower: r.tense for r in rows if r.tense} == {"opened": "Past", "was": "Past"} and [r.depth for r in rows][:9] == [1, 1, 1, 1, 0, 1, 1, 2, 2]
+    p = analyze(d, backend="rules").first()
+    assert p.pos.verb_density == 18.75 and p.sentence_openers.conjunction_start_rate == 50.0 and p.syntax.tense_distribution[0].key == "Past"
 
 
 def test_dialogue(spark):
@@ -169,7 +204,10 @@ def test_passages(spark):
 
 def test_languages(spark):
     assert languages(spark).count() == 18 and len(LANGUAGES) == 18
-    assert function_words("en")[:3] == ["the", "of", "and"] and len(function_words("en")) == 100 and len(function_words("ru")) == 39
+    assert all(len(set(function_words(c))) == len(function_words(c)) >= 20 for c in LANGUAGES)
+    assert {"the", "of", "and", "not"} <= set(function_words("en")) and function_words("xx") == function_words("en")
+    own = function_word_table(spark, {"en": ["zeta", "alpha"]}).where("lang = 'en'").orderBy("ord").collect()
+    assert [r.word for r in own] == ["zeta", "alpha"]
 
 
 def test_files_and_store(spark, tmp_path):

@@ -1,6 +1,6 @@
 import pytest
 
-from penprint.plans import style
+from penprint.plans import style, tagged  # noqa: F401 (tagged adds its queries to style's)
 
 
 @pytest.mark.parametrize("name", sorted(style.SQL))
@@ -8,11 +8,10 @@ def test_query_equals_its_sql(same, name):
     same(style.QUERIES[name], style.SQL[name])
 
 
-@pytest.mark.parametrize("name", ["page_text", "style_profile_vectors"])
-def test_query_without_sql_has_a_row_for_each(spark, sf, name):
-    table, key = ("pages", "page_id") if name == "page_text" else ("documents", "doc_id")
-    want = {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()}
-    assert {r[0] for r in style.QUERIES[name](spark, sf).select(key).collect()} == want
+def test_query_without_sql_has_a_row_for_each(spark, sf):
+    assert set(style.QUERIES) - set(style.SQL) == {"page_text"}
+    want = {r[0] for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id").collect()}
+    assert {r[0] for r in style.QUERIES["page_text"](spark, sf).select("page_id").collect()} == want
 
 
 def test_entry(spark):
