@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_files import PATTERN, RANKS, load_ranks
-from .common import latest, read, release
+from .common import latest, mix, polynomial, read, release
 
 #: Rows that one recursive query may make (a word of n bytes makes n * n / 2 at most), words of texts that are put together at a
-#: time, and token rows that one decoding query orders; they bound memory.
+#: time, and tokens that are decoded at a time; they bound memory.
 ROWS_AT_ONCE = 2_000_000
 WORDS_OUT = 200_000
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 500_000
 
 #: Bytes from which on a word is contracted by a heap of its pairs, in the same order: a round a pair takes the square of its length.
 LONG_WORD = 1024
@@ -65,6 +65,8 @@ class Merger:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.merges = {(a, b): r for a, b, r in rows}
+        self.spaced = np.zeros(max(ranks.values()) + 2, bool)
+        self.spaced[[r for t, r in ranks.items() if t[:1] == b" "]] = True
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def words(self, words: list[bytes]) -> list[list[int]]:
@@ -127,25 +129,67 @@ class Merger:
         self.db.unregister("cells")
         return found
 
-    def texts(self, flat, lengths) -> list[bytes | None]:
-        """The bytes of each token list, given flat with the lists' lengths; None where an id isn't in the vocabulary."""
+    def texts(self, flat, lengths, known: dict | None = None):
+        """The bytes of each token list, given flat with the lists' lengths, as an Arrow binary array; null where an id isn't in the
+        vocabulary. Lists are cut before each token that begins with a space; equal pieces, which `known` keeps from call to call,
+        are put together once.
+        """
         import numpy as np
         import pyarrow as pa
 
-        out: list[bytes | None] = [b""] * len(lengths)
-        ends = np.cumsum(lengths)
-        at = 0
+        known = {} if known is None else known
+        parts, ends, at = [], np.cumsum(lengths), 0
         while at < len(lengths):
             start = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, start + TOKENS_AT_ONCE, side="right")))
-            tok, n = flat[start : ends[to - 1]], lengths[at:to]
-            d = np.repeat(np.arange(at, to, dtype=np.int64), n)
-            self.db.register("tokens", pa.table({"d": d, "i": np.arange(len(tok), dtype=np.int64), "tok": pa.array(tok, pa.int32())}))
-            for k, text, unknown in self.db.execute(JOIN_UP).fetchall():
-                out[k] = None if unknown else text.encode("latin-1")
-            self.db.unregister("tokens")
+            parts.append(self._texts(np.ascontiguousarray(flat[start : ends[to - 1]], np.int32), lengths[at:to], known))
             at = to
-        return out
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _texts(self, flat, lengths, known: dict):
+        import numpy as np
+        import pyarrow as pa
+
+        if not len(flat):
+            return pa.array([b""] * len(lengths), pa.binary())
+        n, edge = len(flat), np.concatenate([[0], np.cumsum(lengths)])
+        begins = self.spaced[np.clip(flat, -1, len(self.spaced) - 2)]  # the last entry stands for ids below 0
+        begins[edge[:-1][lengths > 0]] = True
+        first = np.flatnonzero(begins)
+        size = np.diff(np.append(first, n))
+        h = polynomial(mix(flat.astype(np.int64)), first, first + size)
+        _, sample, kind = np.unique(h, return_index=True, return_inverse=True)
+        # Pieces of one hash that aren't equal are kinds of their own.
+        like = np.arange(n) + np.repeat(first[sample][kind] - first, size)
+        other = np.logical_or.reduceat(flat[np.minimum(like, n - 1)] != flat, first)
+        other = np.flatnonzero(other | (size != size[sample][kind]))
+        kind[other] = len(sample) + np.arange(len(other))
+        sample = np.append(sample, other)
+        keys = [flat[a:b].tobytes() for a, b in zip(first[sample], (first + size)[sample])]
+        new = [k for k in keys if k not in known]
+        self._spell(new, known)
+        spelled = [known[k] for k in keys]
+        lost = np.array([x is None for x in spelled], bool)
+        joined = pa.array([x or b"" for x in spelled], pa.binary()).take(pa.array(kind))
+        pieces = np.searchsorted(first, edge)
+        offsets = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1][pieces]
+        unknown = np.concatenate([[0], np.cumsum(lost[kind])])[pieces]
+        ok = pa.array(np.diff(unknown) == 0)
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [ok.buffers()[1], pa.py_buffer(np.ascontiguousarray(offsets)), joined.buffers()[2] or pa.py_buffer(b"")])
+
+    def _spell(self, pieces: list[bytes], known: dict) -> None:
+        """known[piece] = its bytes, or None where it has an unknown id: the vocabulary joined to its tokens, in their order."""
+        import numpy as np
+        import pyarrow as pa
+
+        if not pieces:
+            return
+        tok = np.frombuffer(b"".join(pieces), np.int32)
+        d = np.repeat(np.arange(len(pieces), dtype=np.int64), [len(p) // 4 for p in pieces])
+        self.db.register("tokens", pa.table({"d": d, "i": np.arange(len(tok), dtype=np.int64), "tok": tok}))
+        for k, text, unknown in self.db.execute(JOIN_UP).fetchall():
+            known[pieces[k]] = None if unknown else text.encode("latin-1")
+        self.db.unregister("tokens")
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, out: str = "tokens") -> DataFrame:
@@ -156,48 +200,51 @@ def encode(docs: DataFrame, ranks: str = RANKS, out: str = "tokens") -> DataFram
     tokens in it are ordinary text. Words of LONG_WORD bytes or more are contracted in the same order by a heap.
     """
     docs = docs.drop(out)
-    text = F.col("text").cast("string")
-    # Words are cut in the JVM. (?U) lets \s mean white space of all scripts, as in the published pattern.
-    cut = docs.withColumn("__words", F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` array<int>"])
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        release()
-        merger = latest("merger", ranks, lambda: Merger(ranks))
-        known: dict = {}  # the partition's words so far
-        values, starts, sizes = array("i"), array("q"), array("i")  # and their tokens, flat
-        for batch in batches:
-            words = batch.column(batch.num_columns - 1)
-            coded = words.flatten().dictionary_encode()
-            distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-            new = [w for w in distinct if w not in known]
-            for w, toks in zip(new, merger.words(new)):
-                known[w] = len(starts)
-                starts.append(len(values))
-                sizes.append(len(toks))
-                values.extend(toks)
-            place = np.array([known[w] for w in distinct], np.int64)
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            flat, start, size = np.array(values, np.int32), np.array(starts, np.int64), np.array(sizes, np.int64)
-            rows = words.offsets.to_numpy()
-            rows = rows - rows[0]
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(rows, rows[at] + WORDS_OUT, side="right")) - 1)
-                which = place[codes[rows[at] : rows[to]]]
-                n = size[which]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                take = np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], n)
-                offsets = ends[rows[at : to + 1] - rows[at]].astype(np.int32)
-                some = batch.slice(at, to - at)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[take]), mask=some.column(batch.num_columns - 1).is_null())
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], [*batch.schema.names[:-1], out])
-                at = to
-
-    return cut.mapInArrow(run, schema)
+    return with_words(docs).mapInArrow(lambda batches: encoded(batches, ranks, out), schema)
+
+
+def with_words(docs: DataFrame) -> DataFrame:
+    """docs with their texts' words, which are cut in the JVM. (?U) lets \\s mean white space of all scripts, as in the published pattern."""
+    return docs.withColumn("__words", F.regexp_extract_all(F.col("text").cast("string"), F.lit("(?U)" + PATTERN), F.lit(0)))
+
+
+def encoded(batches: Iterator, ranks: str, out: str) -> Iterator:
+    """Record batches whose last column, of words, is replaced by `out`, of tokens; each has some WORDS_OUT words or one text."""
+    import numpy as np
+    import pyarrow as pa
+
+    release()
+    merger = latest("merger", ranks, lambda: Merger(ranks))
+    known: dict = {}  # the partition's words so far
+    values, starts, sizes = array("i"), array("q"), array("i")  # and their tokens, flat
+    for batch in batches:
+        words = batch.column(batch.num_columns - 1)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        new = [w for w in distinct if w not in known]
+        for w, toks in zip(new, merger.words(new)):
+            known[w] = len(starts)
+            starts.append(len(values))
+            sizes.append(len(toks))
+            values.extend(toks)
+        place = np.array([known[w] for w in distinct], np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        flat, start, size = np.array(values, np.int32), np.array(starts, np.int64), np.array(sizes, np.int64)
+        rows = words.offsets.to_numpy()
+        rows = rows - rows[0]
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(rows, rows[at] + WORDS_OUT, side="right")) - 1)
+            which = place[codes[rows[at] : rows[to]]]
+            n = size[which]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            take = np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], n)
+            offsets = ends[rows[at : to + 1] - rows[at]].astype(np.int32)
+            some = batch.slice(at, to - at)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[take]), mask=some.column(batch.num_columns - 1).is_null())
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], [*batch.schema.names[:-1], out])
+            at = to
 
 
 def decode(tokens: DataFrame, ranks: str = RANKS, column: str = "tokens", out: str = "text") -> DataFrame:
@@ -212,27 +259,53 @@ def decode(tokens: DataFrame, ranks: str = RANKS, column: str = "tokens", out: s
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "__tokens"), f"`{out}` string"])
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        merger = latest("merger", ranks, lambda: Merger(ranks))
+        known: dict = {}
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = merger.texts(flat, lengths)
-            texts = [None if b is None or not ok else b.decode("utf-8", "replace") for b, ok in zip(found, lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], out])
+            texts = readable(spelled(batch.column(batch.num_columns - 1), ranks, known))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*batch.schema.names[:-1], out])
 
     return tokens.mapInArrow(run, schema)
 
 
+def spelled(lists, ranks: str, known: dict):
+    """The bytes of each token list of an Arrow array; known: pieces that are put together already."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    merger = latest("merger", ranks, lambda: Merger(ranks))
+    flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.if_else(lists.is_valid(), merger.texts(flat, lengths, known), pa.scalar(None, pa.binary()))
+
+
+def readable(found):
+    """Arrow bytes as text; what isn't UTF-8 becomes U+FFFD."""
+    import pyarrow as pa
+
+    try:
+        return found.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in found.to_pylist()], pa.string())
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, tokens, same): every document's ids, and whether they decode to its text, by MD5 (null for a null text)."""
-    coded = encode(read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("was"), "text")).drop("text")
-    back = decode(coded.withColumn("ids", F.col("tokens")), column="ids")
-    return back.select("doc_id", "tokens", (F.md5("text") == F.col("was")).alias("same"))
+    """(doc_id, tokens, same): every document's ids, and whether they decode to its text (null for a null text)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known: dict = {}
+        for batch in encoded(batches, RANKS, "tokens"):
+            ids, text, tokens = batch.columns
+            same = pc.equal(text.cast(pa.binary()), spelled(tokens, RANKS, known))
+            yield pa.RecordBatch.from_arrays([ids, tokens, same], ["doc_id", "tokens", "same"])
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_words(docs).mapInArrow(run, "doc_id long, tokens array<int>, same boolean")  # one worker encodes and decodes
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

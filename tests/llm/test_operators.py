@@ -419,6 +419,20 @@ def test_very_long_words(tmp_path, monkeypatch):
     assert merger.words(words) == [single(w) for w in words]
     assert not list(tmp_path.iterdir())  # nothing spilled
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_equal_pieces_are_put_together_once(monkeypatch, collide):
+    """Every list decodes as the library does, even where all pieces have one hash; unknown ids give null."""
+    if collide:
+        monkeypatch.setattr(op7_bpe, "polynomial", lambda h, start, end: np.zeros(len(start), np.uint64))
+    code, rng = fast_encoding(), random.Random(7)
+    texts = [" ".join(rng.choice(["the", "a", "ünï", "xyzzyq", "\n", "12", "😀"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", " ", "  a", "no"]
+    lists = [code.encode_ordinary(t) for t in texts] + [[10**7, 5], [5, -1], [2**31 - 1]]
+    known = {}
+    for at_once in (7, 500_000):
+        monkeypatch.setattr(op7_bpe, "TOKENS_AT_ONCE", at_once)
+        got = op7_bpe.spelled(pa.array([*lists, None], pa.list_(pa.int32())), op7_bpe.RANKS, known).to_pylist()
+        assert got[: len(texts)] == [t.encode() for t in texts] and got[len(texts) :] == [None] * 4
+
 
 # 8
 
