@@ -21,9 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where that is unset (tests, a single machine)."""
+    """The folder that spark.checkpoint.dir names; one of our own only where that is unset and all runs on one machine."""
     if at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return at
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="penprint-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -41,7 +41,7 @@ WHERE round = last GROUP BY w ORDER BY w
 """
 
 JOIN_UP = """
-SELECT t.d, string_agg(v.bytes, '' ORDER BY t.i) AS bytes, bool_or(v.bytes IS NULL) AS unknown
+SELECT t.d, list(v.bytes ORDER BY t.i) AS bytes
 FROM tokens t LEFT JOIN vocabulary v ON v.tok = t.tok GROUP BY t.d ORDER BY t.d
 """
 
@@ -59,7 +59,7 @@ class Merger:
         m = np.array(rows, np.int64).reshape(-1, 3)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({"pair": m[:, 0] * 4294967296 + m[:, 1], "merged": m[:, 2].astype(np.int32)})  # noqa: F841
-        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in ranks]})
+        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -129,7 +129,7 @@ class Merger:
         self.db.unregister("cells")
         return found
 
-    def texts(self, flat, lengths, known: dict | None = None):
+    def texts(self, flat, lengths, known: Pieces | None = None):
         """The bytes of each token list, given flat with the lists' lengths, as an Arrow binary array; null where an id isn't in the
         vocabulary. Lists are cut before each token that begins with a space; equal pieces, which `known` keeps from call to call,
         are put together once.
@@ -137,7 +137,7 @@ class Merger:
         import numpy as np
         import pyarrow as pa
 
-        known = {} if known is None else known
+        known = known or Pieces()
         parts, ends, at = [], np.cumsum(lengths), 0
         while at < len(lengths):
             start = ends[at - 1] if at else 0
@@ -146,7 +146,7 @@ class Merger:
             at = to
         return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
-    def _texts(self, flat, lengths, known: dict):
+    def _texts(self, flat, lengths, known: Pieces):
         import numpy as np
         import pyarrow as pa
 
@@ -157,39 +157,78 @@ class Merger:
         begins[edge[:-1][lengths > 0]] = True
         first = np.flatnonzero(begins)
         size = np.diff(np.append(first, n))
-        h = polynomial(mix(flat.astype(np.int64)), first, first + size)
-        _, sample, kind = np.unique(h, return_index=True, return_inverse=True)
-        # Pieces of one hash that aren't equal are kinds of their own.
-        like = np.arange(n) + np.repeat(first[sample][kind] - first, size)
-        other = np.logical_or.reduceat(flat[np.minimum(like, n - 1)] != flat, first)
-        other = np.flatnonzero(other | (size != size[sample][kind]))
-        kind[other] = len(sample) + np.arange(len(other))
-        sample = np.append(sample, other)
-        keys = [flat[a:b].tobytes() for a, b in zip(first[sample], (first + size)[sample])]
-        new = [k for k in keys if k not in known]
-        self._spell(new, known)
-        spelled = [known[k] for k in keys]
-        lost = np.array([x is None for x in spelled], bool)
-        joined = pa.array([x or b"" for x in spelled], pa.binary()).take(pa.array(kind))
+        names, sample, kind = np.unique(polynomial(mix(flat.astype(np.int64)), first, first + size), return_index=True, return_inverse=True)
+        if len(new := np.flatnonzero(~known.has(names))):
+            known.add(names[new], flat, first[sample[new]], size[sample[new]], self.spell)
+        which = known.place(names)[kind]
+        # Pieces that only share their hash with a known one are put together by themselves.
+        like = np.arange(n) + np.repeat(known.start[which] - first, size)
+        other = np.logical_or.reduceat(known.tok[np.minimum(like, len(known.tok) - 1)] != flat, first)
+        other = np.flatnonzero(other | (size != known.size[which]))
+        extra = self.spell(flat, first[other], size[other])
+        which[other] = len(known.bytes) + np.arange(len(other))
+        joined = pa.concat_arrays([known.bytes, extra]).take(pa.array(which))
         pieces = np.searchsorted(first, edge)
         offsets = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1][pieces]
-        unknown = np.concatenate([[0], np.cumsum(lost[kind])])[pieces]
+        unknown = np.concatenate([[0], np.cumsum(joined.is_null().to_numpy(zero_copy_only=False))])[pieces]
         ok = pa.array(np.diff(unknown) == 0)
         return pa.Array.from_buffers(pa.binary(), len(lengths), [ok.buffers()[1], pa.py_buffer(np.ascontiguousarray(offsets)), joined.buffers()[2] or pa.py_buffer(b"")])
 
-    def _spell(self, pieces: list[bytes], known: dict) -> None:
-        """known[piece] = its bytes, or None where it has an unknown id: the vocabulary joined to its tokens, in their order."""
+    def spell(self, flat, first, size):
+        """The bytes of each of some pieces of flat, null where one has an unknown id: their tokens, joined to the vocabulary, in order."""
         import numpy as np
         import pyarrow as pa
 
-        if not pieces:
-            return
-        tok = np.frombuffer(b"".join(pieces), np.int32)
-        d = np.repeat(np.arange(len(pieces), dtype=np.int64), [len(p) // 4 for p in pieces])
+        if not len(first):
+            return pa.array([], pa.binary())
+        tok = flat[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+        d = np.repeat(np.arange(len(first), dtype=np.int64), size)
         self.db.register("tokens", pa.table({"d": d, "i": np.arange(len(tok), dtype=np.int64), "tok": tok}))
-        for k, text, unknown in self.db.execute(JOIN_UP).fetchall():
-            known[pieces[k]] = None if unknown else text.encode("latin-1")
+        lists = self.db.sql(JOIN_UP).to_arrow_table().column("bytes").combine_chunks()
         self.db.unregister("tokens")
+        each = lists.flatten()
+        edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        lost = np.concatenate([[0], np.cumsum(each.is_null().to_numpy(zero_copy_only=False))])[edge]
+        ok = pa.array(np.diff(lost) == 0)
+        each = pa.concat_arrays([each.cast(pa.binary())])
+        offsets = np.frombuffer(each.buffers()[1], np.int32)[each.offset : each.offset + len(each) + 1][edge]
+        return pa.Array.from_buffers(pa.binary(), len(lists), [ok.buffers()[1], pa.py_buffer(np.ascontiguousarray(offsets)), each.buffers()[2] or pa.py_buffer(b"")])
+
+
+class Pieces:
+    """Pieces of token lists that are put together already: their hashes in order, their tokens and their bytes."""
+
+    def __init__(self):
+        import numpy as np
+        import pyarrow as pa
+
+        self.names, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tok, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes = pa.array([], pa.binary())
+
+    def has(self, names):
+        import numpy as np
+
+        at = np.searchsorted(self.names, names)
+        at[at == len(self.names)] = 0
+        return self.names[at] == names if len(self.names) else np.zeros(len(names), bool)
+
+    def place(self, names):
+        import numpy as np
+
+        return self.at[np.searchsorted(self.names, names)]
+
+    def add(self, names, flat, first, size, spell) -> None:
+        """Takes in the pieces at `first` in flat; names are their hashes, all new and in order."""
+        import numpy as np
+        import pyarrow as pa
+
+        where, before = np.searchsorted(self.names, names), len(self.size)
+        self.names, self.at = np.insert(self.names, where, names), np.insert(self.at, where, before + np.arange(len(names)))
+        tok = flat[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+        self.start = np.concatenate([self.start, len(self.tok) + np.cumsum(size) - size])
+        self.tok, self.size = np.concatenate([self.tok, tok]), np.concatenate([self.size, size])
+        self.bytes = pa.concat_arrays([self.bytes, spell(flat, first, size)])
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, out: str = "tokens") -> DataFrame:
@@ -261,7 +300,7 @@ def decode(tokens: DataFrame, ranks: str = RANKS, column: str = "tokens", out: s
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known: dict = {}
+        known = Pieces()
         for batch in batches:
             texts = readable(spelled(batch.column(batch.num_columns - 1), ranks, known))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*batch.schema.names[:-1], out])
@@ -269,7 +308,7 @@ def decode(tokens: DataFrame, ranks: str = RANKS, column: str = "tokens", out: s
     return tokens.mapInArrow(run, schema)
 
 
-def spelled(lists, ranks: str, known: dict):
+def spelled(lists, ranks: str, known: Pieces):
     """The bytes of each token list of an Arrow array; known: pieces that are put together already."""
     import numpy as np
     import pyarrow as pa
@@ -298,7 +337,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        known: dict = {}
+        known = Pieces()
         for batch in encoded(batches, RANKS, "tokens"):
             ids, text, tokens = batch.columns
             same = pc.equal(text.cast(pa.binary()), spelled(tokens, RANKS, known))

@@ -427,7 +427,7 @@ def test_equal_pieces_are_put_together_once(monkeypatch, collide):
     code, rng = fast_encoding(), random.Random(7)
     texts = [" ".join(rng.choice(["the", "a", "ünï", "xyzzyq", "\n", "12", "😀"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", " ", "  a", "no"]
     lists = [code.encode_ordinary(t) for t in texts] + [[10**7, 5], [5, -1], [2**31 - 1]]
-    known = {}
+    known = op7_bpe.Pieces()
     for at_once in (7, 500_000):
         monkeypatch.setattr(op7_bpe, "TOKENS_AT_ONCE", at_once)
         got = op7_bpe.spelled(pa.array([*lists, None], pa.list_(pa.int32())), op7_bpe.RANKS, known).to_pylist()
