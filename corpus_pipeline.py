@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() applies them in turn, writing what each stage returns to
 the shared folder before the next reads it. All stages but the last return the columns of documents; n_chars follows the
-text. Rows without doc_id are dropped by the near-copy stage. An empty table goes through all stages.
+text. Rows without doc_id stay and come after all others. Columns other than those of documents are left out. An empty table goes
+through all stages.
 """
 
 from __future__ import annotations
