@@ -59,16 +59,21 @@ def cached(key, make):
 
 
 def latest(kind: str, key, make):
-    """Like cached, but a worker holds one of a kind: another key frees the last before it makes its own."""
-    slot = cached(("latest", kind), dict)
-    if slot.get("key") != key:
-        slot.clear()
-        release()
-        slot.update(key=key, value=make())
+    """Like cached, but a worker holds one thing in all: another kind or key frees the last before it makes its own."""
+    slot = cached("latest", dict)
+    if slot.get("key") != (kind, key):
+        forget()
+        slot.update(key=(kind, key), value=make())
         release()
     return slot["value"]
 
 
+def forget() -> None:
+    """Frees what latest holds, for tasks that need the memory for something else."""
+    cached("latest", dict).clear()
+    release()
+
+
 def release() -> None:
     """Gives memory that earlier tasks of this Python worker have freed back to the system."""
     import ctypes

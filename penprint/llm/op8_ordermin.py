@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, mix, read, windows
+from .common import Scratch, Words, chunks, forget, mix, read, windows
 
 #: Words in a k-mer, k-mers in a sketch, sketches of a text, and the edit similarity from which texts are near duplicates.
 K = 3
@@ -248,6 +248,7 @@ def sketched(docs: DataFrame, k: int, picked: int, count: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             for at, some in chunks(batch.column(1)):
                 words = Words(some)
@@ -288,6 +289,7 @@ def in_tasks(rows: DataFrame, work, schema: str, names: list[str]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget()
         held, task = [], None
         for batch in batches:
             tasks = batch.column(0).to_numpy()

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, mix, read, release, windows, word_counts
+from .common import Scratch, Words, chunks, forget, mix, read, windows, word_counts
 
 #: Words from which on a repeat is cut, and words in a fingerprint of the test that sets passages aside.
 LENGTH = 50
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, length: int, gram: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, some in chunks(batch.column(2)):
@@ -214,7 +215,7 @@ def by_part(blocks: DataFrame, parts: int, work, kinds: list, schema: str) -> Da
     """
 
     def run(batches: Iterator) -> Iterator:
-        release()
+        forget()
         part, held = None, []
         for batch in batches:
             for p, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
