@@ -42,7 +42,8 @@ def style_vector(profile: DataFrame, aligned: list[str] | None = None) -> Column
         if group not in has:
             return [zero] * len(keys)
         pairs = F.col(f"{group}.{field}")
-        return [F.coalesce(F.element_at(F.filter(pairs, lambda e, k=k: e["key"] == k), 1)["count"].cast("double"), zero) for k in keys]
+        named = lambda k: lambda e: e["key"] == k  # noqa: E731 (a second parameter would be the place)
+        return [F.coalesce(F.get(F.filter(pairs, named(k)), F.lit(0))["count"].cast("double"), zero) for k in keys]
 
     per = lambda a, b: F.coalesce(F.try_divide(a, b), zero)
     (count,), (types, total) = get("sentences", "count"), get("vocabulary", "unique_types", "total_tokens")

@@ -98,12 +98,12 @@ def attribution_verbs(spark, sf_dir):
 
 
 def contracted(spark, sf_dir):
-    return style.docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"nt\b", "n't"))
+    return style.docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"nt(\z|[^\p{L}\p{N}])", "n't$1"))
 
 
 SUFFIXES = ", ".join("'" + x.replace("'", "''") + "'" for x in LANGUAGES["en"][4].split())
 SHORT = rf"""s0 AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS sent_id
-  FROM (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, 'nt\b', 'n''t', 'g'), '{tk.SENTENCE}'), lambda x: regexp_matches(x, '\S')) AS l FROM documents)),
+  FROM (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, 'nt(\z|[^\p{{L}}\p{{N}}])', 'n''t\1', 'g'), '{tk.SENTENCE}'), lambda x: regexp_matches(x, '\S')) AS l FROM documents)),
 t0 AS (SELECT doc_id, sent_id, regexp_extract_all(s, '{TOKEN_SQL}') AS l FROM s0), t1 AS (SELECT doc_id, sent_id, unnest(l) AS t, generate_subscripts(l, 1) AS k FROM t0),
 t2 AS (SELECT *, regexp_extract(t, '^(\p{{L}}+?)(n''t|N''T|''\p{{L}}+)$', 1) AS a, regexp_extract(t, '^(\p{{L}}+?)(n''t|N''T|''\p{{L}}+)$', 2) AS b FROM t1),
 t3 AS (SELECT doc_id, sent_id, k, unnest(CASE WHEN a <> '' THEN [a, b] ELSE [t] END) AS text, generate_subscripts(CASE WHEN a <> '' THEN [a, b] ELSE [t] END, 1) AS j FROM t2),
@@ -129,6 +129,8 @@ def contractions_topn(spark, sf_dir):
 
 # --- segments
 
+#: Letters that every engine puts in upper case alike.
+ABC = "abcdefghijklmnopqrstuvwxyz"
 LINES = r"""lines AS (SELECT doc_id, text, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, text, string_split(text, '{0}') AS l FROM src)),
 placed AS (SELECT *, coalesce(sum(length(line) + {1}) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
   k = max(k) OVER (PARTITION BY doc_id) AS final FROM lines)"""
@@ -139,10 +141,10 @@ def cut_sql(source: str, by: str, gap: int, hit: str, title: str, least: int = 1
     """Segments from each line that `hit` names to the next; whole texts with fewer than `least` such lines."""
     lines = LINES.format(by, gap)
     return rf"""WITH src AS ({source}), {lines},
-marked AS (SELECT doc_id, text, {title} AS title, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS at, count(*) OVER (PARTITION BY doc_id) AS n,
+marked AS (SELECT doc_id, text, {title} AS title, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS n,
   coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY k), length(text)) AS e FROM placed WHERE {hit}),
-pieces AS (SELECT doc_id, at, title, {STRIP.format("substring(text, s + 1, e - s)")} AS text, s AS char_start, e AS char_end FROM marked WHERE n >= {least})
-SELECT doc_id, at::INTEGER AS "at", title, text, char_start, char_end FROM pieces WHERE {keep}
+pieces AS (SELECT doc_id, place, title, {STRIP.format("substring(text, s + 1, e - s)")} AS text, s AS char_start, e AS char_end FROM marked WHERE n >= {least})
+SELECT doc_id, place::INTEGER AS "at", title, text, char_start, char_end FROM pieces WHERE {keep}
 UNION ALL SELECT doc_id, 0, NULL, text, 0, length(text) FROM src WHERE doc_id NOT IN (SELECT doc_id FROM marked WHERE n >= {least})"""
 
 
@@ -151,19 +153,19 @@ def pattern_segments(spark, sf_dir):
     return segments.segments(style.docs(spark, sf_dir), "pattern", "^Th.*$")
 
 
-@query(cut_sql(r"SELECT doc_id, regexp_replace(text, '^Th', '# Th', 'gm') AS text FROM documents", "\n", 1, r"regexp_matches(line, '^#{1,2}\s+.')", r"regexp_replace(line, '^#{1,2}\s+|\s+$', '', 'g')"))
+@query(cut_sql(r"SELECT doc_id, regexp_replace(text, '(?m)^Th', '# Th', 'g') AS text FROM documents", "\n", 1, r"regexp_matches(line, '^#{1,2}\s+.')", r"regexp_replace(line, '^#{1,2}\s+|\s+$', '', 'g')"))
 def markdown_segments(spark, sf_dir):
     return segments.segments(style.docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", "(?m)^Th", "# Th")), "markdown")
 
 
 @query(
     cut_sql(
-        "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) < 80 THEN upper(l) ELSE l END), chr(10) || chr(10)) AS text FROM documents",
+        f"SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) < 80 THEN translate(l, '{ABC}', '{ABC.upper()}') ELSE l END), chr(10) || chr(10)) AS text FROM documents",
         "\n\n", 2, r"NOT final AND regexp_full_match(line, '[A-Z][A-Z0-9 ,.''\-:&!?]{2,79}')", "trim(line)", 2, "length(text) > 50",
     )
 )
 def article_segments(spark, sf_dir):
-    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) < 80, F.upper(x)).otherwise(x))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) < 80, F.translate(x, ABC, ABC.upper())).otherwise(x))
     return segments.segments(style.docs(spark, sf_dir).withColumn("text", F.array_join(lines, "\n\n")), "articles")
 
 
