@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -61,7 +62,8 @@ def main(argv: list[str] | None = None) -> int:
         show_all(delta.burrows_delta(docs.where("text is not null"), unknown, a.n).orderBy("unknown_id", "rank"))
     elif a.command == "report":
         row = analyze(docs, None, a.lang).first()
-        print(row.asDict(True) if a.format == "json" else (html_report if a.format == "html" else text_report)(row.asDict(True)))
+        as_json = lambda profile: json.dumps(profile, ensure_ascii=False, default=str)
+        print({"json": as_json, "html": html_report, "text": text_report}[a.format](row.asDict(True)))
     elif a.command == "stylize":
         style = read_files(spark, a.style)
         rules = diff.profile_diff(flat_profile(docs, a.lang), flat_profile(style, a.lang), "doc_id", "doc_id").first()
