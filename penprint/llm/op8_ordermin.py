@@ -29,6 +29,13 @@ BAG = 128
 BLOCK = 256
 CELLS = 12_800_000
 
+#: Counters of a bag where a group's texts are compared with each other; a power of 2.
+BINS = 1024
+
+#: Words up to which texts are aligned many pairs at a time, and bits of a step's comparisons: pairs times places.
+WIDE = 1024
+STEP = 1 << 19
+
 #: Texts to fetch up to which their names (8 bytes each) go to every executor; more are joined by a shuffle.
 SENT_NAMES = 1 << 20
 
@@ -234,6 +241,95 @@ def within(x, y, most: int) -> bool:
     return banded_distance(x.tolist(), y.tolist(), most) <= most
 
 
+def all_within(lists: list, i, j, most):
+    """within() of each pair (lists[i], lists[j]) and its `most`; texts of up to WIDE words many pairs at a time."""
+    import numpy as np
+
+    n = np.array([len(x) for x in lists])
+    wide = np.maximum(n[i], n[j]) > WIDE
+    ok = np.zeros(len(i), bool)
+    for p in np.flatnonzero(wide):
+        ok[p] = within(lists[i[p]], lists[j[p]], int(most[p]))
+    some = np.flatnonzero(~wide)
+    ok[some] = distances(lists, i[some], j[some], most[some]) <= most[some]
+    return ok
+
+
+def distances(lists: list, i, j, most):
+    """many_distances() of each pair (lists[i], lists[j]) and its `most`, some STEP comparisons a step."""
+    import numpy as np
+
+    out = np.zeros(len(i), np.int64)
+    if not len(i):
+        return out
+    n = np.array([len(x) for x in lists])
+    used = np.unique([i, j])
+    words = np.unique(np.concatenate([lists[x] for x in used]), return_inverse=True)[1]
+    words = words.astype(np.int16 if not len(words) or words.max() < 1 << 15 else np.int32)
+    starts = np.zeros(len(lists), np.int64)
+    starts[used] = np.cumsum(n[used]) - n[used]
+    size = np.maximum(n[i], n[j]) + 64
+    order = np.argsort(size, kind="stable")
+    ends = np.cumsum(size[order])
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP)))
+        p = order[at:to]
+        out[p] = many_distances(words, starts[i[p]], n[i[p]], starts[j[p]], n[j[p]], int(most[p].max()))
+        at = to
+    return out
+
+
+def many_distances(words, x, n, y, m, most):
+    """Edit distances of the stretches words[x : x + n] and words[y : y + m] of a row of numbers from 0, for arrays x, n, y and m,
+    where they are at most `most` (a number); others come out as more than that.
+
+    The bit-parallel alignment of all pairs; a column of a pair is one column of 64-bit integers, the lowest first. Only integers
+    within `most` of the diagonal are looked at: above them each column is taken to be one more than the last, below them each row.
+    """
+    import numpy as np
+
+    if not len(x):
+        return n
+    size = max(1, -(-int(n.max()) // 64))
+    place = np.arange(64 * size)
+    a = np.where(place < n[:, None], words[np.minimum(x[:, None] + place, len(words) - 1)] if len(words) else words.dtype.type(-1), words.dtype.type(-1))
+    row, last, end = np.arange(len(x)), np.maximum(n - 1, 0) // 64, (np.maximum(n - 1, 0) % 64).astype(np.uint64)
+    one, high = np.uint64(1), np.uint64(63)
+    vps, vns = np.full((size, len(x)), ~np.uint64(0)), np.zeros((size, len(x)), np.uint64)
+    low, top, score = 0, 0, np.minimum(n, 64)
+    for step in range(int(m.max())):
+        low = max(0, step - most) // 64
+        if low >= size:
+            break
+        while top < min(size - 1, (step + most) // 64):
+            top += 1
+            score = score + np.clip(n - 64 * top, 0, 64)
+        vp, vn = vps[low : top + 1], vns[low : top + 1]
+        b = words[np.minimum(y + step, len(words) - 1)]
+        match = np.packbits(a[:, 64 * low : 64 * top + 64] == b[:, None], axis=1, bitorder="little").view("<u8").T.copy()
+        total = (match & vp) + vp
+        if top > low:  # carries from integer to integer
+            over, carry = total < vp, np.zeros(len(x), bool)
+            for k in range(1, top + 1 - low):
+                carry |= over[k - 1]
+                total[k] += carry
+                carry &= total[k] == 0
+        d0 = (total ^ vp) | match | vn
+        hp, hn = vn | ~(d0 | vp), vp & d0
+        at, bit = np.clip(last - low, 0, top - low), np.where(last <= top, end, high)
+        change = (hp[at, row] >> bit & one).astype(np.int64) - (hn[at, row] >> bit & one).astype(np.int64)
+        score = score + np.where(step < m, np.where(last < low, 1, change), 0)
+        up, un = hp << one, hn << one
+        up[0] |= one
+        up[1:] |= hp[:-1] >> high
+        un[1:] |= hn[:-1] >> high
+        vps[low : top + 1], vns[low : top + 1] = un | ~(d0 | up), up & d0
+    else:
+        return np.where(n == 0, m, np.where(last > top, most + 1, score))
+    return np.where(n == 0, m, np.where((last > top) | (m > step), most + 1, score))
+
+
 def alike(a: str, b: str, similarity: float) -> bool:
     import pyarrow as pa
 
@@ -416,27 +512,45 @@ def aligned(x, y):
     return i, j, np.flatnonzero((wide == high) & (wide > 0)), wide
 
 
-def counted_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, links): how many other texts of its group each text of members (group, node) is near.
+def linked(side, lists: list, similarity: float):
+    """How many others each text of a task is near, by the rules of across().
 
-    Each task lays its texts along the first of them; two that differ in few enough places are near. The others are aligned.
+    One from their middle is aligned with each. Two whose distances from it are few enough edits in all are near. So are two that
+    differ in few enough places when laid along it; two whose words alone are too many edits apart aren't. The others are aligned.
     """
+    import numpy as np
+
+    n = np.array([len(x) for x in lists])
+    owner = np.repeat(np.arange(len(lists)), n)
+    slot = (np.concatenate(lists).view(np.uint64) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    bag = np.minimum(np.bincount(owner * BINS + slot, minlength=len(lists) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+    middle = int(np.abs(bag - np.median(bag, 0)).sum(1).argmin())
+    head = lists[middle]
+    along, extra = zip(*(against(head, x) for x in lists))
+    along, extra = np.stack(along), np.array(extra)
+    away = (along != head).sum(1) + extra
+    if max(n) <= WIDE:
+        every = np.arange(len(lists))
+        away = np.minimum(away, distances(lists, np.full(len(lists), middle), every, allowed(np.maximum(n, len(head)), similarity)))
+    links = np.zeros(len(lists), np.int64)
+    for i, j in across(side, max(1, len(head), BINS)):
+        most = allowed(np.maximum(n[i], n[j]), similarity)
+        near = away[i] + away[j] <= most
+        left = np.flatnonzero(~near)
+        left = left[may_be_near(bag[i[left]], bag[j[left]], n[i[left]], n[j[left]], similarity)]
+        near[left] = (along[i[left]] != along[j[left]]).sum(1) + extra[i[left]] + extra[j[left]] <= most[left]
+        left = left[~near[left]]
+        near[left] = all_within(lists, i[left], j[left], most[left])
+        links += np.bincount(i[near], minlength=len(lists)) + np.bincount(j[near], minlength=len(lists))
+    return links
 
-    def work(rows) -> Iterator:
-        import numpy as np
 
-        side, node, lists = rows.column(1).to_numpy(), rows.column(2).to_numpy(), word_lists(rows.column(3))
-        n = np.array([len(x) for x in lists])
-        along, extra = zip(*(against(lists[0], x) for x in lists))
-        along, extra = np.stack(along), np.array(extra)
-        links = np.zeros(len(node), np.int64)
-        for i, j in across(side, max(1, n[0])):
-            most = allowed(np.maximum(n[i], n[j]), similarity)
-            near = (along[i] != along[j]).sum(1) + extra[i] + extra[j] <= most
-            for p in np.flatnonzero(~near):
-                near[p] = within(lists[i[p]], lists[j[p]], int(most[p]))
-            links += np.bincount(i[near], minlength=len(node)) + np.bincount(j[near], minlength=len(node))
-        yield node, links
+def counted_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, links): how many other texts of its group each text of members (group, node) is near."""
+
+    def work(rows) -> Iterator:
+        side, node = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        yield node, linked(side, word_lists(rows.column(3)), similarity)
 
     rows = in_blocks(members, "group", ["node"]).join(texts, "node").select("task", "side", "node", "text")
     return in_tasks(rows, work, "node long, links long", ["node", "links"]).groupBy("node").agg(F.sum("links").alias("links"))

@@ -463,6 +463,39 @@ def test_bounds(a, b, most):
     assert (laid != x + 1).sum() + extra >= d and (laid > 0).sum() + extra == len(b)
 
 
+@given(st.lists(st.tuples(st.lists(st.integers(0, 2), max_size=150), st.lists(st.integers(0, 2), max_size=150)), max_size=4), st.integers(0, 150))
+@settings(max_examples=150, deadline=None)
+def test_many_distances(pairs, most):
+    lists = [np.array(x, np.int32) for p in pairs for x in p]
+    n = np.array([len(x) for x in lists], np.int64)
+    starts = np.cumsum(n) - n
+    got = op8_ordermin.many_distances(np.concatenate([np.zeros(0, np.int32), *lists]), starts[::2], n[::2], starts[1::2], n[1::2], most)
+    assert [min(x, most + 1) for x in got.tolist()] == [min(edit_distance(a, b), most + 1) for a, b in pairs]
+
+
+@pytest.mark.parametrize("wide,step", [(1024, 1 << 19), (45, 1 << 8)])  # some pairs too wide, small steps
+def test_links_of_a_cluster_are_not_aligned_pair_by_pair(monkeypatch, wide, step):
+    """Copies far from each other, which no bound decides: no pair of short texts goes through the slow alignment."""
+    monkeypatch.setattr(op8_ordermin, "WIDE", wide)
+    monkeypatch.setattr(op8_ordermin, "STEP", step)
+    slow = []
+    monkeypatch.setattr(op8_ordermin, "banded_distance", lambda a, b, most, f=op8_ordermin.banded_distance: slow.append(max(len(a), len(b))) or f(a, b, most))
+    rng = random.Random(4)
+    base, lists = [rng.randrange(1, 30) for _ in range(44)], []
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = [rng.randrange(1, 30) for _ in range(rng.randint(0, 2))]
+        lists.append(copy)
+    near = np.array([[a is not b and edit_distance(a, b) <= op8_ordermin.allowed(max(len(a), len(b)), 0.8) for b in lists] for a in lists])
+    arrays = [np.array([hash((x, 5)) for x in a], np.int64) for a in lists]
+    assert op8_ordermin.linked(np.zeros(40, int), arrays, 0.8).tolist() == near.sum(1).tolist()
+    side = np.array([1] * 15 + [2] * 25)
+    assert op8_ordermin.linked(side, arrays, 0.8).tolist() == [*near[:15, 15:].sum(1), *near[15:, :15].sum(1)]
+    assert near.any() and not near.all() and (wide == 45 or not slow)
+
+
 def ascii_words(text):
     return [w for w in re.split(r"[ \t\n\r\f\x0b]+", text) if w]
 
