@@ -66,26 +66,6 @@ def _sliding(x, span: int, f):
     return f(x[: len(x) - (span - width)], x[span - width :]) if span > width else x
 
 
-def fingerprints(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(fp, doc_id, row, at): the chosen runs of every text of `length` words or more."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        forget()
-        for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, some in chunks(batch.column(2)):
-                words = Words(some)
-                g, chosen, _, _ = winnow(words, length, gram)
-                text = np.searchsorted(words.offsets, chosen, side="right") - 1
-                place = (chosen - words.offsets[text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(g[chosen].view(np.int64)), pa.array(ids[at + text]), pa.array(rows[at + text]), pa.array(place)], ["fp", "doc_id", "row", "at"])
-
-    return docs.where("text is not null").select("doc_id", "row", "text").mapInArrow(run, "fp long, doc_id long, row long, at int")
-
-
 def passages(docs: DataFrame, again: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, row, start, content, letters): longest stretches of windows whose least fingerprint is repeated.
 
@@ -428,6 +408,67 @@ def later_copies(rows: DataFrame, parts: int) -> DataFrame:
     return by_part(rows, parts, work, SUFFIX, "id long, at int")
 
 
+def fingerprints(docs: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
+    """Blocks (fp, doc_id, row, at, known) by hash of fp: the chosen runs of every text of `length` words or more.
+
+    Where a task finds a fingerprint several times, its first has known = 2, the others have 1 and go to any part, so that a
+    fingerprint that is everywhere makes no large part.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        forget()
+        held, n = [], 0
+        for batch in batches:
+            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, some in chunks(batch.column(2)):
+                words = Words(some)
+                g, chosen, _, _ = winnow(words, length, gram)
+                text = np.searchsorted(words.offsets, chosen, side="right") - 1
+                place = (chosen - words.offsets[text]).astype(np.int32)
+                held.append((g[chosen].view(np.int64), ids[at + text], rows[at + text], place))
+                n += len(chosen)
+                if n >= ROWS:
+                    yield sent(held)
+                    held, n = [], 0
+        if n:
+            yield sent(held)
+
+    def sent(held: list):
+        import numpy as np
+
+        fp, ids, rows, at = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(fp, kind="stable")
+        again = np.zeros(len(fp), bool)
+        again[1:] = fp[order][1:] == fp[order][:-1]
+        known = np.zeros(len(fp), np.int8)
+        known[order[:-1]] = again[1:] * 2
+        known[order[again]] = 1
+        part = mix(np.where(known == 1, rows ^ at, fp)) % np.uint64(parts)
+        return to_parts(part.astype(np.int64), [fp, ids, rows, at, known])
+
+    return docs.where("text is not null").select("doc_id", "row", "text").mapInArrow(run, BLOCKS)
+
+
+def repeated(blocks: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, row, at): runs of fingerprints that were chosen more than once."""
+
+    def work(part, c) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        fp, known = c[0], c[4]
+        free = np.flatnonzero(known != 1)
+        free = free[np.argsort(fp[free])]
+        same = fp[free][1:] == fp[free][:-1]
+        keep = known > 0
+        keep[free[1:][same]] = keep[free[:-1][same]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c[1:4]], ["doc_id", "row", "at"])
+
+    return by_part(blocks, parts, work, ["i8", "i8", "i8", "i4", "i1"], "doc_id long, row long, at int")
+
+
 def suffix_ranks(scratch: Scratch, strings: DataFrame, need: int, level: int = 0) -> DataFrame:
     """(id, letters): for every place of the cover in every string (level 0), or every place (deeper), a rank by which
     suffixes stand in order.
@@ -462,11 +503,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         raise ValueError("length must be more than 3 words")
     scratch = Scratch(spark, "suffix")
     gram = min(gram, length)
-    fps = scratch.write(fingerprints(docs, length, gram), "fps")
-    often = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    again = fps.join(often, "fp", "left_semi").select("doc_id", "row", "at")
+    # one run in (length - gram) / 2 words or more is chosen; a word with its space has some 6 bytes
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(RANGES, 1 + size // (3 * (length - gram + 2) * ROWS))
+    again = repeated(fingerprints(docs, length, gram, parts), parts)
     found = scratch.write(passages(docs, again, length, gram), "passages")
-    scratch.drop("fps")
     # Equal passages: the first stands for all in the array, the others go whole.
     place = F.struct("doc_id", "row", "start")
     n = F.size("letters").alias("n")

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from penprint.llm import op1_mix, op2_counts, op3_sentences, op4_quality, op5_neighbours, op6_media, op7_bpe, op8_ordermin, op9_suffix, op10_langid
+from penprint.llm.common import Words
 from penprint.llm.bpe_files import fast_encoding
 from penprint.llm.common import Words, chunks
 
@@ -646,6 +647,27 @@ def test_suffixes_of_odd_rows(spark, odd, nothing):
         op9_suffix.dedup_substrings(odd, 3)
 
 
+@pytest.mark.parametrize("rows", [400_000, 5])  # a block a part, many
+def test_fingerprints_travel_in_blocks(spark, monkeypatch, rows):
+    """Runs of equal fingerprints, of one that is everywhere too, and no row of Spark's for each."""
+    monkeypatch.setattr(op9_suffix, "ROWS", rows)
+    rng = random.Random(8)
+    shared = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(12)) for _ in range(4)]
+    texts = {i: " ".join([passage(i, 9), shared[0], passage(i + 99, 9), shared[1 + i % 9 % 3] if i % 9 < 5 else passage(i + 500, 9)]) for i in range(40)}
+    d = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "doc_id long, row long, text string").repartition(2)
+    chosen = {}
+    for i, t in texts.items():
+        words = Words(pa.array([t], pa.large_string()))
+        g, at, _, _ = op9_suffix.winnow(words, 10, 5)
+        chosen |= {(i, int(x)): int(g[x]) for x in at}
+    times = collections.Counter(chosen.values())
+    blocks = op9_suffix.fingerprints(d, 10, 5, 3)
+    got = op9_suffix.repeated(blocks, 3).collect()
+    assert sorted((r.doc_id, r.at) for r in got) == sorted(k for k, fp in chosen.items() if times[fp] > 1)
+    assert max(times.values()) >= 40 and 1 in times.values()
+    assert rows == 5 or blocks.count() <= 2 * 3
+
+
 # 10
 
 
