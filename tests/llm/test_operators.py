@@ -191,6 +191,45 @@ def test_quality_counts_all_trusted_text(spark):
     assert len({round(r.perplexity, 6) for r in op4_quality.score(d, labels).collect()}) == 1
 
 
+@pytest.mark.parametrize("slices", [1, 3])
+def test_blocks_of_trigrams(slices):
+    """Each trigram is in one block, with its text; words that nobody knows are one; a word takes a few bytes, 28 before."""
+    rng = np.random.default_rng(4)
+    n = np.array([0, 1, 2, 50_000, 0, 150_000])
+    w, langs = (op4_quality.mix(x).view(np.int64) for x in (rng.zipf(1.3, n.sum()) % 5000 + 99, np.array([3, 3, 9, 9, 3, 3])))
+    t = np.arange(6) * 7
+    salted = op4_quality.mix(w.view(np.uint64) ^ np.repeat(langs, n).view(np.uint64))
+    start = op4_quality.mix(np.uint64(op4_quality.START) ^ langs.view(np.uint64)).tolist()
+    want, at = collections.Counter(), 0
+    for k, size in enumerate(n):
+        x = [start[k]] * 2 + salted[at : at + size].tolist()
+        want.update((t[k], langs[k], *y) for y in zip(x, x[1:], x[2:]))
+        at += size
+
+    def read(known):
+        got, size = collections.Counter(), 0
+        for b in (b for at in range(slices) for b in op4_quality.sent([(t, langs, n, w)], 6, slices, at, known)):
+            part, _, lang, *data = (c[0].as_py() for c in b.columns)
+            names, (v, *_) = np.frombuffer(data[0], np.uint64), (op4_quality.unpack(x) for x in data[2:3])
+            x = [names[op4_quality.unpack(x)].tolist() for x in data[1:4]]
+            assert known or (op4_quality.shard_of(names[v], 6) == part).all()
+            got.update(zip(np.repeat(np.frombuffer(data[4], np.int64), op4_quality.unpack(data[5])).tolist(), [lang] * len(v), *x))
+            size += sum(map(len, data))
+        return got, size
+
+    got, size = read(None)
+    assert got == want and size < 8 * n.sum()
+    none, _ = read(bytes(1 << op4_quality.KNOWN_BITS - 3))
+    assert none == _merged(want, set(start))
+
+
+def _merged(want, kept):
+    out = collections.Counter()
+    for (t, lang, *words), c in want.items():
+        out[(t, lang, *(x if x in kept else op4_quality.UNKNOWN for x in words))] += c
+    return out
+
+
 def test_quality_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     rows = op4_quality.score(odd, labels).collect()
