@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, mix, read
+from .common import Scratch, Words, chunks, mix, read, release
 
 #: The share of a language's documents that stays.
 KEEP = 0.9
@@ -122,6 +122,8 @@ def dealt(texts: DataFrame, shards: int, slices: int = 1, at: int = 0, known=Non
                     held, size = [], 0
         if size:
             yield from sent(held, shards, slices, at, known and known.value)
+        del held
+        release()
 
     return texts.mapInArrow(send, BLOCK)
 
@@ -218,6 +220,7 @@ def counted(sample: DataFrame, shards: int) -> DataFrame:
                     part, held = p, {}
                 held.setdefault(lang, []).append(data)
         yield from tables(part, held)
+        release()
 
     def tables(part, held) -> Iterator:
         import numpy as np
@@ -365,6 +368,7 @@ def looked(texts: DataFrame, counts: DataFrame, ones: DataFrame, known, discount
             for p, kind, lang, *data in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part:
                     part, models, words, ready = p, {}, {}, {}
+                    release()
                 if kind == MODEL:
                     models[lang] = data
                 elif kind == ONES:
