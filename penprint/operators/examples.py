@@ -3,57 +3,80 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.normalize import word_count
+from .local import text_parts
+
+
+def packs(text: str, most: int, short: int) -> list[tuple[str, int]]:
+    """(text, words) of each pack of a text's paragraphs, in order."""
+    done, held, n = [], [], 0
+    for p in text.split("\n\n"):
+        p = p.strip(" ")
+        k = len(p.split())
+        if k < short:
+            continue
+        if n > 0 and n + k <= most:
+            held.append(p)
+            n += k
+            continue
+        if n > 0:
+            done.append(("\n\n".join(held), n))
+        held, n = [p], k
+    return [*done, ("\n\n".join(held), n)] if n > 0 else done
 
 
 def passages(docs: DataFrame, least: int = 60, most: int = 300, short: int = 10) -> DataFrame:
     """(doc_id, at, text): paragraphs of `short` words or more, packed in order up to `most` words; packs under `least` go.
 
-    A paragraph longer than `most` is a pack of its own. The packing is a fold over the array: its reset rules out a window.
+    A paragraph longer than `most` is a pack of its own.
     """
-    paras = F.filter(F.transform(F.split("text", "\n\n"), lambda p: F.trim(p)), lambda p: word_count(p) >= short)
-    item = F.transform(paras, lambda p: F.struct(p.alias("t"), word_count(p).alias("n")))
-    kind = "struct<done:array<struct<t:string,n:bigint>>,t:string,n:bigint>"
-    start = F.struct(F.array().cast("array<struct<t:string,n:bigint>>").alias("done"), F.lit("").alias("t"), F.lit(0).cast("long").alias("n")).cast(kind)
-
-    def closed(a):
-        return F.when(a["n"] > 0, F.concat(a["done"], F.array(F.struct(a["t"].alias("t"), a["n"].alias("n"))))).otherwise(a["done"])
+    return _rows(docs, "at int, text string", lambda text: [(at, t) for at, (t, n) in enumerate(packs(text, most, short)) if n >= least])
 
-    def step(a, p):
-        fits = (a["n"] > 0) & (a["n"] + p["n"] <= most)
-        more = F.struct(a["done"].alias("done"), F.concat_ws("\n\n", a["t"], p["t"]).alias("t"), (a["n"] + p["n"]).alias("n"))
-        fresh = F.struct(closed(a).alias("done"), p["t"].alias("t"), p["n"].alias("n"))
-        return F.when(fits, more).otherwise(fresh).cast(kind)
 
-    packs = F.aggregate(item, start, step, closed)
-    rows = docs.where("text is not null").select("doc_id", F.posexplode(packs).alias("at", "e")).where(F.col("e.n") >= least)
-    return rows.select("doc_id", "at", F.col("e.t").alias("text"))
-
-
-def passage_score(text: Column, target_length: Column, dialogue: Column) -> Column:
+def passage_score(text: str, target_length: float, dialogue: bool) -> float:
     """How far a passage is from the style, less being better: relative error of mean sentence length, 0.3 without an
     apostrophe, 0.4 without a quote mark in a dialogue style, and up to 0.3 for even sentences. 999 without a sentence."""
-    parts = F.filter(F.split(F.translate(text, "!?", ".."), r"\."), lambda s: F.length(F.trim(s)) > 0)
-    n = F.transform(parts, lambda s: word_count(s).cast("double"))
-    size = F.size(n)
-    mean = F.aggregate(n, F.lit(0.0), lambda a, x: a + x) / size
-    var = F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / size
-    off = F.coalesce(F.try_divide(F.abs(mean - target_length), target_length), F.lit(0.0))
-    plain = F.when(F.contains(text, F.lit("'")), 0.0).otherwise(0.3)
-    silent = F.when(dialogue & ~F.contains(text, F.lit('"')), 0.4).otherwise(0.0)
-    return F.when(size > 0, off + plain + silent + F.greatest(F.lit(0.0), 0.3 - var / 100)).otherwise(999.0)
+    n = [len(s.split()) for s in text.replace("!", ".").replace("?", ".").split(".") if s.strip(" ")]
+    if not n:
+        return 999.0
+    mean, squares = sum(n) / len(n), 0.0
+    for x in n:  # in order, without sum()'s compensation, as the SQL adds
+        squares += (x - mean) * (x - mean)
+    off = abs(mean - target_length) / target_length if target_length else 0.0
+    return off + (0.0 if "'" in text else 0.3) + (0.4 if dialogue and '"' not in text else 0.0) + max(0.0, 0.3 - squares / len(n) / 100)
 
 
 def candidate_pool(docs: DataFrame, target_length: float, dialogue: bool, n: int = 5, least: int = 60, most: int = 300) -> DataFrame:
-    """(doc_id, rank, text, score): the best fifth of each document's passages, 2 n at least."""
-    scored = passages(docs, least, most).withColumn("score", passage_score(F.col("text"), F.lit(float(target_length)), F.lit(dialogue)))
-    by = Window.partitionBy("doc_id")
-    scored = scored.withColumn("rank", F.row_number().over(by.orderBy("score", "at"))).withColumn("all", F.count(F.lit(1)).over(by))
-    return scored.where(F.col("rank") <= F.greatest(F.floor(F.col("all") / 5), F.lit(2 * n))).select("doc_id", "rank", "text", "score")
+    """(doc_id, rank, text, score): the best fifth of each document's passages, 2 n at least; scores equal to 9 digits in order of place."""
+
+    def best(text: str) -> list[tuple]:
+        scored = [(t, passage_score(t, float(target_length), dialogue)) for t, words in packs(text, most, 10) if words >= least]
+        order = sorted(range(len(scored)), key=lambda i: (round(scored[i][1], 9), i))[: max(len(scored) // 5, 2 * n)]
+        return [(rank, *scored[i]) for rank, i in enumerate(order, 1)]
+
+    return _rows(docs, "rank int, text string, score double", best)
+
+
+def _rows(docs: DataFrame, schema: str, rows_of) -> DataFrame:
+    """(doc_id, ...): the rows that rows_of makes of each text, without a shuffle; null texts give none."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names, kinds = zip(*(c.split() for c in schema.split(", ")))
+        kinds = [{"int": pa.int32(), "string": pa.string(), "double": pa.float64()}[k] for k in kinds]
+        for batch in batches:
+            for a, b in text_parts(batch.column(1)):
+                rows = [(a + i, *r) for i, text in enumerate(batch.column(1).slice(a, b - a).to_pylist()) if text is not None for r in rows_of(text)]
+                if rows:
+                    at, *columns = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names])
+
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def select_examples(pool: list[str], n: int = 5, seed: int = 42) -> list[str]:

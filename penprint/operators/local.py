@@ -47,6 +47,14 @@ def parts(ends) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def text_parts(texts) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of an Arrow string array that have about ITEMS bytes together; a longer text is on its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    yield from parts(np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+
 def grouped(doc, key):
     """(order, starts, counts): rows by document and key, in order of place within each; where each group starts, and its size."""
     import numpy as np
