@@ -107,13 +107,18 @@ def vocabulary_rows(counts: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def vocabulary_columns(n: Column, v: Column, v1: Column, ff: Column) -> list[Column]:
+    """The same of a list's items, different ones, those that occur once, and the sum of squared counts."""
+    return [
+        n.alias("total_tokens"), v.alias("unique_types"), F.round(v / n, 4).alias("ttr"), v1.alias("hapax_legomena"), F.round(v1 / v, 4).alias("hapax_ratio"),
+        F.round(10000 * (ff - n) / (n * n), 2).alias("yules_k"), F.round(F.when(v1 != v, 100 * F.ln(n) / (1 - v1 / v)), 2).alias("honores_r"),
+    ]
+
+
 def vocabulary_of(docs: DataFrame, lang: str = "en") -> DataFrame:
     """The same of docs (doc_id, text), without a shuffle."""
-    n, v, v1, ff = (F.col(c) for c in ("n", "v", "v1", "ff"))
-    return local.richness(docs.select("doc_id", local.words_of(F.col("text"), elided(lang)))).select(
-        "doc_id", n.alias("total_tokens"), v.alias("unique_types"), F.round(v / n, 4).alias("ttr"), v1.alias("hapax_legomena"), F.round(v1 / v, 4).alias("hapax_ratio"),
-        F.round(10000 * (ff - n) / (n * n), 2).alias("yules_k"), F.round(F.when(v1 != v, 100 * F.ln(n) / (1 - v1 / v)), 2).alias("honores_r"),
-    )
+    counts = local.richness(docs.select("doc_id", local.words_of(F.col("text"), elided(lang))))
+    return counts.select("doc_id", *vocabulary_columns(*(F.col(c) for c in ("n", "v", "v1", "ff"))))
 
 
 @analyzer("vocabulary")
@@ -257,15 +262,19 @@ def punctuation_rates(docs: DataFrame) -> DataFrame:
     """(doc_id, ten rates a thousand words); a text without words has rates of 0. Words are counted once, in a select below."""
     from ..functions.normalize import word_count
 
-    text = F.col("text")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", word_count(F.col("text")))
+    return base.select("doc_id", *punctuation_columns(F.col("text"), F.col("n")))
+
+
+def punctuation_columns(text: Column, n: Column) -> list[Column]:
+    """The ten rates of a text of n words."""
     counts = {
         "comma": marks(text, ","), "period": marks(text, "."), "semicolon": marks(text, ";"), "colon": marks(text, ":"),
         "dash": F.regexp_count(text, F.lit("---")) + F.regexp_count(F.replace(text, F.lit("---"), F.lit("")), F.lit("--")),
         "exclamation": marks(text, "!"), "question": marks(text, "?"), "ellipsis": F.regexp_count(text, F.lit(r"\.{3}|…")),
         "parenthesis": marks(text, "(") + marks(text, ")"), "quotation": sum((marks(text, q) for q in "'“”"), marks(text, '"')),
     }
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", word_count(text))
-    return base.select("doc_id", *(F.when(F.col("n") > 0, F.round(c * 1000 / F.col("n"), 2)).otherwise(0.0).alias(k) for k, c in counts.items()))
+    return [F.when(n > 0, F.round(c * 1000 / n, 2)).otherwise(0.0).alias(k) for k, c in counts.items()]
 
 
 @analyzer("punctuation")
@@ -388,12 +397,16 @@ def readability_rows(docs: DataFrame) -> DataFrame:
         F.size(F.filter("beats", lambda x: x >= 3)).cast("double").alias("h"),
         F.aggregate("words", zero, lambda a, x: a + F.regexp_count(x, F.lit(r"[\p{L}\p{N}]"))).cast("double").alias("c"),
     ).where("w > 0")
-    w, s, y, h, c = (F.col(k) for k in "wsyhc")
-    return base.select(
-        "doc_id", F.round(206.835 - 1.015 * w / s - 84.6 * y / w, 6).alias("flesch_reading_ease"), F.round(0.39 * w / s + 11.8 * y / w - 15.59, 6).alias("flesch_kincaid_grade"),
+    return base.select("doc_id", *readability_columns(*(F.col(k) for k in "wsyhc")))
+
+
+def readability_columns(w: Column, s: Column, y: Column, h: Column, c: Column) -> list[Column]:
+    """The six formulas of words, sentences, syllables, hard words, and letters and digits."""
+    return [
+        F.round(206.835 - 1.015 * w / s - 84.6 * y / w, 6).alias("flesch_reading_ease"), F.round(0.39 * w / s + 11.8 * y / w - 15.59, 6).alias("flesch_kincaid_grade"),
         F.round(0.4 * (w / s + 100 * h / w), 6).alias("gunning_fog"), F.round(0.0588 * (c / w * 100) - 0.296 * (s / w * 100) - 15.8, 6).alias("coleman_liau"),
         F.round(4.71 * c / w + 0.5 * w / s - 21.43, 6).alias("ari"), F.round(F.when(s >= 30, 1.0430 * F.sqrt(h * 30 / s) + 3.1291), 6).alias("smog"),
-    )
+    ]
 
 
 @analyzer("readability")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +19,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once: what a lambda names from outside is evaluated again for each element."""
+    return F.get(F.transform(F.array(x), lambda y: f(y)), F.lit(0))
+
+
 def l2_normalize(v: Column) -> Column:
     """v over its length; a zero vector stays as it is."""
-    v = v.cast("array<double>")
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    over = lambda v, norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    return once(v.cast("array<double>"), lambda v: once(F.sqrt(dot(v, v)), lambda norm: over(v, norm)))
 
 
 def style_vector(profile: DataFrame, aligned: list[str] | None = None) -> Column:

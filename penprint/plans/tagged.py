@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.languages import LANGUAGES, function_words
-from ..operators import diff, examples, segments, vectors
+from ..operators import diff, examples, segments, vectors, within
 from ..operators import features as ft
 from ..operators import tokens as tk
 from ..operators.tagging import tag, tagged_sql
@@ -23,6 +23,11 @@ def tagged(spark, sf_dir):
     return tag(style.tokens(spark, sf_dir))
 
 
+def measured(spark, sf_dir, group: str):
+    """What is counted of each document's tagged tokens, within its row."""
+    return within.rows(style.docs(spark, sf_dir), group)
+
+
 def long_form(rows, name: str, key: str, value: str):
     """(doc_id, rank, key, value) of a column of ranked (key, count) structs."""
     rows = rows.select("doc_id", F.posexplode(name).alias("rank", "e"))
@@ -320,10 +325,10 @@ SELECT doc_id, unnest(range(128)) AS dim, round(unnest(list_transform(x, lambda
 
 @query(vector_sql())
 def style_profile_vectors(spark, sf_dir):
-    """Place by place, the 128-place vector of each document: all twelve analyzers, tags by the declared rules."""
+    """Place by place, the 128-place vector of each document: all analyzers that have a place, tags by the declared rules."""
     from .profile import analyze
 
-    p = analyze(style.docs(spark, sf_dir), backend="rules")
+    p = analyze(style.docs(spark, sf_dir), [g for g in ft.ANALYZERS if g != "ngrams"], backend="rules")  # n-grams have no place
     rows = p.select("doc_id", F.posexplode(vectors.style_vector(p)).alias("dim", "value"))
     return rows.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 

@@ -1,8 +1,16 @@
 """Work that stays within a document's row or a bounded block, and takes no square of its size."""
 
 import random
+import time
 
-from penprint.operators import examples
+from pyspark.sql import functions as F
+
+from penprint.operators import examples, vectors, within
+from penprint.operators import features as ft
+from penprint.operators import tokens as tk
+from penprint.operators.tagging import tag
+from penprint.plans import style, tagged
+from penprint.plans.profile import analyze
 
 from .test_features import texts
 
@@ -25,3 +33,60 @@ def test_passages_of_long_paragraphs(spark):
     mean = sum(n) / len(n)
     want = abs(mean - 12) / 12 + 0.7 + max(0, 0.3 - sum((x - mean) ** 2 for x in n) / len(n) / 100)
     assert abs(rows[0, 1].score - want) < 1e-9
+
+
+PIECES = ["the ", "don't ", "DON'T", "n't", "it's", "a'b'c'd ", "'", "''", " ", "\n", "\x0b", "\xa0", ".", "!?", ". .", '"', "“", "”", "Anna ", "opened ", "singing", " because ", "And ", "was ", "famous ", "quickly", "12", "½", "é", "漢字 ", "İ", "ΣΑΣ ", "Ünï ", "😀", ",", "-", "x"]
+
+
+def odd_texts(spark):
+    rng = random.Random(5)
+    return texts(spark, None, "", " \n", "...", *("".join(rng.choice(PIECES) for _ in range(rng.randint(1, 60))) for _ in range(300))).repartition(3)
+
+
+def close(a, b):
+    if isinstance(a, float) and isinstance(b, float):
+        return abs(a - b) < 1e-9
+    if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)):
+        return len(a) == len(b) and all(close(x, y) for x, y in zip(a, b))
+    return a == b
+
+
+def test_measures_equal_those_over_the_token_table(spark):
+    d = odd_texts(spark)
+    t = tag(tk.annotate(d)).persist()
+    whole = analyze(d, backend="rules").persist()
+    for name in ("pos", "sentence_openers", "syntax", "contractions", "dialogue", "function_words", "sentences"):
+        theirs = ft.ANALYZERS[name](d, t, "en")
+        names = theirs.columns
+        want = {r.doc_id: r for r in theirs.collect()}
+        ours = {r.doc_id: r for r in whole.where(f"{name} is not null").select("doc_id", f"{name}.*").select(names).collect()}
+        assert set(want) == set(ours)
+        for i, r in want.items():
+            assert close(list(r), list(ours[i])), (name, r, ours[i])
+    for name, f in (("vocabulary", ft.vocabulary_of), ("readability", ft.readability_rows), ("paragraphs", lambda d: ft.paragraphs(d, None, "en"))):
+        want = {r.doc_id: r for r in f(d).collect()}
+        ours = {r.doc_id: r for r in whole.where(f"{name} is not null").select("doc_id", f"{name}.*").collect()}
+        assert set(want) == set(ours) and all(close(list(r), list(ours[i])) for i, r in want.items()), name
+    french = ft.contractions(d, tk.annotate(d, "fr"), "fr")
+    got = {r.doc_id: r for r in within.rows(d, "contractions", "fr").select(french.columns).collect()}
+    assert all(close(list(r), list(got[r.doc_id])) for r in french.collect())
+
+
+def test_vectors_take_one_pass(spark, sf):
+    """No shuffle, and a vector's length is taken once, not once a place."""
+    assert "Exchange" not in plan(style.QUERIES["style_profile_vectors"](spark, sf))
+    v = spark.createDataFrame([([float(i % 7) for i in range(20000)],)], "v array<double>")
+    began = time.time()
+    got = v.select(vectors.l2_normalize(F.col("v"))).first()[0]
+    assert abs(sum(x * x for x in got) - 1) < 1e-9 and time.time() - began < 20
+
+
+def test_tag_queries_do_not_shuffle(spark, sf):
+    for name in ("opener_tags", "conjunction_starts", "pos_rates", "attribution_verbs", "pos_shares", "tense_shares", "tree_depth", "contraction_rates", "contractions_topn", "style_bands"):
+        assert "Exchange" not in plan(style.QUERIES[name](spark, sf)), name
+
+
+def test_rules_read_the_texts_few_times(spark, sf):
+    """No window over tokens and no join of texts: sums by source of what each row counts."""
+    shown = plan(tagged.source_fields(spark, sf))
+    assert "Window" not in shown and shown.count("FileScan parquet") <= 4
