@@ -102,8 +102,12 @@ def attribution_verbs(spark, sf_dir):
 # --- contractions
 
 
+def contraction_marks(docs):
+    return docs.withColumn("text", F.regexp_replace("text", r"nt(\z|[^\p{L}\p{N}])", "n't$1"))
+
+
 def contracted(spark, sf_dir):
-    return style.docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"nt(\z|[^\p{L}\p{N}])", "n't$1"))
+    return contraction_marks(style.docs(spark, sf_dir))
 
 
 SUFFIXES = ", ".join("'" + x.replace("'", "''") + "'" for x in LANGUAGES["en"][4].split())
@@ -275,22 +279,24 @@ def profile_diff(spark, sf_dir):
 def source_fields(spark, sf_dir):
     """What the rules compare, by source. Contractions are those of the rewritten text."""
     d = style.docs(spark, sf_dir, "source").where("source is not null")
-    keyed = d.select(F.struct("source", "doc_id").alias("doc_id"), "text")
-    at, t = F.col("doc_id.source").alias("source"), F.col("text")
-    lengths = ft.local.sentence_sizes(keyed).groupBy(at).agg(F.round(F.avg("len"), 2).alias("mean_length"))
+    t = F.col("text")
+    m = within.measure(d, ["sentences", "sentence_openers", "dialogue"]).groupBy("source")
+    quoted, told = F.sum("dialogue.quoted"), F.sum("dialogue.told")
+    lengths = m.agg(
+        F.round(F.sum("sentences.tokens") / F.sum("sentences.count"), 2).alias("mean_length"),
+        F.round(100 * (F.sum("sentence_openers.conjunctions") / F.sum("sentence_openers.sentences")), 1).alias("conjunction_start_rate"),
+        F.when(F.count("dialogue") > 0, ft.ratio(quoted, quoted + told, 3)).alias("quoted_word_ratio"),
+    ).where("mean_length is not null")
     marks = d.withColumn("n", style.nm.word_count(t))
     rate = lambda c: F.round(F.sum(c) * 1000 / F.sum("n"), 2)
     dashes = F.regexp_count(t, F.lit("---")) + F.regexp_count(F.replace(t, F.lit("---"), F.lit("")), F.lit("--"))
     marks = marks.groupBy("source").agg(rate(dashes).alias("dash"), rate(ft.marks(t, "?")).alias("question"), rate(ft.marks(t, ";")).alias("semicolon"))
-    paras = ft.paragraph_rows(keyed).select(at, style.nm.word_count(t).alias("n"), F.size(tk.sentences(t)).alias("s"))
+    paras = ft.paragraph_rows(d.withColumn("doc_id", F.struct("source", "doc_id"))).select("doc_id.source", style.nm.word_count(t).alias("n"), F.size(tk.sentences(t)).alias("s"))
     paras = paras.groupBy("source").agg(F.round(F.avg((F.col("s") <= 1).cast("int")), 3).alias("one_sentence_ratio"), F.round(F.median("n"), 1).alias("paragraph_median"))
-    firsts = ft.first_tokens(tag(tk.annotate(keyed))).groupBy(at).agg(F.round(100 * F.avg((F.col("pos") == "CCONJ").cast("int")), 1).alias("conjunction_start_rate"))
-    spoken = ft.quoted_words(tk.annotate(keyed), LANGUAGES["en"][3].split()).groupBy(at).agg(ft.ratio(F.sum("quoted"), F.sum("quoted") + F.sum("told"), 3).alias("quoted_word_ratio"))
-    short = contracted(spark, sf_dir).join(d.select("doc_id", "source"), "doc_id").select(F.struct("source", "doc_id").alias("doc_id"), "text")
-    short = ft.contractions(short, None, "en").join(ft.vocabulary_of(short).select("doc_id", "total_tokens"), "doc_id")
-    short = short.groupBy(at).agg(F.round(F.sum("total") * 1000 / F.sum("total_tokens"), 1).alias("contraction_rate"))
+    short = within.measure(contraction_marks(d), ["contractions"]).groupBy("source")
+    short = short.agg(F.round(F.sum("contractions.total") * 1000 / F.sum("contractions.words"), 1).alias("contraction_rate"))
     out = lengths.join(marks, "source")
-    for more in (paras, firsts, spoken, short):
+    for more in (paras, short):
         out = out.join(more, "source", "left")
     return out
 
