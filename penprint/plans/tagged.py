@@ -61,7 +61,7 @@ FIRSTS = f"{TAGGED}, firsts AS (SELECT doc_id, sent_id, arg_min(pos, tok_i) AS p
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first) AS rank, pos, round(cnt / sum(cnt) OVER (PARTITION BY doc_id), 4) AS share FROM c"""
 )
 def opener_tags(spark, sf_dir):
-    return long_form(ft.sentence_openers(None, tagged(spark, sf_dir), "en"), "pos_distribution", "pos", "share")
+    return long_form(measured(spark, sf_dir, "sentence_openers"), "pos_distribution", "pos", "share")
 
 
 @query(f"WITH {FIRSTS} SELECT doc_id, round(100 * avg(CASE WHEN pos = 'CCONJ' THEN 1 ELSE 0 END), 1) AS conjunction_start_rate FROM firsts GROUP BY doc_id")
