@@ -66,7 +66,7 @@ def opener_tags(spark, sf_dir):
 
 @query(f"WITH {FIRSTS} SELECT doc_id, round(100 * avg(CASE WHEN pos = 'CCONJ' THEN 1 ELSE 0 END), 1) AS conjunction_start_rate FROM firsts GROUP BY doc_id")
 def conjunction_starts(spark, sf_dir):
-    return ft.sentence_openers(None, tagged(spark, sf_dir), "en").select("doc_id", "conjunction_start_rate")
+    return measured(spark, sf_dir, "sentence_openers").select("doc_id", "conjunction_start_rate")
 
 
 @query(
