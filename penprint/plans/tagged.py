@@ -42,7 +42,7 @@ def long_form(rows, name: str, key: str, value: str):
   round((count(*) FILTER (pos = 'ADV')) / count(*) * 100, 2) AS adverb_density, round((count(*) FILTER (pos IN ('VERB', 'AUX'))) / count(*) * 100, 2) AS verb_density FROM tagged GROUP BY doc_id"""
 )
 def pos_rates(spark, sf_dir):
-    return ft.pos(None, tagged(spark, sf_dir), "en").drop("tag_distribution")
+    return measured(spark, sf_dir, "pos").drop("tag_distribution")
 
 
 @query(
