@@ -96,7 +96,7 @@ c AS (SELECT doc_id, lemma, sum(near)::BIGINT AS cnt, min(tok_i) AS first FROM n
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first) AS rank, lemma, cnt FROM c QUALIFY rank <= 15"""
 )
 def attribution_verbs(spark, sf_dir):
-    return ft.ranked(ft.attribution_verbs(tagged(spark, sf_dir), LANGUAGES["en"][3].split()), 15, "lemma")
+    return long_form(measured(spark, sf_dir, "dialogue"), "top_attribution_verbs", "lemma", "cnt")
 
 
 # --- contractions
