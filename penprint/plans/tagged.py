@@ -50,7 +50,7 @@ def pos_rates(spark, sf_dir):
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first) AS rank, pos, round(cnt / sum(cnt) OVER (PARTITION BY doc_id), 4) AS share FROM c"""
 )
 def pos_shares(spark, sf_dir):
-    return long_form(ft.pos(None, tagged(spark, sf_dir), "en"), "tag_distribution", "pos", "share")
+    return long_form(measured(spark, sf_dir, "pos"), "tag_distribution", "pos", "share")
 
 
 FIRSTS = f"{TAGGED}, firsts AS (SELECT doc_id, sent_id, arg_min(pos, tok_i) AS pos, min(tok_i) AS first FROM tagged GROUP BY ALL)"
