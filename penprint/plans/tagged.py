@@ -83,8 +83,7 @@ TENSES = f"""{TAGGED}, verbs AS (SELECT doc_id, coalesce(tense, 'None') AS tense
 
 @query(f"WITH {TENSES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first) AS rank, tense, round(cnt / sum(cnt) OVER (PARTITION BY doc_id), 3) AS share FROM verbs")
 def tense_shares(spark, sf_dir):
-    d = style.docs(spark, sf_dir)
-    return long_form(ft.syntax(d, tag(tk.annotate(d)), "en"), "tense_distribution", "tense", "share")
+    return long_form(measured(spark, sf_dir, "syntax"), "tense_distribution", "tense", "share")
 
 
 QUOTE = "text IN ('\"', '“', '”')"
