@@ -74,8 +74,7 @@ def conjunction_starts(spark, sf_dir):
 SELECT doc_id, round(avg(depth), 2) AS mean_tree_depth, round(median(depth), 1)::DOUBLE AS median_tree_depth, round(CASE WHEN count(*) > 1 THEN stddev_samp(depth) ELSE 0 END, 2) AS stdev_tree_depth FROM d GROUP BY doc_id"""
 )
 def tree_depth(spark, sf_dir):
-    d = style.docs(spark, sf_dir)
-    return ft.syntax(d, tag(tk.annotate(d)), "en").select("doc_id", "mean_tree_depth", "median_tree_depth", "stdev_tree_depth")
+    return measured(spark, sf_dir, "syntax").select("doc_id", "mean_tree_depth", "median_tree_depth", "stdev_tree_depth")
 
 
 TENSES = f"""{TAGGED}, verbs AS (SELECT doc_id, coalesce(tense, 'None') AS tense, count(*) AS cnt, min(tok_i) AS first FROM tagged WHERE pos IN ('VERB', 'AUX') GROUP BY doc_id, coalesce(tense, 'None'))"""
