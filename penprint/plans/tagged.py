@@ -123,7 +123,7 @@ t5 AS (SELECT *, lag(lower) OVER (PARTITION BY doc_id ORDER BY tok_i) AS other F
 SELECT doc_id, coalesce(total, 0) AS total, round(coalesce(total, 0) * 1000 / n, 1) AS rate_per_1000 FROM n LEFT JOIN c USING (doc_id)"""
 )
 def contraction_rates(spark, sf_dir):
-    return ft.contractions(contracted(spark, sf_dir), None, "en").drop("top_contractions")
+    return within.rows(contracted(spark, sf_dir), "contractions").select("doc_id", "total", "rate_per_1000")
 
 
 @query(
