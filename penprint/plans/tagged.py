@@ -131,7 +131,7 @@ def contraction_rates(spark, sf_dir):
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first) AS rank, pair, cnt FROM c QUALIFY rank <= 20"""
 )
 def contractions_topn(spark, sf_dir):
-    return long_form(ft.contractions(contracted(spark, sf_dir), None, "en"), "top_contractions", "pair", "cnt")
+    return long_form(within.rows(contracted(spark, sf_dir), "contractions"), "top_contractions", "pair", "cnt")
 
 
 # --- segments
