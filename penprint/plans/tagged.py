@@ -12,17 +12,13 @@ from ..functions.languages import LANGUAGES, function_words
 from ..operators import diff, examples, segments, vectors, within
 from ..operators import features as ft
 from ..operators import tokens as tk
-from ..operators.tagging import tag, tagged_sql
+from ..operators.tagging import tagged_sql
 from . import report, style
 from .style import HELD_OUT, LENGTHS, PARAS, SPLIT, SQL, TOKEN_SQL, TOKS, query
 
 TAGGED = f"{TOKS}, {tagged_sql()}"
 
 
-def tagged(spark, sf_dir):
-    return tag(style.tokens(spark, sf_dir))
-
-
 def measured(spark, sf_dir, group: str):
     """What is counted of each document's tagged tokens, within its row."""
     return within.rows(style.docs(spark, sf_dir), group)
@@ -224,8 +220,9 @@ SELECT doc_id, CASE WHEN flesch_reading_ease >= 90 THEN 'very easy' WHEN flesch_
 FROM r JOIN s USING (doc_id) JOIN v USING (doc_id)"""
 )
 def style_bands(spark, sf_dir):
-    d = style.docs(spark, sf_dir)
-    flat = ft.readability_rows(d).join(ft.sentences(d, None, "en"), "doc_id").join(ft.vocabulary_of(d), "doc_id")
+    m = within.measure(style.docs(spark, sf_dir), ["readability", "sentences", "vocabulary"]).where("readability is not null and sentences is not null and vocabulary is not null")
+    of = lambda group, *names: (F.col(f"{group}.{n}") for n in names)
+    flat = m.select("doc_id", "sentences.*", *ft.readability_columns(*of("readability", *"wsyhc")), *ft.vocabulary_columns(*of("vocabulary", "n", "v", "v1", "ff")))
     return diff.style_bands(flat).select("doc_id", "ease_band", "voice_band", "rhythm_band", "skew_band", "richness_band")
 
 
