@@ -1,5 +1,6 @@
 """Work that stays within a document's row or a bounded block, and takes no square of its size."""
 
+import math
 import random
 import time
 
@@ -90,3 +91,21 @@ def test_rules_read_the_texts_few_times(spark, sf):
     """No window over tokens and no join of texts: sums by source of what each row counts."""
     shown = plan(tagged.source_fields(spark, sf))
     assert "Window" not in shown and shown.count("FileScan parquet") <= 4
+
+
+def test_nearest_meets_the_store_block_by_block(spark, monkeypatch):
+    """Ties, copies, zero, null and NaN vectors, repeated and null ids; no pairs of blocks and no window over neighbours."""
+    rng = random.Random(8)
+    some = [[rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)] for _ in range(120)]
+    rows = [(i, v) for i, v in enumerate(some)] + [(7, some[3]), (None, some[0]), (500, None), (501, [float("nan")] * 4)]
+    d = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    monkeypatch.setattr(vectors, "QUERIES", 10)  # 12 groups of queries
+    found = vectors.nearest(d, d, 5, "id", "id", "v", same=True, block=7)
+    assert "Cartesian" not in plan(found) and "NestedLoop" not in plan(found) and "Window" not in plan(found)
+    got = {(r.query, r["rank"]): r.neighbour for r in found.collect()}
+    norm = lambda a: math.sqrt(sum(x * x for x in a)) or 1.0
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b), 12) + 0.0
+    valid = [(i, v) for i, v in rows if i is not None and i < 500]
+    for i in {i for i, _ in valid}:
+        want = sorted((-cos(a, b), j) for k, a in valid if k == i for j, b in valid if j != i)[:5]
+        assert [got[i, r] for r in range(1, 6)] == [j for _, j in want]
