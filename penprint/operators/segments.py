@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import SPACE
+from .local import text_parts
 
 SCHEMA = "doc_id long, at int, title string, text string, char_start long, char_end long"
 MARKDOWN = r"^(#{1,2})\s+(.+)$"
@@ -70,10 +71,14 @@ def segments(docs: DataFrame, kind: str = "none", pattern: str | None = None) ->
     rule = rules[kind]
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            rows = [(d, *s) for d, t in zip(pdf["doc_id"], pdf["text"]) if t is not None for s in rule(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "at", "title", "text", "char_start", "char_end"])
+        schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("title", pa.string()), ("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())])
+        for batch in batches:
+            ids, texts = batch.columns
+            for a, b in text_parts(texts):
+                rows = [(d, *s) for d, t in zip(ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist()) if t is not None for s in rule(t)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

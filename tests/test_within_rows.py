@@ -4,9 +4,10 @@ import math
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from penprint.operators import examples, vectors, within
+from penprint.operators import examples, local, segments, vectors, within
 from penprint.operators import features as ft
 from penprint.operators import tokens as tk
 from penprint.operators.tagging import tag
@@ -109,3 +110,18 @@ def test_nearest_meets_the_store_block_by_block(spark, monkeypatch):
     for i in {i for i, _ in valid}:
         want = sorted((-cos(a, b), j) for k, a in valid if k == i for j, b in valid if j != i)[:5]
         assert [got[i, r] for r in range(1, 6)] == [j for _, j in want]
+
+
+def test_segments_take_few_texts_at_a_time(spark, sf):
+    for name in ("markdown_segments", "pattern_segments", "article_segments"):
+        assert "MapInPandas" not in plan(style.QUERIES[name](spark, sf)), name
+    d = spark.createDataFrame([(i, "# A\nx\n" * 3 if i % 2 else None) for i in range(50)] + [(None, "plain")], "doc_id long, text string")
+    got = segments.segments(d, "markdown").collect()
+    assert len(got) == 25 * 3 + 1 and [r.text for r in got if r.doc_id is None] == ["plain"]
+    rule = pa.array(["ab", None, "c" * 9, "d"])
+    assert list(local.text_parts(rule)) == [(0, 4)]
+
+
+def test_parts_of_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr(local, "ITEMS", 5)
+    assert list(local.text_parts(pa.array(["ab", None, "c" * 9, "d", "", "e" * 4]))) == [(0, 2), (2, 3), (3, 5), (5, 6)]
