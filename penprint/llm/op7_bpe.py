@@ -17,6 +17,12 @@ ROWS_AT_ONCE = 2_000_000
 WORDS_OUT = 200_000
 TOKENS_AT_ONCE = 500_000
 
+#: Words that are looked up together, and what a task remembers at most, so that its memory doesn't grow with the partition: different
+#: words of late (twice as many with those before), and pieces of token lists.
+WORDS_AT_ONCE = 1_000_000
+KNOWN_WORDS = 200_000
+KNOWN_PIECES = 500_000
+
 #: Bytes from which on a word is contracted by a heap of its pairs, in the same order: a round a pair takes the square of its length.
 LONG_WORD = 1024
 
@@ -157,6 +163,8 @@ class Merger:
         begins[edge[:-1][lengths > 0]] = True
         first = np.flatnonzero(begins)
         size = np.diff(np.append(first, n))
+        if len(known.size) > KNOWN_PIECES:
+            known.__init__()
         names, sample, kind = np.unique(polynomial(mix(flat.astype(np.int64)), first, first + size), return_index=True, return_inverse=True)
         if len(new := np.flatnonzero(~known.has(names))):
             known.add(names[new], flat, first[sample[new]], size[sample[new]], self.spell)
@@ -255,35 +263,41 @@ def encoded(batches: Iterator, ranks: str, out: str) -> Iterator:
 
     release()
     merger = latest("merger", ranks, lambda: Merger(ranks))
-    known: dict = {}  # the partition's words so far
-    values, starts, sizes = array("i"), array("q"), array("i")  # and their tokens, flat
+    known: dict = {}  # words of late and their tokens as bytes; former: those of the time before
+    former: dict = {}
     for batch in batches:
         words = batch.column(batch.num_columns - 1)
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        new = [w for w in distinct if w not in known]
-        for w, toks in zip(new, merger.words(new)):
-            known[w] = len(starts)
-            starts.append(len(values))
-            sizes.append(len(toks))
-            values.extend(toks)
-        place = np.array([known[w] for w in distinct], np.int64)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        flat, start, size = np.array(values, np.int32), np.array(starts, np.int64), np.array(sizes, np.int64)
         rows = words.offsets.to_numpy()
-        rows = rows - rows[0]
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(rows, rows[at] + WORDS_OUT, side="right")) - 1)
-            which = place[codes[rows[at] : rows[to]]]
-            n = size[which]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            take = np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], n)
-            offsets = ends[rows[at : to + 1] - rows[at]].astype(np.int32)
-            some = batch.slice(at, to - at)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[take]), mask=some.column(batch.num_columns - 1).is_null())
-            yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], [*batch.schema.names[:-1], out])
-            at = to
+        upto = lambda at, n: max(at + 1, int(np.searchsorted(rows, rows[at] + n, side="right")) - 1)
+        begin = 0
+        while begin < batch.num_rows:
+            end = upto(begin, WORDS_AT_ONCE)
+            coded = words.slice(begin, end - begin).flatten().dictionary_encode()
+            distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+            found = [known.get(w) or former.get(w) for w in distinct]
+            new = [i for i, t in enumerate(found) if t is None]
+            for i, toks in zip(new, merger.words([distinct[i] for i in new])):
+                found[i] = array("i", toks).tobytes()
+            known.update(zip(distinct, found))
+            flat = np.frombuffer(b"".join(found), np.int32)
+            size = np.array([len(t) for t in found], np.int64) // 4
+            start, codes, base = np.cumsum(size) - size, coded.indices.to_numpy(zero_copy_only=False), rows[begin]
+            if len(known) > KNOWN_WORDS:
+                known, former = {}, known
+            del coded, distinct, found
+            at = begin
+            while at < end:
+                to = min(end, upto(at, WORDS_OUT))
+                which = codes[rows[at] - base : rows[to] - base]
+                n = size[which]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                take = np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], n)
+                offsets = ends[rows[at : to + 1] - rows[at]].astype(np.int32)
+                some = batch.slice(at, to - at)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[take]), mask=some.column(batch.num_columns - 1).is_null())
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], [*batch.schema.names[:-1], out])
+                at = to
+            begin = end
 
 
 def decode(tokens: DataFrame, ranks: str = RANKS, column: str = "tokens", out: str = "text") -> DataFrame:
@@ -348,8 +362,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents again, encoded and decoded."""
-    return decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    """The documents again, encoded and decoded in one worker."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = Pieces()
+        for batch in encoded(batches, RANKS, "tokens"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), readable(spelled(batch.column(1), RANKS, known))], ["doc_id", "text"])
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_words(docs).drop("text").mapInArrow(run, "doc_id long, text string")
 
 
 QUERIES = {"op7_bpe": op7_bpe, "bpe_round_trip": bpe_round_trip}
